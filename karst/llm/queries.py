@@ -5,10 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from karst.core.session import table
 
-from . import pack, split, tokenize
+from . import neardup, pack, split, tokenize
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links, members = neardup.near_duplicates(table(spark, sf_dir, "chunks").select("id", "text"))
+    return neardup.expand(links, members)
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk with a text, its class of exact copies and the class's links to other classes."""
+    links, members = neardup.near_duplicates(table(spark, sf_dir, "chunks").select("id", "text"))
+    ends = links.where("a <> b").select(F.explode(F.array("a", "b")).alias("class"))
+    return members.join(ends.groupBy("class").agg(F.count("*").alias("links")), "class", "left").select("id", "class", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +45,7 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found, "p2_classes": p2_classes,
     "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers,
 }
 
