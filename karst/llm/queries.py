@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from karst.core.session import table
 
-from . import neardup, pack, split, tokenize
+from . import neardup, pack, reading, split, tokenize
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +44,13 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(tokens, table(spark, sf_dir, "pack_capacities"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found, "p2_classes": p2_classes,
-    "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers,
+    "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found,
 }
 
 _LIMITS = """
