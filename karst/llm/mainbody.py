@@ -143,13 +143,17 @@ def classify(nodes: list[Node], unwanted_tags: set[str], unwanted_classes: set[s
         classes = {c for _, _, x in below for c in x.lower().split()}
         block = next((t for t in reversed(tags) if t in _OWN or t in ("p", "div", "aside")), tag)
         kind = CONTENT
-        if classes & unwanted_classes or set(tags) & (unwanted_tags - {"table"}) or set(tags) & _NEVER:
+        sentences = ends[tuple((t, c) for _, t, c in n.path)]
+        named = set(tags) & unwanted_tags
+        if sentences:  # a note within the body is content even where the site calls its sidebar by the same tag
+            named -= {"aside", "blockquote", "table"}
+        if classes & unwanted_classes or named - {"table"} or set(tags) & _NEVER:
             kind = INSIDE
         elif "a" in tags and not set(tags) & {"p", "li", "td", "th", "blockquote"}:
             kind = INSIDE  # a block that is nothing but a link
-        elif classes and not set(tags) & _OWN and score < threshold and not ends[tuple((t, c) for _, t, c in n.path)]:
+        elif classes and not set(tags) & _OWN and score < threshold and not sentences:
             kind = INSIDE
-        elif "div" in tags and not set(tags) & _OWN and not ends[tuple((t, c) for _, t, c in n.path)]:
+        elif "div" in tags and not set(tags) & _OWN and not sentences:
             kind = INSIDE
         out.append((kind, block))
     return out
@@ -187,14 +191,14 @@ def _hash(*parts: str) -> int:
 
 def keys(site: str | None, line: str) -> tuple[int, int | None, int]:
     """Hashes of the line with digits masked, of its lead-in, and of the line on its site."""
-    masked = _DIGITS.sub("#", " ".join(line.split()).lower())
+    masked = _DIGITS.sub("#", " ".join(line.split()))
     head, colon, _ = masked.partition(":")
     lead = _hash("lead", head) if colon and len(head.split()) <= 4 else _hash("lead", " ".join(masked.split()[:2])) if len(masked.split()) <= 8 else None
     return _hash("line", masked), lead, _hash("site", site or "", masked)
 
 
 LINES = (
-    "page_id bigint, line_no int, kind int, block string, title boolean, size int, stop boolean, "
+    "page_id bigint, line_no int, kind int, block string, title int, size int, stop boolean, "
     "line_key bigint, lead_key bigint, site_key bigint"
 )
 
@@ -225,10 +229,11 @@ def page_lines(pages: DataFrame, params: DataFrame) -> DataFrame:
                         found = [kinds[k] for k in places[i]]
                         kind, block = min(found)[0] if any(x == CONTENT for x, _ in found) else max(found)[0], found[0][1]
                     own = slug(line)
-                    title = bool(tail) and len(tail) > 3 and (own.startswith(tail) or (len(own) > 3 and tail.startswith(own)))
+                    same = len(tail) > 3 and len(own) > 3 and (own.startswith(tail) or tail.startswith(own))
+                    title = min(len(own), len(tail)) if same else 0
                     out.append((page, i, kind, block, title, len(line.strip()), bool(_SENTENCE_END.search(line.strip())), *keys(site, line)))
             cols = list(zip(*out)) if out else [()] * 10
-            kinds_ = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+            kinds_ = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds_)], [x.split()[0] for x in LINES.split(", ")])
 
     return rows.select("page_id", "url", "site", "html", "text", "tags", "classes").mapInArrow(run, LINES)
@@ -251,13 +256,14 @@ def choose(rows: list[dict]) -> list[int]:
             if kind == CONTENT:
                 keep.append(r["line_no"])
         return keep
-    starts = [i for i, r in enumerate(rows) if r["title"]]
-    start = starts[-1] if starts else next((i for i, r in enumerate(rows) if not _foreign(r) and r["n2"] <= 2 * r["n0"]), None)
+    best = max((r["title"] for r in rows), default=0)
+    starts = [i for i, r in enumerate(rows) if r["title"] and r["title"] == best]
+    start = starts[0] if starts else next((i for i, r in enumerate(rows) if not _foreign(r) and r["n2"] <= 2 * r["n0"]), None)
     if start is None:
         return []
     end = start + 1
-    while end < len(rows) and not _foreign(rows[end]):
-        end += 1
+    while end < len(rows) and not (_foreign(rows[end]) and (_never_in_body(rows[end]) or end + 1 == len(rows) or _foreign(rows[end + 1]))):
+        end += 1  # a line that is a link elsewhere may be a heading here, if no other such line follows
     while end > start + 1 and rows[end - 1]["s2"] > rows[end - 1]["s0"]:  # closing paragraphs of the site
         end -= 1
     return [r["line_no"] for r in rows[start:end] if not (_furniture(r) and not r["title"])]
@@ -279,6 +285,10 @@ def _foreign(r: dict) -> bool:
     return r["n2"] + r["n0"] + r["n1"] < 3 and not r["stop"] and r["l2"] >= 10 and r["l0"] + r["l1"] <= 0.02 * r["l2"]
 
 
+def _never_in_body(r: dict) -> bool:
+    return r["n2"] >= 20 and r["n0"] + r["n1"] == 0
+
+
 def main_body(pages: DataFrame, params: DataFrame) -> DataFrame:
     """page_id, line_no of the main-body lines (from 0, split at newlines), distinct.
 

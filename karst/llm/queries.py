@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from karst.core.session import table
 
-from . import neardup, pack, reading, split, tokenize
+from . import mainbody, neardup, pack, reading, split, tokenize
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(ends.groupBy("class").agg(F.count("*").alias("links")), "class", "left").select("id", "class", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainbody.main_body(table(spark, sf_dir, "scraped_pages"), table(spark, sf_dir, "scrape_params"))
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = split.stored_items(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "page_bodies"))
     return split.split_oversized(items, table(spark, sf_dir, "ingestion_settings"))
@@ -50,6 +54,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found, "p2_classes": p2_classes,
+    "p3_found": p3_found,
     "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found,
 }
 
