@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from karst.core.session import table
 
-from . import mainbody, neardup, pack, reading, split, tokenize
+from . import mainbody, neardup, pack, reading, scanned, split, tokenize
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainbody.main_body(table(spark, sf_dir, "scraped_pages"), table(spark, sf_dir, "scrape_params"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spots, _ = scanned.repair(table(spark, sf_dir, "page_bodies"), table(spark, sf_dir, "text_elements"))
+    return spots
+
+
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.paragraphs(*scanned.repair(table(spark, sf_dir, "page_bodies"), table(spark, sf_dir, "text_elements")))
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = split.stored_items(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "page_bodies"))
     return split.split_oversized(items, table(spark, sf_dir, "ingestion_settings"))
@@ -55,6 +64,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found, "p2_classes": p2_classes,
     "p3_found": p3_found,
+    "p4_found": p4_found, "p4_paragraphs": p4_paragraphs,
     "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found,
 }
 
