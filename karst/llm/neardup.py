@@ -96,7 +96,8 @@ def shingles(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _distinct(s: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((s, doc))
+    """Distinct shingles of each text, ordered by shingle, then text; `doc` must not decrease."""
+    order = np.argsort(s, kind="stable")
     s, doc = s[order], doc[order]
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])
@@ -110,7 +111,9 @@ def document_frequencies(texts: DataFrame, p: Params) -> DataFrame:
         for batch in batches:
             s, doc, n = shingles(batch.column(0).to_pylist(), p.words)
             s, doc = _distinct(s, doc)
-            s, c = np.unique(s[n[doc] >= p.min_words], return_counts=True)
+            s = s[n[doc] >= p.min_words]
+            starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
+            s, c = s[starts], np.diff(np.r_[starts, len(s)])
             yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(c)], ["shingle", "c"])
 
     return texts.mapInArrow(run, "shingle bigint, c bigint").groupBy("shingle").agg(F.sum("c").alias("df"))
@@ -170,7 +173,7 @@ class Sampler:
             beta = ((x >> np.uint64(16)) & low).astype(np.float32) * np.float32(1 / 65536)
             t = np.floor(w * self.inverse_r[a] + beta)
             log_a = self.log_c[(x >> np.uint64(32)).astype(np.uint16)] - r * (t - beta) - r
-            mark = _mix((x ^ unique) + t.astype(np.int64).view(np.uint64) * _M2) & np.uint64(0xFFFFFFFF)
+            mark = ((x >> np.uint64(24)) + t.astype(np.int64).view(np.uint64) * _M2) & np.uint64(0xFFFFFFFF)
             rank = ((np.clip(log_a, -90, 30) + np.float32(96)) * np.float32(2**24)).astype(np.uint64)
             out[k] = np.minimum.reduceat(((rank << np.uint64(32)) | mark)[inverse], starts).astype(np.uint32)
         return out
@@ -200,23 +203,33 @@ def band_rows(classes: DataFrame, p: Params, table: np.ndarray, logs: np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(p, table, logs)
         seen: set[int] = set()
+        ids: list[int] = []
+        texts: list[str] = []
+        size = 0
         for batch in batches:
-            ids, texts = [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if i not in seen:
                     seen.add(i)
                     ids.append(i)
                     texts.append(t)
-            for at in range(0, len(ids), 4000):
-                s, doc, n = shingles(texts[at : at + 4000], p.words)
-                enough = n[doc] >= p.min_words
-                s, doc = s[enough], doc[enough]
-                if not len(s):
-                    continue
-                starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                keys = sampler.keys(sampler.samples(s, starts))
-                own = np.array(ids[at : at + 4000], np.int64)[doc[starts]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.T.ravel().view(np.int64)), pa.array(np.repeat(own, p.bands))], ["kc", "id"])
+                    size += len(t)
+                    if size > 12_000_000:  # many texts at once share the work on their common shingles
+                        yield from sampled(sampler, ids, texts)
+                        ids, texts, size = [], [], 0
+        if ids:
+            yield from sampled(sampler, ids, texts)
+
+    def sampled(sampler: Sampler, ids: list[int], texts: list[str]) -> Iterator[pa.RecordBatch]:
+        s, doc, n = shingles(texts, p.words)
+        enough = n[doc] >= p.min_words
+        s, doc = s[enough], doc[enough]
+        if len(s):
+            starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            keys = sampler.keys(sampler.samples(s, starts))
+            own = np.repeat(np.array(ids, np.int64)[doc[starts]], p.bands)
+            flat = keys.T.ravel().view(np.int64)
+            for at in range(0, len(flat), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + 100_000]), pa.array(own[at : at + 100_000])], ["kc", "id"])
 
     return classes.mapInArrow(run, "kc bigint, id bigint")
 
@@ -224,7 +237,8 @@ def band_rows(classes: DataFrame, p: Params, table: np.ndarray, logs: np.ndarray
 def candidates(bands: DataFrame, p: Params) -> DataFrame:
     """Distinct pairs a < b of classes that share a band and agree in its check."""
     rows = bands.select(F.shiftrightunsigned("kc", 24).alias("band"), F.col("kc").bitwiseAND((1 << 24) - 1).cast("int").alias("chk"), "id").repartition("band")
-    several = rows.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("band")
+    # the aggregation asks for all columns, so that it reads the very exchange the join reads
+    several = rows.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("chk").alias("chk")).where("lo <> hi and chk >= 0").select("band")
     members = cut(rows.join(several.hint("shuffle_hash"), "band", "left_semi").distinct())
     x = F.col("x.chk").bitwiseXOR(F.col("y.chk"))
     same = sum((x.bitwiseAND(15 << (4 * i)) == 0).cast("int") for i in range(6))
@@ -242,22 +256,26 @@ def verify(pairs: DataFrame, classes: DataFrame, p: Params, table: np.ndarray, l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(p, table, logs)
         for batch in batches:
-            a, b, kept_a, kept_b, sims = *(batch.column(i).to_pylist() for i in (0, 1)), [], [], []
-            for i, j, x, y in zip(a, b, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                s, doc, n = shingles([x, y], p.words)
-                if n.min() < p.min_words:
-                    continue
-                u, v = np.unique(s[doc == 0]), np.unique(s[doc == 1])
-                shared = np.intersect1d(u, v, assume_unique=True)
-                w, wu, wv = (float(np.exp(sampler.log_weights(z).astype(float)).sum()) for z in (shared, u, v))
-                if w < (p.least_weighted - 1e-6) * (wu + wv - w):
-                    continue
-                sim = len(shared) / (len(u) + len(v) - len(shared))
-                if sim >= p.threshold:
-                    kept_a.append(i)
-                    kept_b.append(j)
-                    sims.append(sim)
-            yield pa.RecordBatch.from_arrays([pa.array(kept_a, pa.int64()), pa.array(kept_b, pa.int64()), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
+            for at in range(0, batch.num_rows, 1000):
+                yield kept(sampler, batch.slice(at, 1000))
+
+    def kept(sampler: Sampler, batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = batch.num_rows
+        texts = [t for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()) for t in pair]
+        s, doc, n = shingles(texts, p.words)
+        s, doc = _distinct(s, doc)
+        w = np.exp(sampler.log_weights(s).astype(float))
+        order = np.argsort(doc // 2, kind="stable")  # by pair, then shingle: a shared one stands twice
+        s, pair, w = s[order], doc[order] // 2, w[order]
+        twice = np.flatnonzero((s[1:] == s[:-1]) & (pair[1:] == pair[:-1]))
+        size, weight = np.bincount(pair, minlength=rows), np.bincount(pair, w, minlength=rows)
+        shared, shared_weight = np.bincount(pair[twice], minlength=rows), np.bincount(pair[twice], w[twice], minlength=rows)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            similarity = shared / (size - shared)
+            weighted = shared_weight / (weight - shared_weight)
+        good = (n.reshape(rows, 2).min(1) >= p.min_words) & (weighted >= p.least_weighted - 1e-6) & (similarity >= p.threshold)
+        mask = pa.array(good)
+        return pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask), pa.array(similarity[good])], ["a", "b", "similarity"])
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, similarity double")
 
