@@ -31,7 +31,7 @@ _HYPHENS = "-‐¬­"
 _STRIP = r"""^[\s.,;:!?"'“”‘’«»()\[\]{}*•_…]+|[\s.,;:!?"'“”‘’«»()\[\]{}*•_…]+$"""
 _NUMBER = (
     r"(?i)^[\s\-–—\[\](){}|.·*]*(?:(?:p|pp|pg|pag|page|pagina|página|pág)\b[.:]?\s*)?"
-    r"([0-9oOlI|]{1,4})\s*(?:(?:/|di|of|de)\s*[0-9oOlI|]{1,4})?[\s\-–—\[\](){}|.·*]*$"
+    r"([0-9oOlI]{1,4})\s*(?:(?:/|di|of|de)\s*[0-9oOlI]{1,4})?[\s\-–—\[\](){}|*]*$"
 )
 
 
@@ -81,7 +81,7 @@ def page_lines(rows: DataFrame, p: Params) -> DataFrame:
         "bottom": F.row_number().over(page.orderBy(*(F.desc(c) for c in order))),
     })
     lines = lines.withColumn("edge", (F.col("top") <= p.edge) | (F.col("bottom") <= p.edge))
-    number = F.translate(F.regexp_extract("line", _NUMBER, 1), "oOlI|", "00111")
+    number = F.translate(F.regexp_extract("line", _NUMBER, 1), "oOlI", "0011")
     lines = lines.withColumn("number", F.when(F.col("edge") & (number != ""), number.try_cast("int")))
     plain = F.regexp_replace("line", r"(?<![\p{L}])[0-9oOlI|]*[0-9][0-9oOlI|./\-]*(?![\p{L}])", " ")
     # a short key: whole lines of pages without line ends never run
