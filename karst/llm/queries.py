@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 
 from karst.core.session import table
 
-from . import mainbody, neardup, pack, reading, scanned, split, tokenize
+from . import mainbody, names, neardup, pack, reading, scanned, split, tokenize
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.pairs_of(names.same_names(table(spark, sf_dir, "extracted_entities"), table(spark, sf_dir, "graph_nodes")))
+
+
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record and the entity it means."""
+    return names.same_names(table(spark, sf_dir, "extracted_entities"), table(spark, sf_dir, "graph_nodes"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +71,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found, "p1_entities": p1_entities,
     "p2_found": p2_found, "p2_classes": p2_classes,
     "p3_found": p3_found,
     "p4_found": p4_found, "p4_paragraphs": p4_paragraphs,
