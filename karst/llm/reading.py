@@ -25,8 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from karst.core.session import staged
+
 LEVELS = 4
 _WORDS = re.compile(r"[^\W\d_]+").findall
+_LETTER = re.compile(r"[^\W\d_]").search
 _SENTENCES = re.compile(r"[.!?…;]+(?=\s|$)|\n+").split
 
 
@@ -47,23 +50,24 @@ class Rough:
     """Level of a set of words by its document frequencies in each level (naive Bayes)."""
 
     def __init__(self, counts: dict[str, np.ndarray], docs: np.ndarray):
-        rates = {w: np.log((c + 0.1) / (docs + 0.4)) for w, c in counts.items()}
-        self.rates = {w: r - r.mean() for w, r in rates.items()}
+        self.row = {w: i for i, w in enumerate(counts, 1)}
+        rates = np.log((np.array(list(counts.values())).reshape(-1, LEVELS) + 0.1) / (docs + 0.4))
+        self.rates = np.r_[np.zeros((1, LEVELS)), rates - rates.mean(1, keepdims=True)]  # row 0: words not seen
         self.prior = np.log((docs + 1) / (docs.sum() + LEVELS))
 
     def level(self, own: set[str]) -> int:
-        rates = self.rates
-        score = self.prior + sum((rates[w] for w in own if w in rates), np.zeros(LEVELS))
+        row = self.row
+        score = self.prior + self.rates[[row.get(w, 0) for w in own]].sum(0)
         return int(np.argmax(score)) + 1
 
 
-def familiar(counts: dict[str, np.ndarray], docs: np.ndarray, p: Params) -> dict[str, int]:
+def familiar(counts: dict[str, np.ndarray], docs: np.ndarray, p: Params) -> Grades:
     """The easiest level in whose documents a word is common; words common in none are left out.
 
     Common: in `least` of the level's documents at least, and there at a twentieth or more of
     the highest rate that any level has, so a few misread documents don't make a hard word easy.
     """
-    grades = {}
+    grades = Grades()
     for w, c in counts.items():
         rate = c / np.maximum(docs, 1)
         ok = np.flatnonzero((rate >= p.least) & (rate >= 0.05 * rate.max()))
@@ -72,13 +76,20 @@ def familiar(counts: dict[str, np.ndarray], docs: np.ndarray, p: Params) -> dict
     return grades
 
 
-def features(text: str, own: list[str], grades: dict[str, int]) -> list[float]:
+class Grades(dict):
+    """Level of a familiar word; 0 for others."""
+
+    def __missing__(self, word: str) -> int:
+        return 0
+
+
+def features(text: str, own: list[str], grades: Grades) -> list[float]:
     """Shares of words outside list 1, 2 and 3, of words in no list, and log mean sentence length."""
-    g = np.fromiter((grades.get(w, 0) for w in own), np.int8, len(own))
-    known = max(1, int((g > 0).sum()))
-    lengths = [n for n in (len(_WORDS(s)) for s in _SENTENCES(text)) if n]
-    outside = [float((g > k).sum()) / known for k in (1, 2, 3)]
-    return [*outside, 1 - known / len(own), float(np.log(np.mean(lengths)))]
+    of = np.bincount(np.frombuffer(bytes(map(grades.__getitem__, own)), np.uint8), minlength=LEVELS + 1)
+    known = max(1, len(own) - int(of[0]))
+    sentences = sum(1 for s in _SENTENCES(text) if _LETTER(s))
+    outside = [float(of[k + 1 :].sum()) / known for k in (1, 2, 3)]
+    return [*outside, 1 - known / len(own), float(np.log(len(own) / max(1, sentences)))]
 
 
 class Formula:
@@ -132,18 +143,15 @@ def _counted(rows: DataFrame, make_level) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of = make_level()
         for batch in batches:
-            counts: dict[tuple[int, str], int] = Counter()
+            counts: list[Counter] = [Counter() for _ in range(LEVELS + 1)]
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 found = level_of(*row)
                 if found:
                     level, own = found
-                    counts.update((level, w) for w in own)
-                    counts[level, ""] += 1
-            keys = list(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w for _, w in keys], pa.string()), pa.array([g for g, _ in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())],
-                ["word", "level", "n"],
-            )
+                    counts[level].update(own)
+                    counts[level][""] += 1
+            for level, c in enumerate(counts):
+                yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array([level] * len(c), pa.int32()), pa.array(c.values(), pa.int64())], ["word", "level", "n"])
 
     long = rows.mapInArrow(run, "word string, level int, n bigint")
     return long.groupBy("word").agg(*(F.sum(F.when(F.col("level") == g, F.col("n")).otherwise(0)).alias(f"n{g}") for g in range(1, LEVELS + 1)))
@@ -186,7 +194,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, p: Params = Params()) ->
 
         return level_of
 
-    counted = _counted(docs.select("text"), by_words)
+    counted = staged(_counted(docs.select("text"), by_words))  # read twice below
     # words in `least` of all documents of some level: the condition that bounds the lists, taken in Spark
     totals = counted.where("word = ''").toPandas()
     all_docs = totals[[f"n{g}" for g in range(1, LEVELS + 1)]].to_numpy(float)[0] if len(totals) else np.zeros(LEVELS)
