@@ -13,8 +13,8 @@
 4.  Candidates are verified on the whole texts, by weighted Jaccard similarity first and
     then by the exact similarity on distinct shingles.
 
-A hot group of copies collapses where it is read; buckets with one class are dropped by
-an aggregation; rows of the others are joined on the band's key, where adaptive execution
+A hot group of copies collapses where it is read; buckets with one class are dropped in a
+pass over sorted rows; rows of the others are joined on the band's key, where adaptive execution
 splits a hot bucket. Nothing is collected but the bounded table of frequent shingles.
 """
 
@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from karst.core.session import cut, staged
@@ -236,10 +236,12 @@ def band_rows(classes: DataFrame, p: Params, table: np.ndarray, logs: np.ndarray
 
 def candidates(bands: DataFrame, p: Params) -> DataFrame:
     """Distinct pairs a < b of classes that share a band and agree in its check."""
-    rows = bands.select(F.shiftrightunsigned("kc", 24).alias("band"), F.col("kc").bitwiseAND((1 << 24) - 1).cast("int").alias("chk"), "id").repartition("band")
-    # the aggregation asks for all columns, so that it reads the very exchange the join reads
-    several = rows.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("chk").alias("chk")).where("lo <> hi and chk >= 0").select("band")
-    members = cut(rows.join(several.hint("shuffle_hash"), "band", "left_semi").distinct())
+    rows = bands.select(F.shiftrightunsigned("kc", 24).alias("band"), F.col("kc").bitwiseAND((1 << 24) - 1).cast("int").alias("chk"), "id")
+    # in the order of ids a class of a shared bucket has another class before or behind it: one
+    # pass over sorted rows, with no more than three of them at hand
+    w = Window.partitionBy("band").orderBy("id")
+    beside = rows.withColumns({"p": F.lag("id").over(w), "n": F.lead("id").over(w)}).where("p <> id or n <> id")
+    members = cut(beside.select("band", "chk", "id").distinct())
     x = F.col("x.chk").bitwiseXOR(F.col("y.chk"))
     same = sum((x.bitwiseAND(15 << (4 * i)) == 0).cast("int") for i in range(6))
     pairs = members.alias("x").join(members.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (same >= p.agree))
@@ -248,6 +250,9 @@ def candidates(bands: DataFrame, p: Params) -> DataFrame:
 
 def verify(pairs: DataFrame, classes: DataFrame, p: Params, table: np.ndarray, logs: np.ndarray) -> DataFrame:
     """a, b, similarity of the pairs that reach the threshold on their whole texts."""
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    if ids.count() <= 1_000_000:  # 8 MB of ids: sent to the texts; beyond that all texts are shuffled
+        classes = classes.join(F.broadcast(ids), "class", "left_semi")
     # partial aggregation leaves one row of a class in each map task, so a hot class doesn't pile up
     texts = classes.groupBy("class").agg(F.any_value("text").alias("text"))
     left = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
