@@ -30,7 +30,13 @@ def build_session(app: str = "karst", master: str | None = None, **conf: str) ->
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One parquet table of a data directory."""
+    """One parquet table of a data directory.
+
+    A union may claim the partitioning its children share; when adaptive execution then
+    coalesces the children differently, rows of one key end up in several partitions and
+    an aggregation counts them apart. The claim is switched off for the session.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

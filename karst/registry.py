@@ -6,6 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = "dense_topk"
+FLAGSHIP = "hybrid_graph_search"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query and its SQL under a name."""
+
+    def put(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return put
+
+
+def load() -> None:
+    """Import the modules whose queries register themselves."""
+    from karst.plans import analytics, documents, graphs, search, streams  # noqa: F401
+
+
+load()
