@@ -146,11 +146,11 @@ ENTITY_PATTERNS = {
 
 def entities(text: Column) -> Column:
     """Distinct (type, name) structs of the pattern entities, names in lower case, by type and position."""
-    found = [
-        F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda x, k=k: F.struct(F.lit(k).alias("type"), F.lower(x).alias("name")))
-        for k, p in ENTITY_PATTERNS.items()
-    ]
-    return F.array_distinct(F.concat(*found))
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("type"), F.lower(x).alias("name")))
+
+    return F.array_distinct(F.concat(*(of(k, p) for k, p in ENTITY_PATTERNS.items())))
 
 
 def citation_ids(text: Column) -> Column:
