@@ -128,9 +128,13 @@ def classify(nodes: list[Node], unwanted_tags: set[str], unwanted_classes: set[s
     body = body_element(nodes, fused)
     threshold = 0.5 * fused.mean()
     ends: dict[tuple, bool] = {}
-    for n in nodes:  # does a path carry sentences?
+    lengths: dict[tuple, list[int]] = {}
+    for n in nodes:  # does a path carry sentences, and how long are its nodes?
         key = tuple((t, c) for _, t, c in n.path)
         ends[key] = ends.get(key, False) or bool(_SENTENCE_END.search(n.text))
+        lengths.setdefault(key, []).append(len(n.text))
+    full = [x for k, v in lengths.items() if ends[k] for x in v]
+    short = 0.5 * sum(full) / len(full) if full else 0.0  # half a node of running text
     out = []
     for n, score in zip(nodes, fused):
         at = next((d for d, (e, _, _) in enumerate(n.path) if e == body), None)
@@ -151,8 +155,10 @@ def classify(nodes: list[Node], unwanted_tags: set[str], unwanted_classes: set[s
             kind = INSIDE
         elif "a" in tags and not set(tags) & {"p", "li", "td", "th", "blockquote"}:
             kind = INSIDE  # a block that is nothing but a link
-        elif classes and not set(tags) & _OWN and score < threshold and not sentences:
-            kind = INSIDE
+        elif classes and not set(tags) & _OWN and not sentences:
+            own = lengths[tuple((t, c) for _, t, c in n.path)]
+            if score < threshold or sum(own) / len(own) < short:
+                kind = INSIDE
         elif "div" in tags and not set(tags) & _OWN and not sentences:
             kind = INSIDE
         out.append((kind, block))

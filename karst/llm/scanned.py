@@ -143,8 +143,12 @@ def repair(page_bodies: DataFrame, text_elements: DataFrame, p: Params = Params(
     text = staged(text.withColumn("stem", F.when(broken, stem)))
 
     # counts over all lines; the halves of broken words are no words
-    tokens = text.select("item_id", "line_no", F.posexplode("words").alias("pos", "word"), F.size("words").alias("size"), F.col("stem").isNotNull().alias("cut"), "words")
-    whole = tokens.where(~(F.col("cut") & (F.col("pos") == F.col("size") - 1)) & F.col("word").rlike(r"\p{L}"))
+    beside = F.transform("words", lambda w, i: F.struct(
+        i.alias("pos"), w.alias("word"), F.when(i > 0, F.get("words", i - 1)).alias("before"), F.get("words", i + 1).alias("after"),
+        (F.col("stem").isNotNull() & (i == F.size("words") - 1)).alias("half"),
+    ))
+    tokens = text.select("item_id", "line_no", F.inline(beside))
+    whole = tokens.where(~F.col("half") & F.col("word").rlike(r"\p{L}"))
     lexicon = staged(whole.groupBy("word").agg(F.count("*").alias("n")).withColumn("sk", skeleton(F.col("word"))))
 
     halves = text.where("stem is not null and head is not null").select("item_id", "line_no", F.concat("stem", "head").alias("plain"), F.concat_ws("-", "stem", "head").alias("dashed"))
@@ -168,13 +172,10 @@ def misreadings(tokens: DataFrame, lexicon: DataFrame, p: Params) -> DataFrame:
     pairs = lexicon.join(right, "sk").where((F.col("word") != F.col("right")) & (F.col("n_right") >= p.ratio * F.col("n")))
     pairs = staged(pairs.select("word", "right", "n_right", "n", odd.alias("odd")).where(F.col("odd") | (F.length("word") >= 3)))
 
-    places = tokens.where(~(F.col("cut") & (F.col("pos") == F.col("size") - 1))).join(pairs, "word")
-    places = places.withColumns({
-        "before": F.when(F.col("pos") > 0, F.get("words", F.col("pos") - 1)), "after": F.get("words", F.col("pos") + 1),
-    })
+    places = tokens.where(~F.col("half")).join(pairs, "word")
     # bigrams of all lines, summed before the shuffle
-    bigrams = tokens.where(F.col("pos") > 0).groupBy(F.get("words", F.col("pos") - 1).alias("first"), F.col("word").alias("second")).agg(F.count("*").alias("b"))
-    bigrams = bigrams.where("b >= 2")
+    bigrams = tokens.where("before is not null").groupBy(F.col("before").alias("first"), F.col("word").alias("second")).agg(F.count("*").alias("b"))
+    bigrams = staged(bigrams.where("b >= 2"))  # joined four times
     places = places.join(bigrams.select(F.col("first").alias("before"), F.col("second").alias("right"), F.col("b").alias("b1")), ["before", "right"], "left")
     places = places.join(bigrams.select(F.col("first").alias("right"), F.col("second").alias("after"), F.col("b").alias("b2")), ["right", "after"], "left")
     places = places.join(bigrams.select(F.col("first").alias("before"), F.col("second").alias("word"), F.col("b").alias("own1")), ["before", "word"], "left")
