@@ -258,7 +258,7 @@ def from_markdown(text: str) -> tuple[dict, list[dict]]:
 
 
 def save_snapshot(df: DataFrame, path: str, stamp: str, *partition_by: str) -> None:
-    """One snapshot of a table: path/snapshot_ts=stamp, replaced if it is there."""
+    """One snapshot of a table: path/snapshot_ts=stamp, replaced if it is there. All snapshots of a path are partitioned alike."""
     w = df.write.mode("overwrite")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{path}/snapshot_ts={stamp}")
 
