@@ -70,45 +70,60 @@ def items(page_bodies: DataFrame, text_elements: DataFrame) -> DataFrame:
     return both.dropDuplicates(["item_id"])
 
 
-def page_lines(rows: DataFrame, p: Params) -> DataFrame:
-    """Non-blank lines with their rank from the top and the bottom of the page, and whether they are a page number."""
-    lines = rows.select("item_id", "doc", "page", "seq", "etype", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.where(F.length(F.regexp_replace("line", r"[\s ]+", "")) > 0)
+_BLANK = r"^[\s\u00a0]*$"
+
+
+def key_of(line: Column) -> Column:
+    """Skeleton of a line without its numbers; a short key: whole lines of pages without line ends never run."""
+    plain = F.regexp_replace(line, r"(?<![\p{L}])[0-9oOlI|]*[0-9][0-9oOlI|./\-]*(?![\p{L}])", " ")
+    key = F.regexp_replace(skeleton(F.regexp_replace(plain, r"[^\p{L}0-9@(|!$]+", " ")), r"[ (|]+", " ")
+    return F.trim(F.substring(key, 1, 200))
+
+
+def numbered_lines(text: Column) -> Column:
+    """(line_no, line) of the non-blank lines."""
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
+    return F.filter(lines, lambda x: ~x.line.rlike(_BLANK))
+
+
+def edge_lines(rows: DataFrame, p: Params) -> DataFrame:
+    """The first and last lines of every page with their rank from the top and the bottom.
+
+    Only the first and last few lines of an item can be a page's, so no other line moves.
+    """
+    rows = rows.withColumn("lines", numbered_lines(F.col("text"))).withColumn("n", F.size("lines"))
+    few = F.filter("lines", lambda x, i: (i < p.edge) | (i >= F.col("n") - p.edge))
+    lines = rows.select("item_id", "doc", "page", "seq", "etype", F.inline(few))
     page = Window.partitionBy("doc", "page")
     order = ["seq", "item_id", "line_no"]
     lines = lines.withColumns({
         "top": F.row_number().over(page.orderBy(*order)),
         "bottom": F.row_number().over(page.orderBy(*(F.desc(c) for c in order))),
-    })
-    lines = lines.withColumn("edge", (F.col("top") <= p.edge) | (F.col("bottom") <= p.edge))
+    }).where((F.col("top") <= p.edge) | (F.col("bottom") <= p.edge))
     number = F.translate(F.regexp_extract("line", _NUMBER, 1), "oOlI", "0011")
-    lines = lines.withColumn("number", F.when(F.col("edge") & (number != ""), number.try_cast("int")))
-    plain = F.regexp_replace("line", r"(?<![\p{L}])[0-9oOlI|]*[0-9][0-9oOlI|./\-]*(?![\p{L}])", " ")
-    # a short key: whole lines of pages without line ends never run
-    key = F.regexp_replace(skeleton(F.regexp_replace(plain, r"[^\p{L}0-9@(|!$]+", " ")), r"[ (|]+", " ")
-    return lines.withColumn("key", F.trim(F.substring(key, 1, 200)))
+    return lines.withColumns({"number": F.when(number != "", number.try_cast("int")), "key": key_of(F.col("line"))})
 
 
-def mark_furniture(lines: DataFrame, p: Params) -> DataFrame:
-    """`lines` with role: running, page_number or text."""
+def furniture(rows: DataFrame, p: Params) -> DataFrame:
+    """item_id, line_no, role (running or page_number) of the lines that are no text."""
+    lines = staged(edge_lines(rows, p))
     # page numbers follow the page of the table, or differ from it alike throughout the document
     offsets = lines.where("number is not null").select("doc", "page", (F.col("number") - F.col("page")).alias("offset")).distinct()
     common = offsets.groupBy("doc", "offset").agg(F.count("*").alias("pages")).where("pages >= 2").select("doc", "offset", F.lit(True).alias("steady"))
     lines = lines.withColumn("offset", F.col("number") - F.col("page")).join(common, ["doc", "offset"], "left")
     decorated = F.length(F.regexp_replace("line", r"[0-9\s]", "")) > 0
     outer = (F.col("top") <= 2) | (F.col("bottom") <= 2)
-    numbered = F.col("number").isNotNull() & (F.coalesce("steady", F.lit(False)) | F.col("offset").between(0, 1) | (decorated & outer))
-    usable = (F.length("key") >= 4) & ~numbered
-    by_key = lines.where(usable).groupBy("key").agg(
-        F.sum(F.col("edge").cast("int")).alias("at_edge"), F.count("*").alias("everywhere"),
-        F.approx_count_distinct(F.when(F.col("edge"), F.col("doc"))).alias("docs"),
-    )
-    in_doc = lines.where(usable & F.col("edge")).select("doc", "key", "page").distinct().groupBy("doc", "key").agg(F.count("*").alias("pages"))
-    lines = lines.join(by_key, "key", "left").join(in_doc, ["doc", "key"], "left")
-    at_edges = F.col("at_edge") >= p.edge_share * F.col("everywhere")
+    lines = staged(lines.withColumn("numbered", F.col("number").isNotNull() & (F.coalesce("steady", F.lit(False)) | F.col("offset").between(0, 1) | (decorated & outer))))
+    usable = lines.where((F.length("key") >= 4) & ~F.col("numbered")).withColumn("h", F.xxhash64("key"))
+    everywhere = rows.select(F.explode(F.transform(numbered_lines(F.col("text")), lambda x: F.xxhash64(key_of(x.line)))).alias("h")).groupBy("h").agg(F.count("*").alias("everywhere"))
+    at_edges = usable.groupBy("h").agg(F.count("*").alias("at_edge"), F.approx_count_distinct("doc").alias("docs"))
+    in_doc = usable.groupBy("doc", "h").agg(F.count_distinct("page").alias("pages"))
+    by_key = at_edges.join(everywhere, "h", "left").where(F.col("at_edge") >= p.edge_share * F.coalesce("everywhere", "at_edge"))
+    found = usable.join(by_key, "h").join(in_doc, ["doc", "h"])
     typed = F.coalesce(F.col("etype").isin("page_header", "page_footer"), F.lit(False))
-    running = F.col("edge") & usable & at_edges & ((F.col("pages") >= 2) | ((F.col("docs") >= 3) & outer) | (typed & outer & (F.col("docs") >= 2)))
-    return lines.withColumn("role", F.when(numbered, "page_number").when(F.coalesce(running, F.lit(False)), "running").otherwise("text"))
+    running = (F.col("pages") >= 2) | ((F.col("docs") >= 3) & outer) | (typed & outer & (F.col("docs") >= 2))
+    found = found.where(running).select("item_id", "line_no", F.lit("running").alias("role"))
+    return found.unionByName(lines.where("numbered").select("item_id", "line_no", F.lit("page_number").alias("role")))
 
 
 def words_of(line: Column) -> Column:
@@ -117,25 +132,30 @@ def words_of(line: Column) -> Column:
     return F.filter(F.transform(raw, lambda w: F.lower(F.regexp_replace(w, _STRIP, ""))), lambda w: (w != "") & (w != "|"))
 
 
-def next_lines(text: DataFrame) -> DataFrame:
-    """Text lines with `following`, the next line of text in the document (perhaps on another page or element)."""
-    # the last line of an item is continued by the first of the next item: one summary row an item
-    item = Window.partitionBy("item_id").orderBy("line_no")
-    text = text.withColumn("following", F.lead("line").over(item))
-    first = text.groupBy("doc", "page", "seq", "item_id").agg(F.min_by("line", "line_no").alias("line"))
-    after = first.select("item_id", F.lead("line").over(Window.partitionBy("doc").orderBy("page", "seq", "item_id")).alias("first_after"))
-    return text.join(after, "item_id").withColumn("following", F.coalesce("following", "first_after")).drop("first_after")
+def text_lines(rows: DataFrame, roles: DataFrame) -> DataFrame:
+    """The lines of text of every item in order, with `following`, the next line of text in the
+    document (perhaps on another page or element)."""
+    # few lines an item: its furniture fits one row
+    out = roles.groupBy("item_id").agg(F.collect_set("line_no").alias("out"))
+    kept = rows.select("item_id", "doc", "page", "seq", "text").join(out, "item_id", "left").withColumn("out", F.coalesce("out", F.array().cast("array<int>")))
+    kept = kept.select("item_id", "doc", "page", "seq", F.filter(numbered_lines(F.col("text")), lambda x: ~F.array_contains("out", x.line_no)).alias("lines")).where(F.size("lines") > 0)
+    # the last line of an item is continued by the first of the next item; rows of a document stream through the window
+    after = F.lead(F.col("lines")[0]["line"]).over(Window.partitionBy("doc").orderBy("page", "seq", "item_id"))
+    kept = kept.withColumn("after", after)
+    follow = F.transform("lines", lambda x, i: F.struct(x.line_no.alias("line_no"), x.line.alias("line"), F.coalesce(F.get(F.col("lines"), i + 1)["line"], F.col("after")).alias("following")))
+    return kept.select("item_id", "doc", "page", "seq", F.inline(follow))
 
 
 def repair(page_bodies: DataFrame, text_elements: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """(spots, lines). spots: item_id, line_no, kind, word of what is to repair, distinct.
-    lines: item_id, doc, page, seq, line_no, line, role, following of every non-blank line.
+    lines: item_id, doc, page, seq, line_no, line, following, words of every line of text.
 
     Null and blank texts give nothing; repeated rows of a key count once.
     """
-    lines = staged(mark_furniture(page_lines(items(page_bodies, text_elements), p), p).select("item_id", "doc", "page", "seq", "line_no", "line", "role"))
-    furniture = lines.where("role <> 'text'").select("item_id", "line_no", F.col("role").alias("kind"), F.lit("").alias("word"))
-    text = next_lines(lines.where("role = 'text'"))
+    rows = staged(items(page_bodies, text_elements))
+    roles = staged(furniture(rows, p))
+    marked = roles.select("item_id", "line_no", F.col("role").alias("kind"), F.lit("").alias("word"))
+    text = text_lines(rows, roles)
     text = text.withColumns({"words": words_of(F.col("line")), "head": F.element_at(words_of(F.col("following")), 1)})
     last = F.element_at(F.split(F.regexp_replace("line", r"[\s ]+$", ""), r"[\s ]"), -1)
     broken = last.rlike(rf"\p{{L}}[{_HYPHENS}]$") & F.trim("following").rlike(r"^\p{L}") & ~F.trim("line").startswith("|")
@@ -162,7 +182,7 @@ def repair(page_bodies: DataFrame, text_elements: DataFrame, p: Params = Params(
     hyphens = halves.select("item_id", "line_no", F.lit("hyphen").alias("kind"), F.when(unknown & F.col("right").isNotNull(), F.col("right")).otherwise(F.col("word")).alias("word"))
 
     misread = misreadings(tokens, lexicon, p)
-    return furniture.unionByName(hyphens).unionByName(misread).distinct(), text
+    return marked.unionByName(hyphens).unionByName(misread).distinct(), text
 
 
 def misreadings(tokens: DataFrame, lexicon: DataFrame, p: Params) -> DataFrame:
@@ -172,7 +192,11 @@ def misreadings(tokens: DataFrame, lexicon: DataFrame, p: Params) -> DataFrame:
     pairs = lexicon.join(right, "sk").where((F.col("word") != F.col("right")) & (F.col("n_right") >= p.ratio * F.col("n")))
     pairs = staged(pairs.select("word", "right", "n_right", "n", odd.alias("odd")).where(F.col("odd") | (F.length("word") >= 3)))
 
-    places = tokens.where(~F.col("half")).join(pairs, "word")
+    places = tokens.where(~F.col("half"))
+    odd_words = pairs.select("word").distinct()
+    if odd_words.count() <= 500_000:  # at most some 20 MB of words: sent to the tokens; beyond that the tokens are shuffled
+        places = places.join(F.broadcast(odd_words), "word", "left_semi")
+    places = places.join(pairs, "word")
     # bigrams of all lines, summed before the shuffle
     bigrams = tokens.where("before is not null").groupBy(F.col("before").alias("first"), F.col("word").alias("second")).agg(F.count("*").alias("b"))
     bigrams = staged(bigrams.where("b >= 2"))  # joined four times
