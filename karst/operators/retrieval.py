@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from karst.core.session import cut
 from karst.functions import text as T
 
 
@@ -34,6 +35,49 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", blo
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def near_pairs(rows: DataFrame, least: float, block: int = 2048, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """a, b, score: all pairs a < b of rows whose cosine is over `least`.
+
+    Every vector meets every other. Rows go out in blocks of at most `block` vectors, in the order
+    of keys, to the rows with a greater key; only pairs over `least` leave a worker. Vectors of
+    different lengths and null vectors make no pair.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    x = rows.select(F.col(key).alias("b"), F.col(vector).alias("v")).where(F.col("b").isNotNull() & F.col("v").isNotNull())
+    blocks = max(1, -(-x.count() // block))
+    numbered = cut(x.withColumn("__block", F.ntile(blocks).over(Window.orderBy("b")))) if blocks > 1 else x.withColumn("__block", F.lit(1))
+    out = None
+    for n in range(1, blocks + 1):
+        part = numbered.where(F.col("__block") == n).orderBy("b").toPandas()
+        near = _over(numbered.where(F.col("__block") >= n).select("b", "v"), part["b"].tolist(), part["v"].tolist(), least, kind)
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
+def _over(rows: DataFrame, ids: list, vectors: list, least: float, kind: str) -> DataFrame:
+    blocks = {}
+    for size in {len(v) for v in vectors}:
+        own = [i for i, v in enumerate(vectors) if len(v) == size]
+        blocks[size] = np.array([ids[i] for i in own]), _unit(np.array([np.asarray(vectors[i], float) for i in own]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sizes = pdf["v"].map(len)
+            for size in set(sizes) & set(blocks):
+                left, q = blocks[size]
+                some = pdf[sizes == size]
+                right, s = some["b"].to_numpy(), _unit(np.stack(some["v"].to_numpy()).astype(float)) @ q.T
+                i, j = np.nonzero((s > least) & (left[None, :] < right[:, None]))
+                yield pd.DataFrame({"a": left[j], "b": right[i], "score": s[i, j]})
+
+    return rows.mapInPandas(run, f"a {kind}, b {kind}, score double")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
 def _scores(rows: DataFrame, ids: list, vectors: list, k: int, metric: str, key: str, vector: str, kind: str) -> DataFrame:
     q = np.array([np.asarray(v, float) for v in vectors]) if vectors else np.zeros((0, 1))
     name = metric.lower()

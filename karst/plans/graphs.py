@@ -243,12 +243,20 @@ def relationship_merge(spark, d):
 @query("near_dup_pairs", """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity
 FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id % 50 = 0 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.35""")
 def near_dup_pairs(spark, d):
-    """Vectors nearer than 0.35 to a stated query set (every id divisible by 50), against all rows in blocks."""
+    """Vectors nearer than 0.35 to a stated query set (every id divisible by 50) with a greater id, as the SQL states it; all pairs are in `near_dup_all_pairs`."""
     e = table(spark, d, "embeddings")
     near = R.knn(e, e.where("vec_id % 50 = 0"), 1_000_000_000, block=256)
     return near.where("score > 0.35 and query_id < vec_id").select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), F.round("score", 5).alias("similarity"))
 
 
+@query("near_dup_all_pairs", """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.35""")
+def near_dup_all_pairs(spark, d):
+    """The near-duplicate join: every vector against every other."""
+    near = R.near_pairs(table(spark, d, "embeddings"), 0.35)
+    return near.select("a", "b", F.round("score", 5).alias("similarity"))
+
+
 def light(spark, d):
     nodes_, edges_ = G.light_graph(mentions(spark, d), least=1)
     return cut(nodes_), cut(edges_)

@@ -133,3 +133,23 @@ def test_remap_drops_loops_and_repeats(spark):
     canon = spark.createDataFrame([("b", "a")], "id string, root string")
     rows = G.remap(edges(spark, [("a", "b", 1), ("b", "c", 1), ("a", "c", 2)]), canon).collect()
     assert [(r.src, r.dst, r.id) for r in rows] == [("a", "c", "e1")]
+
+
+def test_near_pairs_loses_no_link(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(70, 4))
+    df = spark.createDataFrame([(i * 7 + 1, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 4), (1002, [1.0, 2.0])], "vec_id long, embedding array<double>").repartition(3)
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i * 7 + 1, j * 7 + 1) for i in range(70) for j in range(i + 1, 70) if n[i] @ n[j] > 0.35}
+    for block in (2048, 16):
+        got = [(r.a, r.b) for r in R.near_pairs(df, 0.35, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert R.near_pairs(df.limit(0), 0.35).count() == 0
+
+
+def test_near_dup_join_takes_every_id(spark, tmp_path):
+    from karst.registry import QUERIES
+
+    v = {1: [1.0, 0.0], 2: [1.0, 0.1], 50: [0.0, 1.0], 49: [0.1, 1.0]}
+    spark.createDataFrame(list(v.items()), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {(r.a, r.b) for r in QUERIES["near_dup_all_pairs"](spark, str(tmp_path)).collect()} == {(1, 2), (49, 50)}
