@@ -136,15 +136,29 @@ _DAY = r"coalesce(try_strptime(regexp_extract(date_text, '^(\d{4}-\d{2}-\d{2})',
 row_number() OVER (PARTITION BY a.namespace ORDER BY {_DAY} NULLS LAST, e.id) AS position FROM e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst
 WHERE NOT regexp_matches(coalesce(date_text, ''), '^[0-9]+ [a-zA-Zéú]+ [0-9]+$')""")
 def timeline(spark, d):
-    """Relationships of a namespace in time, undated last; dates with a month name are left to `dated_in_words`."""
-    n = nodes(spark, d)
-    e = edges(spark, d).where(~F.coalesce("date_text", F.lit("")).rlike(r"^[0-9]+ [a-zA-Zéú]+ [0-9]+$"))
+    """Relationships of a namespace in time, undated last, without those of a day with a month name, as the SQL states it; all are in `timeline_whole`."""
+    return in_time(nodes(spark, d), edges(spark, d).where(~F.coalesce("date_text", F.lit("")).rlike(r"^[0-9]+ [a-zA-Zéú]+ [0-9]+$")))
+
+
+def in_time(n: DataFrame, e: DataFrame) -> DataFrame:
     e = e.join(n.select(F.col("id").alias("src"), F.col("name").alias("source"), "namespace"), "src").join(n.select(F.col("id").alias("dst"), F.col("name").alias("target")), "dst")
     e = e.withColumn("day", T.calendar_date(F.col("date_text")))
     w = Window.partitionBy("namespace").orderBy(F.asc_nulls_last("day"), "id")
     return e.select("id", "source", "target", "type", "day", F.row_number().over(w).cast("long").alias("position"))
 
 
+_NUMBERS = "MAP {" + ", ".join(f"'{m}': {i}" for m, i in sorted({m: i for names in (T.MONTHS_IT, T.MONTHS_EN, T.MONTHS_ES) for i, m in enumerate(names, 1)}.items())) + "}"
+_ANY_DAY = rf"""coalesce({_DAY}, try_strptime(regexp_extract(lower(trim(date_text)), '^\d{{1,2}} \p{{L}}+ (\d{{4}})$', 1) || '-' ||
+{_NUMBERS}[regexp_extract(lower(trim(date_text)), '^\d{{1,2}} (\p{{L}}+) \d{{4}}$', 1)] || '-' || regexp_extract(trim(date_text), '^\d{{1,2}}'), '%Y-%m-%d')::DATE)"""
+
+
+@query("timeline_whole", f"""{WITH} SELECT e.id, a.name AS source, b.name AS target, e.type, {_ANY_DAY} AS day,
+row_number() OVER (PARTITION BY a.namespace ORDER BY {_ANY_DAY} NULLS LAST, e.id) AS position FROM e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst""")
+def timeline_whole(spark, d):
+    """All relationships of a namespace in time, days with a month name at their place, undated last."""
+    return in_time(nodes(spark, d), edges(spark, d))
+
+
 @query("entity_info", f"""{WITH}, d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id)
 SELECT n.id, n.name, coalesce(d.degree, 0) AS degree FROM n LEFT JOIN d USING (id)""")
 def entity_info(spark, d):

@@ -153,3 +153,14 @@ def test_near_dup_join_takes_every_id(spark, tmp_path):
     v = {1: [1.0, 0.0], 2: [1.0, 0.1], 50: [0.0, 1.0], 49: [0.1, 1.0]}
     spark.createDataFrame(list(v.items()), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert {(r.a, r.b) for r in QUERIES["near_dup_all_pairs"](spark, str(tmp_path)).collect()} == {(1, 2), (49, 50)}
+
+
+def test_timeline_places_days_in_words(spark, tmp_path):
+    from karst.registry import QUERIES
+
+    days = ["2026-03-12", "11 marzo 2026", "10/03/2026", None, "1 agosto 2021", "?", "3 May 2026"]
+    spark.createDataFrame([(f"n{i}", "person", {"name": f"p{i}"}, "x", ["c"], None) for i in range(2)], "id string, label string, properties map<string,string>, namespace string, source_ids array<string>, import_timestamp timestamp").write.parquet(f"{tmp_path}/graph_nodes.parquet")
+    rows = [(f"r{i}", "n0", "n1", "knows", 1.0, t, None) for i, t in enumerate(days)]
+    spark.createDataFrame(rows, "relationship_id string, source_id string, target_id string, relationship_type string, amount double, date_text string, created_at timestamp").write.parquet(f"{tmp_path}/graph_relationships.parquet")
+    got = QUERIES["timeline_whole"](spark, str(tmp_path)).orderBy("position").collect()
+    assert [(r.id, str(r.day)) for r in got] == [("r4", "2021-08-01"), ("r2", "2026-03-10"), ("r1", "2026-03-11"), ("r0", "2026-03-12"), ("r6", "2026-05-03"), ("r3", "None"), ("r5", "None")]
