@@ -292,14 +292,14 @@ def light_graph(spark, d):
 def ppr_topk(spark, d):
     """The fifty chunks nearest to the seed entities by personalised PageRank."""
     n, e = light(spark, d)
-    scores = G.pagerank(n, e, entity_seeds(spark, d), rounds=8).where(F.col("id").startswith("c:"))
+    scores = G.pagerank(n, e, entity_seeds(spark, d)).where(F.col("id").startswith("c:"))
     top = scores.orderBy(F.desc(F.round("score", 9)), "id").limit(50)
     return top.select(F.substring("id", 3, 64).alias("chunk_id"), F.round("score", 7).alias("score"))
 
 
 @query("graph_pagerank")
 def graph_pagerank(spark, d):
-    return G.pagerank(nodes(spark, d), edges(spark, d), rounds=8).withColumn("score", F.round("score", 7))
+    return G.pagerank(nodes(spark, d), edges(spark, d)).withColumn("score", F.round("score", 7))
 
 
 @query("graph_communities")
@@ -321,7 +321,7 @@ def community_sizes(spark, d):
 def community_boost(spark, d):
     """PageRank of chunks, raised for chunks that share communities with the twenty best entities."""
     n, e = light(spark, d)
-    scores = cut(G.pagerank(n, e, entity_seeds(spark, d), rounds=6))
+    scores = cut(G.pagerank(n, e, entity_seeds(spark, d)))
     parts = cut(G.communities(n, e, rounds=4))
     best = scores.where(F.col("id").startswith("e:")).orderBy(F.desc("score"), "id").limit(20)
     own = e.where("type = 'HAS_ENTITY'").join(parts.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "community").distinct()
@@ -349,7 +349,7 @@ def hybrid_graph_search(spark, d):
     first = words.orderBy(F.desc(F.round("sparse", 9)), "id").limit(100)
     first = first.select("id", F.row_number().over(Window.orderBy(F.desc(F.round("sparse", 9)), "id")).alias("rank"))
     n, e = light(spark, d)
-    near = G.pagerank(n, e, entity_seeds(spark, d), rounds=6).where(F.col("id").startswith("c:")).select(F.substring("id", 3, 64).alias("id"), "score")
+    near = G.pagerank(n, e, entity_seeds(spark, d)).where(F.col("id").startswith("c:")).select(F.substring("id", 3, 64).alias("id"), "score")
     near = near.join(c.select("id"), "id", "left_semi").orderBy(F.desc(F.round("score", 9)), "id").limit(100)
     near = near.select("id", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "id")).alias("rank"))
     fused = R.rrf([first, near], "id").join(c, "id").withColumn("day", T.calendar_date(F.col("date_text")))

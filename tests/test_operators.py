@@ -164,3 +164,21 @@ def test_timeline_places_days_in_words(spark, tmp_path):
     spark.createDataFrame(rows, "relationship_id string, source_id string, target_id string, relationship_type string, amount double, date_text string, created_at timestamp").write.parquet(f"{tmp_path}/graph_relationships.parquet")
     got = QUERIES["timeline_whole"](spark, str(tmp_path)).orderBy("position").collect()
     assert [(r.id, str(r.day)) for r in got] == [("r4", "2021-08-01"), ("r2", "2026-03-10"), ("r1", "2026-03-11"), ("r0", "2026-03-12"), ("r6", "2026-05-03"), ("r3", "None"), ("r5", "None")]
+
+
+def test_graph_pagerank_is_converged(spark, tmp_path):
+    from karst.registry import QUERIES
+
+    n = 60
+    spark.createDataFrame([(f"n{i}", "person", {"name": f"p{i}"}, "x", ["c"], None) for i in range(n)], "id string, label string, properties map<string,string>, namespace string, source_ids array<string>, import_timestamp timestamp").write.parquet(f"{tmp_path}/graph_nodes.parquet")
+    ends = [(i, i + 1) for i in range(n - 2)] + [(0, i) for i in range(2, 20)]  # one node stays loose
+    rows = [(f"r{i}", f"n{a}", f"n{b}", "knows", 1.0, None, None) for i, (a, b) in enumerate(ends)]
+    spark.createDataFrame(rows, "relationship_id string, source_id string, target_id string, relationship_type string, amount double, date_text string, created_at timestamp").coalesce(1).write.parquet(f"{tmp_path}/graph_relationships.parquet")
+    w = np.zeros((n, n))
+    for a, b in ends:
+        w[a, b] = w[b, a] = 1
+    loose = w.sum(1) == 0
+    p = np.where(loose[:, None], 1 / n, w / np.maximum(w.sum(1), 1)[:, None])
+    want = np.linalg.solve(np.eye(n) - 0.85 * p.T, np.full(n, 0.15 / n))
+    got = {r.id: r.score for r in QUERIES["graph_pagerank"](spark, str(tmp_path)).collect()}
+    assert max(abs(got[f"n{i}"] - want[i]) for i in range(n)) < 1.01e-7
