@@ -7,9 +7,10 @@
     there are at most (mean shingles a text) / share of them, whatever the corpus: only
     those travel to the workers.
 3.  Each class gets consistent weighted samples: a sample of two texts is equal with the
-    probability of their weighted Jaccard similarity. Samples are banded; a band's key
-    carries a check of six samples of other bands, and two classes of a bucket become a
-    candidate only if at least `agree` of these agree too.
+    probability of their weighted Jaccard similarity. Samples are banded; a band's row
+    carries a check of sixteen samples of other bands, and two classes of a bucket become a
+    candidate only if at least `agree` of these agree too. The three are chosen for the least
+    weighted similarity that a true pair can have (`Params.chance`).
 4.  Candidates are verified on the whole texts, by weighted Jaccard similarity first and
     then by the exact similarity on distinct shingles.
 
@@ -41,9 +42,9 @@ class Params:
     threshold: float = 0.6
     words: int = 3
     min_words: int = 20
-    bands: int = 28
-    rows: int = 5
-    agree: int = 3
+    bands: int = 64
+    rows: int = 3
+    agree: int = 5
     floor: float = 2.0
     ceiling: float = 4.0
 
@@ -53,6 +54,12 @@ class Params:
         greatest weight and all that is shared the least."""
         return self.threshold / (self.threshold + (1 - self.threshold) * self.ceiling / self.floor)
 
+    def chance(self, weighted: float) -> float:
+        """That a pair of this weighted similarity becomes a candidate, samples taken as independent."""
+        q = weighted + (1 - weighted) / 16  # a check keeps four bits of a sample
+        passes = sum(math.comb(16, k) * q**k * (1 - q) ** (16 - k) for k in range(self.agree, 17))
+        return 1 - (1 - weighted**self.rows * passes) ** self.bands
+
 
 class _WordHash(dict):
     """64-bit hash by word; emptied when large."""
@@ -178,24 +185,24 @@ class Sampler:
             out[k] = np.minimum.reduceat(((rank << np.uint64(32)) | mark)[inverse], starts).astype(np.uint32)
         return out
 
-    def keys(self, samples: np.ndarray) -> np.ndarray:
-        """One row for each band: hash (34 bits), band (6 bits), check (24 bits)."""
+    def keys(self, samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two rows for each band: its key, of hash (58 bits) and band (6 bits), and its check, of four bits of 16 samples."""
         p = self.p
-        out = np.empty((p.bands, samples.shape[1]), np.uint64)
+        keys, checks = np.empty((2, p.bands, samples.shape[1]), np.uint64)
         for band in range(p.bands):
             h = np.zeros(samples.shape[1], np.uint64)
             for k in range(band * p.rows, (band + 1) * p.rows):
                 h = _mix((h ^ samples[k]) * _M3)
             check = np.zeros(samples.shape[1], np.uint64)
-            for i in range(6):
+            for i in range(16):
                 k = ((band + 1) * p.rows + i) % len(samples)
                 check = (check << np.uint64(4)) | (samples[k].astype(np.uint64) & np.uint64(15))
-            out[band] = (((h & np.uint64((1 << 34) - 1)) << np.uint64(6)) | np.uint64(band)) << np.uint64(24) | check
-        return out
+            keys[band], checks[band] = h << np.uint64(6) | np.uint64(band), check
+        return keys, checks
 
 
 def band_rows(classes: DataFrame, p: Params, table: np.ndarray, logs: np.ndarray) -> DataFrame:
-    """kc (band key and check), id: a row for each band of each class.
+    """band (its key), chk, id: a row for each band of each class.
 
     Copies within a partition are sampled once; those of other partitions fall together later.
     """
@@ -225,25 +232,24 @@ def band_rows(classes: DataFrame, p: Params, table: np.ndarray, logs: np.ndarray
         s, doc = s[enough], doc[enough]
         if len(s):
             starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-            keys = sampler.keys(sampler.samples(s, starts))
+            flat, checks = (x.T.ravel().view(np.int64) for x in sampler.keys(sampler.samples(s, starts)))
             own = np.repeat(np.array(ids, np.int64)[doc[starts]], p.bands)
-            flat = keys.T.ravel().view(np.int64)
             for at in range(0, len(flat), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + 100_000]), pa.array(own[at : at + 100_000])], ["kc", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (flat, checks, own)], ["band", "chk", "id"])
 
-    return classes.mapInArrow(run, "kc bigint, id bigint")
+    return classes.mapInArrow(run, "band bigint, chk bigint, id bigint")
 
 
 def candidates(bands: DataFrame, p: Params) -> DataFrame:
     """Distinct pairs a < b of classes that share a band and agree in its check."""
-    rows = bands.select(F.shiftrightunsigned("kc", 24).alias("band"), F.col("kc").bitwiseAND((1 << 24) - 1).cast("int").alias("chk"), "id")
-    # in the order of ids a class of a shared bucket has another class before or behind it: one
-    # pass over sorted rows, with no more than three of them at hand
+    # in the order of ids, copies of a row are neighbours, and a class of a shared bucket then has
+    # another class before or behind it: both in one pass over sorted rows, few of them at hand
     w = Window.partitionBy("band").orderBy("id")
-    beside = rows.withColumns({"p": F.lag("id").over(w), "n": F.lead("id").over(w)}).where("p <> id or n <> id")
-    members = cut(beside.select("band", "chk", "id").distinct())
+    once = bands.withColumn("p", F.lag("id").over(w)).where("p is null or p <> id")
+    beside = once.withColumns({"p": F.lag("id").over(w), "n": F.lead("id").over(w)}).where("p is not null or n is not null")
+    members = cut(beside.select("band", "chk", "id"))
     x = F.col("x.chk").bitwiseXOR(F.col("y.chk"))
-    same = sum((x.bitwiseAND(15 << (4 * i)) == 0).cast("int") for i in range(6))
+    same = sum((F.shiftrightunsigned(x, 4 * i).bitwiseAND(15) == 0).cast("int") for i in range(16))
     pairs = members.alias("x").join(members.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (same >= p.agree))
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 

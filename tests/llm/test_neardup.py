@@ -57,3 +57,22 @@ def test_samples_agree_as_often_as_texts_are_alike():
     starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     x = N.Sampler(p, np.empty(0, np.uint64), np.empty(0, np.float32)).samples(s, starts)
     assert abs((x[:, 0] == x[:, 1]).mean() - similarity(" ".join(base), " ".join(other))) < 0.08
+
+
+def test_edited_copies_of_a_hot_text_are_found(spark):
+    rng = random.Random(7)
+    fresh = (f"u{i}" for i in itertools.count())
+    texts = []
+    for _ in range(2):  # each base is in a quarter of the rows, so what is shared weighs least and edits most
+        base = [next(fresh) for _ in range(80)]
+        texts += [" ".join(base + [next(fresh) for _ in range(rng.randrange(22, 26))]) for _ in range(20)]
+    texts += [" ".join(next(fresh) for _ in range(60)) for _ in range(40)]
+    links, members = N.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    got = {(r.id_a, r.id_b) for r in N.expand(links, members).collect()}
+    want = {(a, b) for (a, s), (b, t) in itertools.combinations(enumerate(texts), 2) if similarity(s, t) >= 0.6}
+    assert len(want) > 300 and got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_bands_suit_the_least_similarity_of_true_pairs():
+    p = N.Params()
+    assert p.bands <= 64 and p.chance(p.least_weighted) >= 0.98
