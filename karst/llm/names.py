@@ -388,23 +388,43 @@ def read_forms(names: DataFrame, common: dict[str, str]) -> DataFrame:
     return names.select("key", "namespace", "name").mapInArrow(run, FORMS)
 
 
+def thirds(core: str) -> dict[str, bool]:
+    """Keys that two cores within two edits share; true for the core's own thirds.
+
+    Two edits leave one of three parts of a core whole, moved by two places at most. So a core also
+    gives the parts that cores of nearly its length would have there.
+    """
+    out: dict[str, bool] = {}
+    for n in range(len(core) - 2, len(core) + 3):
+        for i in range(3):
+            start, end = n * i // 3, n * (i + 1) // 3
+            for move in range(-2, 3):
+                if start + move >= 0 and end + move <= len(core):
+                    key = f"\x00{n} {i} {core[start + move : end + move]}"
+                    out[key] = out.get(key, False) or (n == len(core) and move == 0)
+    return out
+
+
 def near_cores(forms: DataFrame) -> DataFrame:
-    """namespace, kind, a, b: distinct cores within two edits (one for short cores), by symmetric deletes; a <= b."""
+    """namespace, kind, a, b: distinct cores that may be within two edits (one for short cores), by
+    symmetric deletes, long ones by equal thirds; a <= b."""
     cores = forms.select("namespace", "kind", "core").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for space, kind, core in zip(*(c.to_pylist() for c in batch.columns)):
-                most = 2 if 8 <= len(core) <= 24 else 1
-                out += [(space, kind, core, x) for x in deletes(core, most)] if len(core) <= 64 else [(space, kind, core, core)]
-            cols = list(zip(*out)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["namespace", "kind", "core", "left"])
+                if len(core) <= 24:
+                    out += [(space, kind, core, x, True) for x in deletes(core, 2 if len(core) >= 8 else 1)]
+                if len(core) >= 23:  # those of 23 and 24 meet both kinds of partners
+                    out += [(space, kind, core, x, own) for x, own in thirds(core).items()]
+            cols = list(zip(*out)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 4 + [pa.bool_()])], ["namespace", "kind", "core", "left", "own"])
 
-    index = cores.mapInArrow(run, "namespace string, kind string, core string, left string").select("namespace", "kind", "core", F.xxhash64("left").alias("h"))
+    index = cores.mapInArrow(run, "namespace string, kind string, core string, left string, own boolean").select("namespace", "kind", "core", F.xxhash64("left").alias("h"), "own")
     index = staged(index)
     a, b = index.alias("a"), index.alias("b")
-    pairs = a.join(b, F.expr("a.namespace = b.namespace and a.kind = b.kind and a.h = b.h and a.core < b.core"))
+    pairs = a.join(b, F.expr("a.namespace = b.namespace and a.kind = b.kind and a.h = b.h and a.core < b.core and (a.own or b.own)"))
     pairs = pairs.select("a.namespace", "a.kind", F.col("a.core").alias("a"), F.col("b.core").alias("b")).distinct()
     return pairs.unionByName(cores.select("namespace", "kind", F.col("core").alias("a"), F.col("core").alias("b")))
 

@@ -57,3 +57,18 @@ def test_levels(spark):
     assert got == {100 * level + i: level for level in TEXTS for i in range(12)}
     assert {r.reading_level for r in R.reading_levels(docs, lab.limit(0)).collect()} == {2}
     assert R.reading_levels(docs.limit(0), lab).count() == 0
+
+
+def test_long_cores_within_two_edits_are_candidates(spark):
+    from karst.llm import names
+
+    base = "abcdefghijklmnopqrstuvwxyz" * 3
+    want = set()
+    for n in (24, 26, 40, 70):
+        core = base[:n]
+        for other in (core[:3] + "0" + core[4:-3] + "1" + core[-2:], core[:5] + core[6 : n // 2] + core[n // 2 + 1 :], "00" + core, core[:9] + core[11:]):
+            want.add((str(n), *sorted((core, other))))
+    rows = [(space, "firm", core) for space, *pair in want for core in pair] + [("26", "firm", "z" * 26)]
+    got = {(r.namespace, r.a, r.b) for r in names.near_cores(spark.createDataFrame(rows, "namespace string, kind string, core string")).collect()}
+    assert want <= got
+    assert not any(a != b and "z" * 26 in (a, b) for _, a, b in got)
