@@ -328,6 +328,14 @@ def cleaned_strings(spark, d):
     return e.where("text not like '%&%'").select("element_id", T.cleaned(F.col("text")).alias("text"))
 
 
+@query("cleaned_strings_whole", r"""WITH t AS (SELECT element_id, regexp_replace(any_value(text), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]', '', 'g') AS text FROM text_elements GROUP BY element_id)
+SELECT element_id, trim(regexp_replace(trim(replace(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')), '^["'']+|["'']+$', '', 'g')) AS text FROM t WHERE text IS NOT NULL""")
+def cleaned_strings_whole(spark, d):
+    """Like `cleaned_strings`, which as its SQL states leaves out texts with '&', over all texts."""
+    e = table(spark, d, "text_elements").dropDuplicates(["element_id"])
+    return e.where("text is not null").select("element_id", T.cleaned(F.col("text")).alias("text"))
+
+
 @query("split_fields", LATEST + " SELECT id, list_transform(string_split(replace(metadata_source, '//', '/'), '/'), lambda x: trim(x)) AS parts FROM c WHERE metadata_source IS NOT NULL")
 def split_fields(spark, d):
     return chunks(spark, d).where("metadata_source is not null").select("id", T.split_on(F.col("metadata_source"), "//", "/").alias("parts"))

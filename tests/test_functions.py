@@ -76,3 +76,17 @@ def test_vectors(spark):
     assert [round(r[0], 6) for r in rows] == [0, 1, 0] and round(rows[0][1], 6) == round(5**0.5, 6)
     with pytest.raises(ValueError):
         vectors.similarity("hamming", F.col("a"), F.col("b"))
+
+
+def test_cleaned_strings_keeps_texts_with_entities(spark, tmp_path):
+    import duckdb
+
+    from karst.registry import ORACLE, QUERIES
+
+    rows = [("a", "R&D"), ("b", "&quot;x &amp; y&quot;"), ("c", "&lt;p&gt; l&#39;uno&nbsp;"), ("d", "plain\x01"), ("e", None)]
+    spark.createDataFrame(rows, "element_id string, text string").write.parquet(f"{tmp_path}/text_elements.parquet")
+    want = {"a": "R&D", "b": "x & y", "c": "<p> l'uno", "d": "plain"}
+    assert {r.element_id: r.text for r in QUERIES["cleaned_strings_whole"](spark, str(tmp_path)).collect()} == want
+    con = duckdb.connect()
+    con.execute(f"create view text_elements as select * from '{tmp_path}/text_elements.parquet/*.parquet'")
+    assert dict(con.execute(ORACLE["cleaned_strings_whole"]).fetchall()) == want
