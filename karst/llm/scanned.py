@@ -74,10 +74,11 @@ _BLANK = r"^[\s\u00a0]*$"
 
 
 def key_of(line: Column) -> Column:
-    """Skeleton of a line without its numbers; a short key: whole lines of pages without line ends never run."""
+    """Skeleton of a line without its numbers; of a long one the beginning and the hash of the whole."""
     plain = F.regexp_replace(line, r"(?<![\p{L}])[0-9oOlI|]*[0-9][0-9oOlI|./\-]*(?![\p{L}])", " ")
     key = F.regexp_replace(skeleton(F.regexp_replace(plain, r"[^\p{L}0-9@(|!$]+", " ")), r"[ (|]+", " ")
-    return F.trim(F.substring(key, 1, 200))
+    key = F.trim(key)
+    return F.when(F.length(key) > 200, F.concat(F.substring(key, 1, 200), F.xxhash64(key).cast("string"))).otherwise(key)
 
 
 def numbered_lines(text: Column) -> Column:

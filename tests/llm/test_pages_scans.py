@@ -77,3 +77,10 @@ def test_empty_scans(spark):
     pages, elements = scan(spark)
     spots, text = S.repair(pages.limit(0), elements.limit(0))
     assert spots.count() == 0 and S.paragraphs(spots, text).count() == 0
+
+
+def test_long_lines_of_one_beginning_have_different_keys(spark):
+    same = "una pagina senza fine di riga che comincia sempre allo stesso modo " * 5
+    rows = spark.createDataFrame([(same + "coda prima",), (same + "altra fine",), (same + "coda prima",)], "line string")
+    a, b, c = (r.key for r in rows.select(S.key_of(rows.line).alias("key")).collect())
+    assert a == c != b
