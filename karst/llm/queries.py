@@ -38,12 +38,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spots, _ = scanned.repair(table(spark, sf_dir, "page_bodies"), table(spark, sf_dir, "text_elements"))
-    return spots
+    return scanned.repair(table(spark, sf_dir, "page_bodies"), table(spark, sf_dir, "text_elements")).spots
 
 
 def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scanned.paragraphs(*scanned.repair(table(spark, sf_dir, "page_bodies"), table(spark, sf_dir, "text_elements")))
+    return scanned.paragraphs(scanned.repair(table(spark, sf_dir, "page_bodies"), table(spark, sf_dir, "text_elements")))
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

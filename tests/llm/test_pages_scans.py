@@ -61,22 +61,45 @@ def scan(spark):
 
 def test_spots(spark):
     pages, elements = scan(spark)
-    spots, text = S.repair(pages, elements)
-    found = {(r.item_id, r.line_no, r.kind, r.word) for r in spots.collect()}
+    repaired = S.repair(pages, elements)
+    found = {(r.item_id, r.line_no, r.kind, r.word) for r in repaired.spots.collect()}
     assert ("b12", 0, "running", "") in found and ("b12", 7, "page_number", "") in found
     assert {("b12", 3, "misread", "contratto"), ("b12", 3, "misread", "polizza"), ("t1", 0, "misread", "essere")} <= found
     assert ("b15", 6, "hyphen", "fornitura") in found
     assert not any(i.startswith("b0") for i, *_ in found)
-    flow = {(r.item_id, r.paragraph_no): r.paragraph for r in S.paragraphs(spots, text).collect()}
-    whole = flow[("b15", 0)] if ("b15", 0) in flow else ""
-    assert "forni-" not in whole and "Manuale" not in whole and whole.endswith("fornitura")
-    assert "c0ntratto" not in flow[("b12", 0)]
+    flow = "\n".join(r.paragraph for r in S.paragraphs(repaired).where("doc = 'b/d1'").collect())
+    assert "Manuale" not in flow and "forni-" not in flow and "c0ntratto" not in flow
+    assert "il contratto di fornitura deve essere" in flow  # the second half left the next page
+    assert "contratto di fornitura con la polizza assicurativa" in flow
+
+
+def test_lines_without_words_and_two_words_of_one_skeleton(spark):
+    rows = [(f"x{n}", "d", n, line(n) + "\n" + line(n + 40)) for n in range(30)]
+    rows += [("z1", "z", 1, "deve essere conser-\n* * *\n| |"), ("z2", "z", 2, "...\nvato in archivio, c0ntratto e c0ntratt0 e Contratto"), ("z3", "z", None, "---"), ("z4", "z", 64, "- - -"), ("z5", "z", 200, "la poliz-"), ("z6", "z", 300, "za")]
+    pages = spark.createDataFrame(rows, "body_id string, doc_id string, page_no int, body string")
+    elements = spark.createDataFrame([], "element_id string, doc_id string, page int, seq int, element_type string, text string")
+    repaired = S.repair(pages, elements)
+    found = [(r.item_id, r.line_no, r.kind, r.word) for r in repaired.spots.where("item_id like 'z%'").collect()]
+    assert sorted(found) == [("z1", 0, "hyphen", "conservato"), ("z2", 1, "misread", "contratto"), ("z5", 0, "hyphen", "polizza")]
+    assert sorted(r.pos for r in repaired.fixes.where("item_id = 'z2'").collect()) == [3, 5]
+    text = " ".join(r.paragraph for r in S.paragraphs(repaired).where("doc = 'b/z'").orderBy("paragraph_no").collect())
+    assert "deve essere conservato" in text and "in archivio, contratto e contratto e Contratto" in text and "la polizza" in text and "poliz-" not in text
+
+
+def test_sieve_loses_no_partner(spark):
+    from karst.llm.sieve import sieve
+
+    rows = spark.range(20000).selectExpr("cast(id as string) as k", "id as __n").union(spark.sql("select cast(null as string), 1L"))
+    keys = spark.range(0, 20000, 37).selectExpr("cast(id as string) as k")
+    got = {r.k for r in sieve(rows, "k", keys).collect()}
+    assert {str(n) for n in range(0, 20000, 37)} <= got and len(got) < 2000 and None not in got
+    assert sieve(rows, "k", keys.limit(0)).count() == 0
 
 
 def test_empty_scans(spark):
     pages, elements = scan(spark)
-    spots, text = S.repair(pages.limit(0), elements.limit(0))
-    assert spots.count() == 0 and S.paragraphs(spots, text).count() == 0
+    repaired = S.repair(pages.limit(0), elements.limit(0))
+    assert repaired.spots.count() == 0 and S.paragraphs(repaired).count() == 0
 
 
 def test_long_lines_of_one_beginning_have_different_keys(spark):
