@@ -8,15 +8,16 @@
     those travel to the workers.
 3.  Each class gets consistent weighted samples: a sample of two texts is equal with the
     probability of their weighted Jaccard similarity. Samples are banded; a band's row
-    carries a check of sixteen samples of other bands, and two classes of a bucket become a
-    candidate only if at least `agree` of these agree too. The three are chosen for the least
-    weighted similarity that a true pair can have (`Params.chance`).
+    carries a sketch, two bits each of 64 plain min-wise samples, and two classes of a bucket
+    become a candidate only if at least `agree` of these agree. Bands are chosen for the least
+    weighted similarity that a true pair can have, the sketch for `threshold` (`Params.chance`).
 4.  Candidates are verified on the whole texts, by weighted Jaccard similarity first and
     then by the exact similarity on distinct shingles.
 
 A hot group of copies collapses where it is read; buckets with one class are dropped in a
 pass over sorted rows; rows of the others are joined on the band's key, where adaptive execution
-splits a hot bucket. Nothing is collected but the bounded table of frequent shingles.
+splits a hot bucket. Texts that are in no candidate are left out by a filter of fixed size
+before any text moves. Nothing is collected but the bounded table of frequent shingles.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ from pyspark.sql import functions as F
 
 from karst.core.session import cut, staged
 
+from .sieve import sieve
+
+SKETCH = 64  # samples of the sketch, two bits each: two 64-bit numbers
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
@@ -42,10 +46,10 @@ class Params:
     threshold: float = 0.6
     words: int = 3
     min_words: int = 20
-    bands: int = 64
+    bands: int = 30
     rows: int = 3
-    agree: int = 5
-    floor: float = 2.0
+    agree: int = 33  # of the 64 samples of the sketch
+    floor: float = 2.8
     ceiling: float = 4.0
 
     @property
@@ -54,11 +58,13 @@ class Params:
         greatest weight and all that is shared the least."""
         return self.threshold / (self.threshold + (1 - self.threshold) * self.ceiling / self.floor)
 
-    def chance(self, weighted: float) -> float:
-        """That a pair of this weighted similarity becomes a candidate, samples taken as independent."""
-        q = weighted + (1 - weighted) / 16  # a check keeps four bits of a sample
-        passes = sum(math.comb(16, k) * q**k * (1 - q) ** (16 - k) for k in range(self.agree, 17))
-        return 1 - (1 - weighted**self.rows * passes) ** self.bands
+    def chance(self, weighted: float, similarity: float | None = None) -> float:
+        """That a pair of this weighted similarity (and of `threshold` without weights) becomes a
+        candidate, samples taken as independent."""
+        plain = self.threshold if similarity is None else similarity
+        q = plain + (1 - plain) / 4  # two bits of a sample agree by chance as well
+        passes = sum(math.comb(SKETCH, k) * q**k * (1 - q) ** (SKETCH - k) for k in range(self.agree, SKETCH + 1))
+        return passes * (1 - (1 - weighted**self.rows) ** self.bands)
 
 
 class _WordHash(dict):
@@ -158,6 +164,7 @@ class Sampler:
         self.r, self.inverse_r, self.log_c = (v.astype(np.float32) for v in (x, 1 / x, np.log(x)))
         rng = np.random.default_rng(20240229)
         self.odd = rng.integers(0, 2**63, p.bands * p.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.plain = rng.integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
     def log_weights(self, s: np.ndarray) -> np.ndarray:
         out = np.full(len(s), np.log(self.p.ceiling), np.float32)
@@ -169,7 +176,10 @@ class Sampler:
 
     def samples(self, s: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """32-bit samples, one row for each sample number; texts are the runs of `s` that begin at `starts`."""
-        unique, inverse = np.unique(s, return_inverse=True)
+        return self.weighted(*np.unique(s, return_inverse=True), starts)
+
+    def weighted(self, unique: np.ndarray, inverse: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """As `samples`, of the shingles `unique[inverse]`."""
         w = self.log_weights(unique)
         out = np.empty((len(self.odd), len(starts)), np.uint32)
         low = np.uint64(0xFFFF)
@@ -185,24 +195,35 @@ class Sampler:
             out[k] = np.minimum.reduceat(((rank << np.uint64(32)) | mark)[inverse], starts).astype(np.uint32)
         return out
 
-    def keys(self, samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two rows for each band: its key, of hash (58 bits) and band (6 bits), and its check, of four bits of 16 samples."""
+    def keys(self, samples: np.ndarray) -> np.ndarray:
+        """A row for each band: its key, of hash (58 bits) and band (6 bits)."""
         p = self.p
-        keys, checks = np.empty((2, p.bands, samples.shape[1]), np.uint64)
+        keys = np.empty((p.bands, samples.shape[1]), np.uint64)
         for band in range(p.bands):
             h = np.zeros(samples.shape[1], np.uint64)
             for k in range(band * p.rows, (band + 1) * p.rows):
                 h = _mix((h ^ samples[k]) * _M3)
-            check = np.zeros(samples.shape[1], np.uint64)
-            for i in range(16):
-                k = ((band + 1) * p.rows + i) % len(samples)
-                check = (check << np.uint64(4)) | (samples[k].astype(np.uint64) & np.uint64(15))
-            keys[band], checks[band] = h << np.uint64(6) | np.uint64(band), check
-        return keys, checks
+            keys[band] = h << np.uint64(6) | np.uint64(band)
+        return keys
+
+    def sketches(self, unique: np.ndarray, inverse: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Two 64-bit numbers a text: two bits of each of 64 min-wise samples without weights."""
+        base = (unique >> np.uint64(32)).astype(np.uint32) ^ (unique.astype(np.uint32) * np.uint32(0x9E3779B1))
+        out = np.zeros((2, len(starts)), np.uint64)
+        for k, odd in enumerate(self.plain):
+            x = base * odd
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0x2C1B3C6D)
+            x ^= x >> np.uint32(13)
+            least = np.minimum.reduceat(x[inverse], starts).astype(np.uint64)
+            half = out[k // 32]
+            half <<= np.uint64(2)
+            half |= least & np.uint64(3)
+        return out
 
 
 def band_rows(classes: DataFrame, p: Params, table: np.ndarray, logs: np.ndarray) -> DataFrame:
-    """band (its key), chk, id: a row for each band of each class.
+    """band (its key), id, s1, s2 (its sketch): a row for each band of each class.
 
     Copies within a partition are sampled once; those of other partitions fall together later.
     """
@@ -232,33 +253,33 @@ def band_rows(classes: DataFrame, p: Params, table: np.ndarray, logs: np.ndarray
         s, doc = s[enough], doc[enough]
         if len(s):
             starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-            flat, checks = (x.T.ravel().view(np.int64) for x in sampler.keys(sampler.samples(s, starts)))
+            unique, inverse = np.unique(s, return_inverse=True)
+            flat = sampler.keys(sampler.weighted(unique, inverse, starts)).T.ravel().view(np.int64)
             own = np.repeat(np.array(ids, np.int64)[doc[starts]], p.bands)
+            s1, s2 = (np.repeat(x.view(np.int64), p.bands) for x in sampler.sketches(unique, inverse, starts))
             for at in range(0, len(flat), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (flat, checks, own)], ["band", "chk", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (flat, own, s1, s2)], ["band", "id", "s1", "s2"])
 
-    return classes.mapInArrow(run, "band bigint, chk bigint, id bigint")
+    return classes.mapInArrow(run, "band bigint, id bigint, s1 bigint, s2 bigint")
 
 
 def candidates(bands: DataFrame, p: Params) -> DataFrame:
-    """Distinct pairs a < b of classes that share a band and agree in its check."""
+    """Distinct pairs a < b of classes that share a band and agree in their sketches."""
     # in the order of ids, copies of a row are neighbours, and a class of a shared bucket then has
     # another class before or behind it: both in one pass over sorted rows, few of them at hand
     w = Window.partitionBy("band").orderBy("id")
     once = bands.withColumn("p", F.lag("id").over(w)).where("p is null or p <> id")
     beside = once.withColumns({"p": F.lag("id").over(w), "n": F.lead("id").over(w)}).where("p is not null or n is not null")
-    members = cut(beside.select("band", "chk", "id"))
-    x = F.col("x.chk").bitwiseXOR(F.col("y.chk"))
-    same = sum((F.shiftrightunsigned(x, 4 * i).bitwiseAND(15) == 0).cast("int") for i in range(16))
-    pairs = members.alias("x").join(members.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (same >= p.agree))
+    # a key of its own gives the join an exchange of its own: rows of shared buckets only, split where a bucket is hot
+    members = beside.select(F.bitwise_not("band").alias("bucket"), "id", "s1", "s2")
+    unlike = lambda c: F.bit_count(F.expr(f"((x.{c} ^ y.{c}) | shiftrightunsigned(x.{c} ^ y.{c}, 1)) & 6148914691236517205L"))  # noqa: E731  0101...
+    pairs = members.alias("x").join(members.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (unlike("s1") + unlike("s2") <= SKETCH - p.agree))
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def verify(pairs: DataFrame, classes: DataFrame, p: Params, table: np.ndarray, logs: np.ndarray) -> DataFrame:
     """a, b, similarity of the pairs that reach the threshold on their whole texts."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
-    if ids.count() <= 1_000_000:  # 8 MB of ids: sent to the texts; beyond that all texts are shuffled
-        classes = classes.join(F.broadcast(ids), "class", "left_semi")
+    classes = sieve(classes, "class", pairs.select(F.explode(F.array("a", "b")).alias("class")))
     # partial aggregation leaves one row of a class in each map task, so a hot class doesn't pile up
     texts = classes.groupBy("class").agg(F.any_value("text").alias("text"))
     left = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
