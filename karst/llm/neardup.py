@@ -14,23 +14,21 @@
 4.  Candidates are verified on the whole texts, by weighted Jaccard similarity first and
     then by the exact similarity on distinct shingles.
 
-A hot group of copies collapses where it is read; buckets with one class are dropped in a
-pass over sorted rows; rows of the others are joined on the band's key, where adaptive execution
-splits a hot bucket. Texts that are in no candidate are left out by a filter of fixed size
+A hot group of copies collapses to one row before sampling, other copies where a task reads
+them; band rows are joined on the band's key, where adaptive execution splits a hot bucket. Texts that are in no candidate are left out by a filter of fixed size
 before any text moves. Nothing is collected but the bounded table of frequent shingles.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karst.core.session import cut, staged
@@ -38,7 +36,6 @@ from karst.core.session import cut, staged
 from .sieve import sieve
 
 SKETCH = 64  # samples of the sketch, two bits each: two 64-bit numbers
-_WORDS = re.compile(r"[^\W_]+").findall
 
 
 @dataclass(frozen=True)
@@ -48,7 +45,7 @@ class Params:
     min_words: int = 20
     bands: int = 30
     rows: int = 3
-    agree: int = 33  # of the 64 samples of the sketch
+    agree: int = 36  # of the 64 samples of the sketch
     floor: float = 2.8
     ceiling: float = 4.0
 
@@ -67,17 +64,6 @@ class Params:
         return passes * (1 - (1 - weighted**self.rows) ** self.bands)
 
 
-class _WordHash(dict):
-    """64-bit hash by word; emptied when large."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
-
-
-_HASHES = _WordHash()
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -87,15 +73,57 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_BLOCK = 1 << 20  # code points looked at together
+
+
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random number for each letter and digit (0 for others), powers of an odd base and of its inverse."""
+    code = np.arange(0x110000, dtype=np.uint64)
+    letter = np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+    base = 0x9E3779B97F4A7C15
+    powers, inverse = (np.full(2 * _BLOCK, x, np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+    powers[0] = inverse[0] = 1
+    return np.where(letter, _mix((code + np.uint64(1)) * _M2) | np.uint64(1), np.uint64(0)), np.cumprod(powers), np.cumprod(inverse)
+
+
+def _words_of(low: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and the number of words of each text.
+
+    A word's hash is a polynomial over its letters, modulo 2^64.
+    """
+    letters, powers, inverse = _tables()
+    text = " ".join(low)
+    values = letters[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    inside = values != 0
+    starts = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
+    if len(values) > len(powers):  # one text longer than a block
+        powers = np.cumprod(np.r_[np.uint64(1), np.full(len(values) - 1, powers[1])])
+        inverse = np.cumprod(np.r_[np.uint64(1), np.full(len(values) - 1, inverse[1])])
+    ends = np.cumsum(np.fromiter(map(len, low), np.int64, len(low)) + 1)
+    n = np.diff(np.r_[0, np.searchsorted(starts, ends)])
+    if not len(starts):
+        return np.empty(0, np.uint64), n
+    return np.add.reduceat(values * powers[: len(values)], starts) * inverse[starts], n
+
+
 def shingles(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingle hashes of all texts, the text each belongs to, and the words of each text.
 
     Words are the lower-cased longest runs of letters and digits.
     """
-    split = [_WORDS(t.lower()) for t in texts]
-    n = np.fromiter(map(len, split), np.int64, len(split))
-    total = int(n.sum())
-    h = np.fromiter((_HASHES[w] for doc in split for w in doc), np.uint64, total)
+    low = [t.lower() for t in texts]
+    parts, at = [], 0
+    while at < len(low):
+        end, size = at, 0
+        while end < len(low) and (end == at or size + len(low[end]) < _BLOCK):
+            size += len(low[end]) + 1
+            end += 1
+        parts.append(_words_of(low[at:end]))
+        at = end
+    h = np.concatenate([x for x, _ in parts]) if parts else np.empty(0, np.uint64)
+    n = np.concatenate([x for _, x in parts]) if parts else np.empty(0, np.int64)
+    total = len(h)
     doc = np.repeat(np.arange(len(texts)), n)
     if total < words:
         return np.empty(0, np.uint64), np.empty(0, np.int64), n
@@ -132,8 +160,8 @@ def document_frequencies(texts: DataFrame, p: Params) -> DataFrame:
     return texts.mapInArrow(run, "shingle bigint, c bigint").groupBy("shingle").agg(F.sum("c").alias("df"))
 
 
-def frequent(texts: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and log weights of the shingles whose weight is under the ceiling."""
+def frequent(texts: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted hashes and log weights of the shingles whose weight is under the ceiling, and the rows."""
     rows = texts.count()
     least = rows / math.expm1(p.ceiling)  # idf = ln(1 + rows / df)
     # bounded: the df of all shingles sum to the shingles of all texts
@@ -141,7 +169,7 @@ def frequent(texts: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
     s = found["shingle"].to_numpy(np.int64).view(np.uint64)
     w = np.log(np.clip(np.log1p(rows / found["df"].to_numpy(float)), p.floor, p.ceiling))
     order = np.argsort(s)
-    return s[order], w[order].astype(np.float32)
+    return s[order], w[order].astype(np.float32), rows
 
 
 class Sampler:
@@ -264,16 +292,13 @@ def band_rows(classes: DataFrame, p: Params, table: np.ndarray, logs: np.ndarray
 
 
 def candidates(bands: DataFrame, p: Params) -> DataFrame:
-    """Distinct pairs a < b of classes that share a band and agree in their sketches."""
-    # in the order of ids, copies of a row are neighbours, and a class of a shared bucket then has
-    # another class before or behind it: both in one pass over sorted rows, few of them at hand
-    w = Window.partitionBy("band").orderBy("id")
-    once = bands.withColumn("p", F.lag("id").over(w)).where("p is null or p <> id")
-    beside = once.withColumns({"p": F.lag("id").over(w), "n": F.lead("id").over(w)}).where("p is not null or n is not null")
-    # a key of its own gives the join an exchange of its own: rows of shared buckets only, split where a bucket is hot
-    members = beside.select(F.bitwise_not("band").alias("bucket"), "id", "s1", "s2")
+    """Distinct pairs a < b of classes that share a band and agree in their sketches.
+
+    Both sides read one exchange; adaptive execution splits a hot bucket.
+    """
     unlike = lambda c: F.bit_count(F.expr(f"((x.{c} ^ y.{c}) | shiftrightunsigned(x.{c} ^ y.{c}, 1)) & 6148914691236517205L"))  # noqa: E731  0101...
-    pairs = members.alias("x").join(members.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (unlike("s1") + unlike("s2") <= SKETCH - p.agree))
+    alike = (F.col("x.id") < F.col("y.id")) & (unlike("s1") + unlike("s2") <= SKETCH - p.agree)
+    pairs = bands.alias("x").join(bands.alias("y"), (F.col("x.band") == F.col("y.band")) & alike)
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
@@ -323,9 +348,12 @@ def near_duplicates(rows: DataFrame, key: str = "id", text: str = "text", p: Par
     own = own.withColumn("class", F.xxhash64("text"))
     members = staged(own.select("key", "class").distinct())
     texts = own.select("class", "text")
-    table, logs = frequent(texts.select("text"), p)
-    pairs = candidates(band_rows(texts, p, table, logs), p)
-    copies = members.groupBy("class").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
+    copies = staged(members.groupBy("class").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).where("lo <> hi"))
+    table, logs, total = frequent(texts.select("text"), p)
+    # one row stands for a hot text; there are at most a million texts of a millionth of the rows each
+    hot = copies.where(F.col("n") >= max(1000, total / 1_000_000)).select("class", "lo")
+    once = own.join(F.broadcast(hot), "class", "left").where("lo is null or lo = key").select("class", "text")
+    pairs = candidates(band_rows(once, p, table, logs), p)
     pairs = cut(pairs.unionByName(copies.select(F.col("class").alias("a"), F.col("class").alias("b"))))
     return verify(pairs, texts, p, table, logs), members.select(F.col("key").alias(key), "class")
 
