@@ -57,6 +57,17 @@ def test_levels(spark):
     assert got == {100 * level + i: level for level in TEXTS for i in range(12)}
     assert {r.reading_level for r in R.reading_levels(docs, lab.limit(0)).collect()} == {2}
     assert R.reading_levels(docs.limit(0), lab).count() == 0
+    tagged = docs.selectExpr("doc_id", "text", "case doc_id % 4 when 0 then 'IT' when 1 then 'ita' when 2 then null else 'xx' end as lang")
+    assert {r.doc_id: r.reading_level for r in R.reading_levels(tagged, lab).collect()} == got
+
+
+def test_lists_come_from_document_frequencies_alone():
+    import numpy as np
+
+    p = R.Params(shares=(0.5, 0.1))
+    lists = R.Lists({"casa": np.array([9.0, 1.0]), "perizia": np.array([2.0, 0.0]), "house": np.array([0.0, 8.0])}, np.array([10.0, 10.0]), p)
+    x = lists.features("casa perizia. ignota casa.", ["casa", "perizia", "ignota", "casa"]).reshape(2, -1)
+    assert x[0].round(6).tolist() == [0.5, 0.25, round(float(np.log(2)), 6), 1.0] and not x[1].any()
 
 
 def test_long_cores_within_two_edits_are_candidates(spark):
