@@ -3,10 +3,14 @@
 A configuration is a multiset of sizes that fits a container. The configuration linear
 program asks for the fewest containers, as fractions of configurations, that hold every
 item; only the histogram of sizes enters it, which has at most `capacity` rows however
-large the corpus is. Multiplicative weights raise the price of sizes that are still
-short; the best configuration for given prices is an unbounded knapsack, solved by
-dynamic programming over the capacity. Fractions are rounded down, and what is left,
-at most a few containers per configuration, is packed by best fit.
+large the corpus is. Neighbouring sizes share a class of like total size, named by its mean.
+Multiplicative weights raise the price of classes that are still short; the best
+configuration for given prices is an unbounded knapsack, solved by dynamic programming over
+a grid of the capacity. Fractions are rounded down and laid with exact sizes: the commonest
+of each class, and for the last place of a container the largest that fits. What is left is
+solved again; when a pass lays little, best fit ends it. On the 0.1 tables best fit lays 1.3,
+4.6 and 16 % of the tokens for capacities of 1024, 2048 and 8192, on ten times as much 0.1,
+0.4 and 2.2 %.
 
 Items get their containers without any of them meeting in one task: an item's rank
 among those of its size (counted per salt, with the offsets of the salts before)
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 
 from karst.core.session import staged
 
+BLOCK = 1024  # ranks
 PLAN = "capacity_name string, size int, rank_from bigint, rank_to bigint, container_from bigint, per_container int"
 
 
@@ -64,118 +69,105 @@ def bounded(counts: np.ndarray, limit: np.ndarray, sizes: np.ndarray, capacity:
     return counts
 
 
-def coarse(sizes: np.ndarray, demand: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """At most `classes` groups of neighbouring sizes of like total size: group, largest size, demand."""
+def classes_of(sizes: np.ndarray, demand: np.ndarray, classes: int) -> np.ndarray:
+    """The class of each size: at most `classes` runs of neighbouring sizes of like total size."""
     if len(sizes) <= classes:
-        return np.arange(len(sizes)), sizes, demand
+        return np.arange(len(sizes))
     mass = np.cumsum(demand * sizes)
-    group = np.minimum((mass * classes) // (mass[-1] + 1), classes - 1).astype(np.int64)
-    group = np.unique(group, return_inverse=True)[1]
-    top = np.zeros(group[-1] + 1, dtype=np.int64)
-    np.maximum.at(top, group, sizes)
-    need = np.bincount(group, weights=demand).astype(np.int64)
-    return group, top, need
+    return np.unique(np.minimum(mass * classes // (mass[-1] + 1), classes - 1), return_inverse=True)[1]
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 60) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how many of each cover `demand`, by multiplicative weights.
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, eta: float = 0.5) -> list[tuple[np.ndarray, float]]:
+    """Configurations and how many of each hold `demand`, by multiplicative weights.
 
     Prices start at the share of the container that a size takes. Every round adds the
     configuration the knapsack finds best and multiplies the price of each size by
     exp(-eta * supplied / demand): what the chosen configurations supply gets cheap,
-    what they neglect dear. The average of the rounds, scaled to the demand, is the
+    what they neglect dear. The average of the rounds, scaled to the total size, is the
     fractional solution.
     """
-    grain = max(1, capacity // 1024)  # the knapsack runs over a grid of the capacity; the exact sizes come back in `_lay`
-    grid, room = -(-sizes // grain), capacity // grain
     weights = sizes / capacity
     supply = np.zeros(len(sizes))
     found: dict[bytes, list] = {}
     for _ in range(rounds):
-        c = bounded(price(weights, grid, room), demand, grid, room)
+        c = bounded(price(weights, sizes, capacity), demand, sizes, capacity)
         if not c.any():
             break
-        width = float(np.max(c / demand))
-        step = 1.0 / width  # the most that may be taken before some size is used up
+        step = 1.0 / float(np.max(c / demand))  # the most that may be taken before some size is used up
         entry = found.setdefault(c.tobytes(), [c, 0.0])
         entry[1] += step
         supply += c * step
-        weights = weights * np.exp(-0.5 * (c * step) / demand)
-        weights = weights / weights.max()
-        weights = np.maximum(weights, 1e-9 * sizes / capacity)
-    if not found:
-        return []
-    scale = float(np.max(supply / demand))  # no size may be supplied beyond its demand
+        weights = weights * np.exp(-eta * (c * step) / demand)
+        weights = np.maximum(weights / weights.max(), 1e-9 * sizes / capacity)
+    scale = float(supply @ sizes) / float(demand @ sizes)
     return [(c, x / scale) for c, x in found.values()]
 
 
-def plan(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 100, classes: int = 1024) -> list[tuple[np.ndarray, np.ndarray, int]]:
+def plan(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 300, classes: int = 96, passes: int = 8, grid: int = 1024) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """(sizes, counts, copies): each row stands for `copies` like containers; demand is met exactly.
 
-    Several passes: the linear program is solved over coarse size classes for what is
-    still to pack, whole multiples of its configurations are laid down with the exact
-    sizes, and when a pass lays down little, the rest is packed by best fit.
+    `classes` and `grid` bound the work of the linear program, not what is packed: exact
+    sizes are laid. Sizes that fill a container have containers of their own.
     """
     left = demand.astype(np.int64).copy()
     out: list[tuple[np.ndarray, np.ndarray, int]] = []
-    for _ in range(6):
+    if sizes[-1] == capacity and left[-1]:
+        out.append((sizes[-1:], np.ones(1, np.int64), int(left[-1])))
+        left[-1] = 0
+    grain = max(1, capacity // grid)
+    for _ in range(passes):
         live = np.flatnonzero(left)
-        if not len(live):
-            return out
         total = int(left @ sizes)
-        if total <= 40 * capacity:
+        if total <= 2 * capacity:
             break
-        group, top, need = coarse(sizes[live], left[live], classes)
-        laid = 0
-        for c, x in sorted(configurations(top, need, capacity, rounds), key=lambda p: -p[1]):
-            copies = int(x)
-            if copies < 1:
-                continue
-            laid += _lay(c, copies, live, group, sizes, left, capacity, out)
-        if laid * 20 < total:
+        own, rest = sizes[live], left[live]
+        group = classes_of(own, rest, classes)
+        need = np.bincount(group, weights=rest).astype(np.int64)
+        mean = np.bincount(group, weights=rest * own) / need
+        solution = configurations(np.maximum(1, np.rint(mean / grain)).astype(np.int64), need, capacity // grain, rounds)
+        laid = sum(_lay(c, int(x), group, own, rest, capacity, out) for c, x in sorted(solution, key=lambda p: -p[1]))
+        left[live] = rest
+        if laid * 50 < total:
             break
     _best_fit(sizes, left, capacity, out)
     return out
 
 
-def _lay(c: np.ndarray, copies: int, live: np.ndarray, group: np.ndarray, sizes: np.ndarray, left: np.ndarray, capacity: int, out: list) -> int:
+def _lay(c: np.ndarray, copies: int, group: np.ndarray, sizes: np.ndarray, left: np.ndarray, capacity: int, out: list) -> int:
     """Lay down up to `copies` containers of a configuration of classes; gives the size laid.
 
-    Exact sizes are drawn from each class, the commonest of it first, and the room that
-    a class leaves (its items are at most as large as its top) goes to the largest size
-    still left that fits.
+    The places of a container are taken in turn by the commonest size of the place's class
+    that fits, the last place and the room that remains by the largest size that fits.
     """
+    places = [int(g) for g in np.flatnonzero(c)[::-1] for _ in range(int(c[g]))]
+    members = {g: np.flatnonzero(group == g) for g in set(places)}
     laid = 0
     while copies > 0:
         counts: dict[int, int] = {}
         room = capacity
-        for g in np.flatnonzero(c)[::-1]:
-            members = live[group == g]
-            want = int(c[g])
-            for i in members[np.argsort(-left[members], kind="stable")]:
-                n = min(want, int(left[i]) - counts.get(i, 0))
-                if n > 0:
-                    counts[i] = counts.get(i, 0) + n
-                    room -= n * int(sizes[i])
-                    want -= n
-                if not want:
-                    break
-            if want:
+        for g in places[:-1]:
+            own = members[g]
+            open_ = left[own] - np.array([counts.get(int(i), 0) for i in own])
+            open_[sizes[own] > room] = 0
+            if open_.max() <= 0:
                 return laid
-        smallest = int(sizes[live[0]])
-        while room >= smallest:
+            i = int(own[np.argmax(open_)])
+            counts[i] = counts.get(i, 0) + 1
+            room -= int(sizes[i])
+        while True:
             i = int(np.searchsorted(sizes, room, side="right")) - 1
-            while i >= 0 and left[i] - counts.get(i, 0) <= 0:
+            while i >= 0 and left[i] <= counts.get(i, 0):
                 i -= 1
             if i < 0:
                 break
-            n = min(room // int(sizes[i]), int(left[i]) - counts.get(i, 0))
-            counts[i] = counts.get(i, 0) + n
-            room -= n * int(sizes[i])
+            counts[i] = counts.get(i, 0) + 1
+            room -= int(sizes[i])
+        if not counts:
+            return laid
         idx = np.array(sorted(counts), dtype=np.int64)
         num = np.array([counts[i] for i in idx], dtype=np.int64)
-        # as many copies as the scarcest size allows, but not all at once: the draw should follow what is left
-        n = int(max(1, min(copies, (left[idx] // num).min())))
+        # half of what the scarcest size allows: the draw should follow what is left
+        n = int(max(1, min(copies, (left[idx] // num).min() // 2)))
         left[idx] -= n * num
         laid += n * (capacity - room)
         copies -= n
@@ -241,24 +233,23 @@ def pack(items: DataFrame, capacities: DataFrame, key: str = "doc_id", size: str
 
     # at most `cap` rows for each capacity: bounded by the capacities, not by the corpus
     histogram = staged(pieces.groupBy("capacity_name", "cap", "size").agg(F.count("*").alias("demand")))
-    runs = staged(histogram.groupBy("capacity_name").applyInPandas(_plan_group, PLAN))
+    # a task for each capacity (as far as the hash parts them); adaptive execution doesn't merge a number that is given
+    runs = staged(histogram.repartition(64, "capacity_name").groupBy("capacity_name").applyInPandas(_plan_group, PLAN))
 
     salts = histogram.select("capacity_name", "size", F.ceil(F.col("demand") / per_salt).cast("int").alias("salts"))
-    salted = pieces.join(F.broadcast(salts), ["capacity_name", "size"]).withColumn("salt", F.expr("pmod(xxhash64(__key, piece), salts)"))
+    salted = pieces.join(salts, ["capacity_name", "size"]).withColumn("salt", F.expr("pmod(xxhash64(__key, piece), salts)"))
     group = ["capacity_name", "size", "salt"]
     counts = salted.groupBy(*group).agg(F.count("*").alias("c"))
     before = Window.partitionBy("capacity_name", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
     ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy("__key", "piece")) - 1)
     ranked = ranked.join(offsets, group).withColumn("rank", F.col("r") + F.col("offset"))
-    # the plan's rows are bounded by the histogram's
-    placed = ranked.alias("i").join(
-        F.broadcast(runs).alias("p"),
-        F.expr("i.capacity_name = p.capacity_name and i.size = p.size and i.rank >= p.rank_from and i.rank < p.rank_to"),
-    )
+    # a run stands once for each block of ranks it reaches into, so the join has keys and an item meets the runs of its block
+    runs = runs.withColumn("block", F.explode(F.sequence(F.expr(f"rank_from div {BLOCK}"), F.expr(f"(rank_to - 1) div {BLOCK}"))))
+    placed = ranked.withColumn("block", F.expr(f"rank div {BLOCK}")).join(runs, ["capacity_name", "size", "block"]).where("rank >= rank_from and rank < rank_to")
     return placed.select(
-        "i.capacity_name", F.col("i.__key").alias(key), "i.piece", "i.from_token", "i.to_token",
-        F.expr("p.container_from + (i.rank - p.rank_from) div p.per_container").alias("container"),
+        "capacity_name", F.col("__key").alias(key), "piece", "from_token", "to_token",
+        F.expr("container_from + (rank - rank_from) div per_container").alias("container"),
     )
 
 

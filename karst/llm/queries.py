@@ -51,9 +51,8 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = split.stored_items(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "page_bodies"))
-    pieces = split.split_oversized(items, table(spark, sf_dir, "ingestion_settings"), with_text=False)
-    return pieces.where("piece_no = 0").select("item_kind", "item_id")
+    """The items that the operator cuts; the pieces are made with their text, as `p5_pieces` has them."""
+    return p5_pieces(spark, sf_dir).where("piece_no = 0").select("item_kind", "item_id")
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

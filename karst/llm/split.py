@@ -46,9 +46,13 @@ def boundaries(text: str) -> list[list[int]]:
     return [x for x in levels if x]
 
 
-def _tree(levels: list[list[int]], text: str, lo: int, hi: int, level: int, limit: int) -> list[tuple[int, int]]:
-    """Segments of [lo, hi), each within `limit`."""
-    if hi - lo <= limit:
+def _tree(levels: list[list[int]], text: str, lo: int, hi: int, level: int, room: int) -> list[tuple[int, int]]:
+    """Segments of [lo, hi), each within `room`.
+
+    Whole siblings are merged while they fit; the parts of a node that was too large stay apart
+    from its siblings, so no piece straddles the node's bounds.
+    """
+    if hi - lo <= room:
         return [(lo, hi)]
     while level < len(levels):
         cuts = levels[level]
@@ -58,24 +62,27 @@ def _tree(levels: list[list[int]], text: str, lo: int, hi: int, level: int, limi
         level += 1
     else:
         out = []
-        while hi - lo > limit:
-            cut = lo + limit
+        while hi - lo > room:
+            cut = lo + room
             while cut > lo + 1 and unicodedata.combining(text[cut]):  # not between a letter and its marks
                 cut -= 1
-            if cut == lo + 1 and limit > 1:
-                cut = lo + limit
+            if cut == lo + 1 and room > 1:
+                cut = lo + room
             out.append((lo, cut))
             lo = cut
         return [*out, (lo, hi)]
-    out = []
+    out: list[tuple[int, int]] = []
+    start = at = lo  # of the siblings merged so far, and where they end
     for end in [*cuts[a:b], hi]:
-        for start, stop in _tree(levels, text, lo, end, level + 1, limit):
-            if out and stop - out[-1][0] <= limit:
-                out[-1] = (out[-1][0], stop)
-            else:
-                out.append((start, stop))
-        lo = end
-    return out
+        if end - start > room:
+            if at > start:
+                out.append((start, at))
+                start = at
+            if end - start > room:
+                out += _tree(levels, text, start, end, level + 1, room)
+                start = end
+        at = end
+    return [*out, (start, hi)] if start < hi else out
 
 
 def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
@@ -117,7 +124,7 @@ def oversized(items: DataFrame, settings: DataFrame) -> DataFrame:
     return out.where(F.length("text") > F.col("max_chars")).select("item_kind", "item_id", "text", "max_chars", "overlap_chars")
 
 
-def split_oversized(items: DataFrame, settings: DataFrame, with_text: bool = True) -> DataFrame:
+def split_oversized(items: DataFrame, settings: DataFrame) -> DataFrame:
     """item_kind, item_id, piece_no (from 0), start, new_from, end, piece of every oversized item.
 
     A repeated key is split once. Texts reach Python only if they are over the limit.
@@ -129,14 +136,13 @@ def split_oversized(items: DataFrame, settings: DataFrame, with_text: bool = Tru
             rows: list[tuple] = []
             for kind, item, text, limit, overlap in zip(*(c.to_pylist() for c in batch.columns)):
                 for n, (start, new, end) in enumerate(pieces(text, limit, overlap)):
-                    rows.append((kind, item, n, start, new, end, text[start:end] if with_text else None))
+                    rows.append((kind, item, n, start, new, end, text[start:end]))
             cols = list(zip(*rows)) if rows else [()] * 7
             kinds = [pa.string(), pa.string(), *[pa.int32()] * 4, pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     names = ["item_kind", "item_id", "piece_no", "start", "new_from", "end", "piece"]
-    out = big.mapInArrow(run, "item_kind string, item_id string, piece_no int, start int, new_from int, `end` int, piece string")
-    return out if with_text else out.drop("piece")
+    return big.mapInArrow(run, "item_kind string, item_id string, piece_no int, start int, new_from int, `end` int, piece string")
 
 
 def stored_items(chunks: DataFrame, page_bodies: DataFrame) -> DataFrame:

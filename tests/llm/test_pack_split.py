@@ -74,3 +74,27 @@ def test_limits_and_defaults(spark):
     assert list(a.start) == [0, 4] and list(a.new_from) == [0, 7]
     assert len(out[out.item_id == "c"]) == 2
     assert split.split_oversized(items.limit(0), settings_).count() == 0
+
+
+def test_pieces_keep_to_the_bounds_of_split_nodes():
+    text = "# A\n\n" + "One sentence here. " * 20 + "\n\n# B\n\n" + "Another one there. " * 3
+    parts = split.pieces(text, 120, 10)
+    b = text.index("# B")
+    assert not any(new < b < end for _, new, end in parts)  # no piece straddles the section that was cut
+
+
+def test_plan_is_no_worse_than_best_fit_decreasing():
+    import bisect
+
+    rng = np.random.default_rng(5)
+    for capacity in (1024, 2048):
+        items = np.minimum(rng.gamma(2.0, capacity / 5, 6000).astype(int) + 1, capacity)
+        rooms: list[int] = []
+        used = 0
+        for s in sorted(items.tolist(), reverse=True):
+            i = bisect.bisect_left(rooms, s)
+            room = rooms.pop(i) if i < len(rooms) else capacity
+            used += room == capacity
+            bisect.insort(rooms, room - s)
+        sizes, demand = np.unique(items, return_counts=True)
+        assert sum(n for *_, n in pack.plan(sizes, demand, capacity)) <= used
