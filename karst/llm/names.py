@@ -21,12 +21,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import combinations, permutations
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, field
+from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karst.core.session import cut, staged
@@ -62,11 +62,6 @@ LEGAL = {
     "coop": ["societa cooperativa a responsabilita limitata", "societa cooperativa", "soc coop a r l", "soc coop", "soccoop", "s c a r l", "scarl", "scrl"],
     "ltd": ["limited", "ltd"], "plc": ["plc"], "inc": ["incorporated", "inc"], "sl": ["sociedad limitada", "s l u", "slu"], "sa": ["sociedad anonima"],
 }
-#: Sector words of firms, for collections too small to learn them from.
-SECTORS = (
-    "azienda sanitaria banca credito brokers insurance assicurazioni laboratori chimici istituto comprensivo consorzio idrico costruzioni generali "
-    "edilizia holding finanziaria studio legale officine meccaniche trasporti vigilanza cooperativa sociale fratelli"
-).split()
 _LEGAL = re.compile(r"\b(?:" + "|".join(s for _, s in sorted(((f, s) for f, x in LEGAL.items() for s in x), key=lambda p: -len(p[1]))) + r")\b")
 _FORM = {s: f for f, x in LEGAL.items() for s in x}
 #: Letters of other alphabets that look Latin.
@@ -79,6 +74,7 @@ class Params:
     common_share: float = 0.002  # of all records, for a common word
     common_least: int = 5
     common_spaces: int = 4
+    pet_names: Mapping[str, str] = field(default_factory=lambda: PET_NAMES)  # a resource that may be empty: pet name -> names
 
 
 def fold(text: str) -> str:
@@ -88,9 +84,10 @@ def fold(text: str) -> str:
 
 
 def tokens(text: str) -> tuple[list[str], str, list[str], bool]:
-    """(words, legal form, parts set off in brackets or behind a dash, a digit or currency sign is in it)."""
+    """(words, legal form, parts set off in brackets or behind a dash, whether it is a date or amount: digits or a
+    currency sign without a legal form)."""
     s = fold(text)
-    amount = bool(re.search(r"[\d€$£]", s))
+    amount = bool(re.search(r"[\d€$£]", s)) and not _LEGAL.search(re.sub(r"[^\w]+", " ", re.sub(r"(?<=\w)\.(?=\w)", "", s)))  # a firm's name may have a number
     aside = re.findall(r"\(([^)]*)\)?", s)
     s = re.sub(r"\([^)]*\)?", " ", s)
     s, dash, behind = s.partition(" - ")
@@ -141,24 +138,26 @@ def abbreviates(short: str, word: str) -> bool:
 class Reader:
     """Takes names apart, with the learned common words: word -> given, sector or place."""
 
-    def __init__(self, common: dict[str, str]):
+    def __init__(self, common: dict[str, str], pet_names: Mapping[str, str] = PET_NAMES):
         self.kind = dict(common)
         # of the names a pet name may stand for, those that the collection uses
         used = {w for w, k in common.items() if k == "given"}
-        self.pets = {pet: frozenset(x & used or x) for pet, names in PET_NAMES.items() for x in [{fold(n) for n in names.split()}]}
+        self.pets = {pet: frozenset(x & used or x) for pet, names in pet_names.items() for x in [{fold(n) for n in names.split()}]}
         self.known = set(common)
-        for pet, names in PET_NAMES.items():
+        for pet, names in pet_names.items():
             for w in (pet, *names.split()):
                 self.kind.setdefault(fold(w), "given")
-        for w in SECTORS:
-            self.kind[w] = "sector"
         sectors = [w for w, k in self.kind.items() if k == "sector"]
         # a common abbreviation is read as the sector word it stands for
-        self.alias = {w: max(found, key=lambda s: (s in SECTORS, s.startswith(w), len(s), s)) for w in sectors if w not in SECTORS and (found := [s for s in sectors if abbreviates(w, s)])}
+        self.alias = {w: max(found, key=lambda s: (s.startswith(w), len(s), s)) for w in sectors if (found := [s for s in sectors if abbreviates(w, s)])}
+        for w in self.alias:  # of an abbreviation of an abbreviation the word itself
+            while self.alias[w] in self.alias:
+                self.alias[w] = self.alias[self.alias[w]]
+        # what one deletion leaves of a common word of five letters, two of one of seven
         self.index: dict[str, list[str]] = {}
         for w in self.kind:
             if len(w) >= 5:
-                for x in deletes(w, 1):
+                for x in deletes(w, 2 if len(w) >= 7 else 1):
                     self.index.setdefault(x, []).append(w)
         self.sectors = sorted(w for w in sectors if w not in self.alias)
         self.memo: dict[str, tuple[str, str]] = {}
@@ -182,7 +181,7 @@ class Reader:
             if near:
                 return self.kind[near[0]], near[0]
             if len(word) >= 7:
-                near = sorted((w for w in self.kind if len(w) >= 7 and abs(len(w) - len(word)) <= 2 and w[0] == word[0] and edits(word, w, 2) <= 2), key=lambda w: (w not in self.known, w))
+                near = sorted({w for x in deletes(word, 2) for w in self.index.get(x, []) if len(w) >= 7 and w[0] == word[0] and edits(word, w, 2) <= 2}, key=lambda w: (w not in self.known, w))
                 if near:
                     return self.kind[near[0]], near[0]
         return "", word
@@ -215,13 +214,13 @@ class Reader:
             read = self._mended(read)
             given = [v for _, k, v in read if k in ("given", "initial")]
             core = "".join(w for w, k, _ in read if k not in ("given", "initial"))
-            if len(core) < 3 or not given or len(read) < 2:
+            if len(core) < 2 or not given or len(read) < 2:
                 return None
             return {"kind": "P", "core": core, "given": given, "legal": "", "place": "", "sector": []}
         sector, rest = [], []
         for w, k, v in read:
             if k == "sector":
-                sector.append("~" + v if len(v) <= 4 and v not in SECTORS else v)  # a common acronym stays one
+                sector.append("~" + v if len(v) <= 4 else v)  # a common acronym stays one
             elif k == "place" and len(read) > 1 and not place and v == w and len(rest):
                 place = v
             else:
@@ -235,7 +234,7 @@ class Reader:
             sector += ["~" + w for w in rest if len(w) <= 4 and rest.index(w) != rest.index(long[0]) and not self._splits(rest)]
             rest = rest if self._splits(rest) else long + [w for w in rest if len(w) > 4 and w not in long]
         core = "".join(rest)
-        if len(core) < 3:
+        if len(core) < 2:
             return None
         return {"kind": "O", "core": core, "given": [], "legal": legal, "place": place, "sector": sorted(set(sector))}
 
@@ -304,18 +303,35 @@ class Reader:
         if not self._stands(a[0], b[0]):
             return False
         short, long = sorted((a[1:], b[1:]), key=len)
-        if len(long) > 5:
-            return short == long[: len(short)]
-        return any(all(self._stands(x, y) for x, y in zip(short, p)) for p in permutations(long, len(short)))
+        taken: dict[int, int] = {}  # place in `long` -> place in `short`
+
+        def place(i: int, tried: set[int]) -> bool:
+            """Finds a partner for the i-th name, moving others to another of theirs where needed."""
+            for j, y in enumerate(long):
+                if j not in tried and self._stands(short[i], y):
+                    tried.add(j)
+                    if j not in taken or place(taken[j], tried):
+                        taken[j] = i
+                        return True
+            return False
+
+        return all(place(i, set()) for i in range(len(short)))
+
+    def firsts(self, f: dict) -> list[str]:
+        """Initials that the first name may have, of which forms of one person share one; one for all firms."""
+        if f["kind"] != "P":
+            return [""]
+        first = f["given"][0]
+        return sorted({first[0], *(n[0] for n in self.names_of(first))})
 
     def _sector(self, a: list[str], b: list[str]) -> bool:
         plain_a, plain_b = ([s for s in x if s[0] != "~"] for x in (a, b))
         if plain_a and plain_b:
             return set(plain_a) <= set(plain_b) or set(plain_b) <= set(plain_a)
         short, long = (a, plain_b) if plain_b else (b, plain_a)
-        letters = {"".join(w[0] for w in p) for p in permutations(long, len(long))} if 0 < len(long) <= 4 else set()
+        letters = {"".join(sorted(w[0] for w in long))} - {""}  # in any order
         acronyms = {s[1:] for s in short} | {re.sub(r"(.)\1", r"\1", s[1:]) for s in short}
-        return bool(letters & acronyms) or any(abbreviates(x, w) for x in acronyms for w in long) or not long and a == b
+        return bool(letters & {"".join(sorted(x)) for x in acronyms}) or any(abbreviates(x, w) for x in acronyms for w in long) or not long and a == b
 
 
 def spellings(entities: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -364,25 +380,25 @@ def learn(names: DataFrame, p: Params) -> dict[str, str]:
             kinds[r.word] = "sector"
         else:
             kinds[r.word] = "given"
-    return {w: k for w, k in kinds.items() if not (k == "given" and w in {"rup", "delegato", "titolare", "garante", "dip", "ex"})}
+    return kinds
 
 
-FORMS = "namespace string, key string, form string, kind string, core string, given array<string>, legal string, place string, sector array<string>, open boolean"
+FORMS = "namespace string, key string, form string, kind string, core string, given array<string>, legal string, place string, sector array<string>, open boolean, firsts array<string>"
 
 
-def read_forms(names: DataFrame, common: dict[str, str]) -> DataFrame:
+def read_forms(names: DataFrame, common: dict[str, str], pets: Mapping[str, str] = PET_NAMES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(common)
+        reader = Reader(common, pets)
         texts = pa.list_(pa.string())
-        types = [pa.string()] * 5 + [texts, pa.string(), pa.string(), texts, pa.bool_()]
+        types = [pa.string()] * 5 + [texts, pa.string(), pa.string(), texts, pa.bool_(), texts]
         for batch in batches:
             out: list[tuple] = []
             for key, space, name in zip(*(c.to_pylist() for c in batch.columns)):
                 f = reader.parse(name)
                 if f:
                     form = "|".join([f["kind"], f["core"], " ".join(f["given"]), f["legal"], f["place"], " ".join(f["sector"])])
-                    out.append((space, key, form, f["kind"], f["core"], f["given"], f["legal"], f["place"], f["sector"], reader.open_form(f)))
-            cols = list(zip(*out)) if out else [()] * 10
+                    out.append((space, key, form, f["kind"], f["core"], f["given"], f["legal"], f["place"], f["sector"], reader.open_form(f), reader.firsts(f)))
+            cols = list(zip(*out)) if out else [()] * 11
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [x.split()[0] for x in FORMS.split(", ")])
 
     return names.select("key", "namespace", "name").mapInArrow(run, FORMS)
@@ -408,7 +424,10 @@ def thirds(core: str) -> dict[str, bool]:
 def near_cores(forms: DataFrame) -> DataFrame:
     """namespace, kind, a, b: distinct cores that may be within two edits (one for short cores), by
     symmetric deletes, long ones by equal thirds; a <= b."""
+    spark = forms.sparkSession
     cores = forms.select("namespace", "kind", "core").distinct()
+    # few rows make many: as many tasks as the session's shuffles have, which adaptive execution would merge for so small an input
+    cores = cores.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "core")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -429,25 +448,26 @@ def near_cores(forms: DataFrame) -> DataFrame:
     return pairs.unionByName(cores.select("namespace", "kind", F.col("core").alias("a"), F.col("core").alias("b")))
 
 
-def form_links(forms: DataFrame, common: dict[str, str]) -> DataFrame:
+def form_links(forms: DataFrame, common: dict[str, str], pets: Mapping[str, str] = PET_NAMES) -> DataFrame:
     """namespace, x, y, x_open, y_open: forms that may mean the same; full forms first, x <> y."""
     near = near_cores(forms)
     cols = ["form", "kind", "core", "given", "legal", "place", "sector", "open"]
-    left = forms.select("namespace", F.struct(*cols).alias("x"))
-    right = forms.select("namespace", F.struct(*cols).alias("y"))
-    pairs = near.join(left, (near.namespace == left.namespace) & (near.a == left.x.core) & (near.kind == left.x.kind)).select(near.namespace, "kind", "b", "x")
-    pairs = pairs.join(right, (pairs.namespace == right.namespace) & (pairs.b == right.y.core) & (pairs.kind == right.y.kind)).select(pairs.namespace, "x", "y")
+    # forms of one core meet by the initial of the first name, so the many bearers of a common surname are parted
+    sides = forms.select("namespace", "kind", "core", F.explode("firsts").alias("first"), F.struct(*cols).alias("form"))
+    left = sides.withColumnsRenamed({"core": "a", "form": "x"})
+    right = sides.withColumnsRenamed({"core": "b", "form": "y"})
+    pairs = near.join(left, ["namespace", "kind", "a"]).join(right, ["namespace", "kind", "b", "first"]).select("namespace", "x", "y")
     pairs = pairs.where("x.form <> y.form and (x.core <> y.core or x.form < y.form)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(common)
+        reader = Reader(common, pets)
         for batch in batches:
             out = [(s, x["form"], y["form"], x["open"], y["open"]) for s, x, y in zip(*(c.to_pylist() for c in batch.columns)) if reader.same(x, y)]
             cols_ = list(zip(*out)) if out else [()] * 5
             kinds = [pa.string()] * 3 + [pa.bool_()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols_, kinds)], ["namespace", "x", "y", "x_open", "y_open"])
 
-    return pairs.mapInArrow(run, "namespace string, x string, y string, x_open boolean, y_open boolean")
+    return pairs.mapInArrow(run, "namespace string, x string, y string, x_open boolean, y_open boolean").distinct()
 
 
 def components(forms: DataFrame, links: DataFrame) -> DataFrame:
@@ -474,9 +494,9 @@ def same_names(entities: DataFrame, nodes: DataFrame, p: Params = Params()) -> D
     """
     names = staged(spellings(entities, nodes))
     common = learn(names, p)
-    records = staged(read_forms(names, common).dropDuplicates(["namespace", "key", "form"]))
-    forms = staged(records.select("namespace", "form", "kind", "core", "given", "legal", "place", "sector", "open").dropDuplicates(["namespace", "form"]))
-    links = staged(form_links(forms, common))
+    records = staged(read_forms(names, common, p.pet_names).dropDuplicates(["namespace", "key", "form"]))
+    forms = staged(records.select("namespace", "form", "kind", "core", "given", "legal", "place", "sector", "open", "firsts").dropDuplicates(["namespace", "form"]))
+    links = staged(form_links(forms, common, p.pet_names))
     full = components(forms.where("not open").select("namespace", "form"), links.where("not x_open and not y_open"))
     # an open form takes the one component that it may mean
     ends = links.where("x_open and not y_open").select("namespace", F.col("x").alias("form"), F.col("y").alias("to"))
@@ -487,7 +507,9 @@ def same_names(entities: DataFrame, nodes: DataFrame, p: Params = Params()) -> D
     # (a single word that no firm explains may as well be a place)
     alone = forms.where("open and (kind = 'P' or legal <> '')").join(one.select("namespace", "form"), ["namespace", "form"], "left_anti")
     first = F.when(F.col("kind") == "P", F.substring(F.element_at("given", 1), 1, 1)).otherwise(F.concat_ws("/", "legal", "place"))
-    alone = alone.select("namespace", "form", F.concat(F.lit("~"), F.min("form").over(Window.partitionBy("namespace", "kind", "core", first))).alias("root"))
+    alone = alone.withColumn("first", first)
+    group = ["namespace", "kind", "core", "first"]
+    alone = alone.join(alone.groupBy(*group).agg(F.concat(F.lit("~"), F.min("form")).alias("root")), group).select("namespace", "form", "root")
     # with several to choose from it stands for itself
     chosen = one.select("namespace", "form", F.when(F.col("root") == F.col("other"), F.col("root")).otherwise(F.concat(F.lit("~"), F.col("form"))).alias("root"))
     roots = full.unionByName(chosen).unionByName(alone)

@@ -2,6 +2,15 @@ from karst.llm import names as N
 from karst.llm import reading as R
 
 
+def test_second_names_are_assigned_whatever_their_number():
+    reader = N.Reader({w: "given" for w in "anna bea carla diana elena fiamma gaia".split()})
+    a = reader.parse("Anna Bea Carla Diana Elena Fiamma Gaia Rossettini")
+    assert reader.same(a, reader.parse("Anna G. F. E. D. C. B. Rossettini")) and not reader.same(a, reader.parse("Anna G. G. E. Rossettini"))
+    assert reader.parse("Anna Bo")["core"] == "bo" and reader.parse("Studio 54 s.r.l.")["kind"] == "O" and reader.parse("12 marzo 2024") is None
+    sectors = N.Reader({w: "sector" for w in "azienda sanitaria locale umbria nord".split()})
+    assert sectors._sector(["azienda", "locale", "nord", "sanitaria", "umbria"], ["~aslun"])
+
+
 def test_symmetric_deletes_cover_two_edits():
     words = ["folgarini", "folgarni", "flogarini", "folgarinni", "folgxrinx", "bertoldi"]
     for a in words:
@@ -24,8 +33,16 @@ ENTITIES = [
 ]
 
 
+#: firms of other namespaces, from which sector words and the place are learned
+FIRMS = [
+    (f"{sector[:3]}{i}", f"{sector} {core} S.r.l. ({place})", f"s{i}")
+    for sector, cores in {"Banca di Credito": "bertoldezzi fandolango", "Costruzioni Generali": "molinapardi zuccherossi"}.items()
+    for i, (core, place) in enumerate([(c + x, "Fenhurst") for c in cores.split() for x in ("", "nivelli", "squorto")])
+]
+
+
 def test_same_names(spark):
-    entities = spark.createDataFrame([(k, n, s, "junk") for k, n, s in ENTITIES], "entity_id string, entity_name string, namespace string, root string")
+    entities = spark.createDataFrame([(k, n, s, "junk") for k, n, s in ENTITIES + FIRMS], "entity_id string, entity_name string, namespace string, root string")
     nodes = spark.createDataFrame([("g1", {"name": "Gellebeldi, Stefano"}, "n"), ("g2", None, "n"), ("g3", {"city": "x"}, "n")], "id string, properties map<string,string>, namespace string")
     got = {(r.key_a, r.key_b) for r in N.pairs_of(N.same_names(entities, nodes)).collect()}
     groups = [["a1", "a2", "a3", "a4", "g1"], ["b1", "b2"], ["o1", "o2"], ["o3", "o4"]]
