@@ -1,11 +1,11 @@
 """Problem 3: the main body of web pages, by tag-path ratios.
 
 Per page, text length and punctuation are summed over each root-to-leaf tag path. The
-ratios of a path (per text node of it) are smoothed along the page, fused, and compared
-with a threshold: nodes of paths above it are content nodes. The element that holds most
-of their mass, with the page's heading, is the body; within it, paths of their own class
-that stay under the threshold, link blocks and what the site's parameters name are
-furniture.
+ratios of a path (per text node of it) are smoothed along the page and fused; paths whose
+mean fused ratio reaches a threshold are content paths, and the element that holds the mass
+of their nodes is the body. Rules refine this: the page's heading belongs to the body, link
+blocks, short blocks of a class of their own and what the site's parameters name don't.
+`classify(rules=False)` shows what the ratios decide alone.
 
 What a line is on pages with markup is then counted over the whole corpus, by the line
 with digits masked, by its lead-in up to a colon, and by site. These counts decide lines
@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -98,16 +100,38 @@ def scores(nodes: list[Node]) -> np.ndarray:
     return np.where(link, 0.0, fused)
 
 
-def body_element(nodes: list[Node], fused: np.ndarray) -> int:
-    """Number of the element that holds the content nodes; the deepest with most of their mass."""
-    flagged = np.where(fused >= 0.5 * fused.mean(), fused, 0)
+THRESHOLD = 0.5  # of the mean fused ratio
+
+
+def content_paths(nodes: list[Node], fused: np.ndarray) -> dict[tuple, bool]:
+    """Each tag path of a page and whether its mean fused ratio reaches the threshold."""
+    sums: dict[tuple, list[float]] = {}
+    for n, score in zip(nodes, fused):
+        sums.setdefault(_key(n), []).append(float(score))
+    least = THRESHOLD * float(fused.mean())
+    return {k: sum(v) / len(v) >= least for k, v in sums.items()}
+
+
+def _key(node: Node) -> tuple:
+    return tuple((t, c) for _, t, c in node.path)
+
+
+def body_element(nodes: list[Node], fused: np.ndarray, heading: bool = True) -> int:
+    """Number of the element that holds the content nodes: the deepest with half of their mass, or,
+    with `heading`, the deepest with the page's heading and nearly all of the mass."""
+    flagged = np.where(fused >= THRESHOLD * fused.mean(), fused, 0)
+    share = 0.5
     headings = [i for i, n in enumerate(nodes) if any(t == "h1" for _, t, _ in n.path)]
-    if headings:
-        flagged = flagged.copy()
-        flagged[headings[0]] += fused.sum() + 1  # the heading belongs to the body however short that is
+    if heading:
+        share = 0.999
+        if headings:
+            flagged = flagged.copy()
+            flagged[headings[0]] += fused.sum() + 1  # the heading belongs to the body however short that is
     mass: dict[int, float] = {}
     depth: dict[int, int] = {}
     for n, m in zip(nodes, flagged):
+        if not heading and any(t in _NEVER for _, t, _ in n.path):
+            continue
         for d, (e, tag, _) in enumerate(n.path):
             if tag in ("h1", "h2", "h3", "p", "span", "a", "li", "blockquote"):
                 break
@@ -116,21 +140,28 @@ def body_element(nodes: list[Node], fused: np.ndarray) -> int:
     if not mass:
         return 0
     inner = {e: m for e, m in mass.items() if depth[e] > 1} or mass
-    most = max(inner.values())
-    return max((e for e in inner if inner[e] >= 0.999 * most), key=lambda e: depth[e])
+    most = max(inner.values()) if heading else max(mass.values())
+    return max((e for e in inner if inner[e] >= share * most), key=lambda e: depth[e], default=0)
+
 
+def classify(nodes: list[Node], unwanted_tags: set[str], unwanted_classes: set[str], rules: bool = True) -> list[tuple[int, str]]:
+    """(kind, tag of the block) of each node.
 
-def classify(nodes: list[Node], unwanted_tags: set[str], unwanted_classes: set[str]) -> list[tuple[int, str]]:
-    """(kind, tag of the block) of each node."""
+    Within the body, nodes of content paths and parts of its structure (headings, items, cells)
+    are content. `rules` are refinements: the body reaches up to the page's heading, what the
+    site's parameters name and blocks of a class of their own without sentences are furniture,
+    and sentences of a path under the threshold stay. Without them the ratios alone decide.
+    """
     if not nodes:
         return []
     fused = scores(nodes)
-    body = body_element(nodes, fused)
-    threshold = 0.5 * fused.mean()
+    chosen = content_paths(nodes, fused)
+    body = body_element(nodes, fused, heading=rules)
+    threshold = THRESHOLD * fused.mean()
     ends: dict[tuple, bool] = {}
     lengths: dict[tuple, list[int]] = {}
     for n in nodes:  # does a path carry sentences, and how long are its nodes?
-        key = tuple((t, c) for _, t, c in n.path)
+        key = _key(n)
         ends[key] = ends.get(key, False) or bool(_SENTENCE_END.search(n.text))
         lengths.setdefault(key, []).append(len(n.text))
     full = [x for k, v in lengths.items() if ends[k] for x in v]
@@ -144,45 +175,75 @@ def classify(nodes: list[Node], unwanted_tags: set[str], unwanted_classes: set[s
             continue
         below = n.path[at + 1 :]
         tags = [t for _, t, _ in below]
-        classes = {c for _, _, x in below for c in x.lower().split()}
+        key = _key(n)
         block = next((t for t in reversed(tags) if t in _OWN or t in ("p", "div", "aside")), tag)
-        kind = CONTENT
-        sentences = ends[tuple((t, c) for _, t, c in n.path)]
-        named = set(tags) & unwanted_tags
-        if sentences:  # a note within the body is content even where the site calls its sidebar by the same tag
-            named -= {"aside", "blockquote", "table"}
-        if classes & unwanted_classes or named - {"table"} or set(tags) & _NEVER:
+        sentences = ends[key]
+        linked = "a" in tags and not set(tags) & {"p", "td", "th", "blockquote", *(("li",) if rules else ())}
+        kind = CONTENT if (chosen[key] or set(tags) & _OWN or (rules and sentences)) and not linked and not set(tags) & _NEVER else INSIDE
+        if kind == CONTENT and rules and _named(tags, below, sentences, unwanted_tags, unwanted_classes):
             kind = INSIDE
-        elif "a" in tags and not set(tags) & {"p", "li", "td", "th", "blockquote"}:
-            kind = INSIDE  # a block that is nothing but a link
-        elif classes and not set(tags) & _OWN and not sentences:
-            own = lengths[tuple((t, c) for _, t, c in n.path)]
-            if score < threshold or sum(own) / len(own) < short:
+        elif kind == CONTENT and rules and not set(tags) & _OWN and not sentences:
+            own = lengths[key]
+            if any(x for _, _, x in below) and (score < threshold or sum(own) / len(own) < short) or "div" in tags and not any(x for _, _, x in below):
                 kind = INSIDE
-        elif "div" in tags and not set(tags) & _OWN and not sentences:
-            kind = INSIDE
         out.append((kind, block))
     return out
 
 
+def _named(tags: list[str], below: tuple, sentences: bool, unwanted_tags: set[str], unwanted_classes: set[str]) -> bool:
+    """Whether the site's parameters name the node as furniture."""
+    named = set(tags) & unwanted_tags
+    if sentences:  # a note within the body is content even where the site calls its sidebar by the same tag
+        named -= {"aside", "blockquote", "table"}
+    return bool({c for _, _, x in below for c in x.lower().split()} & unwanted_classes or named - {"table"})
+
+
 def align(lines: list[str], nodes: list[Node]) -> list[list[int]]:
-    """The nodes whose text each line holds, in order, white space and bars aside."""
+    """The nodes whose text each line holds, in order, white space and bars aside.
+
+    Lines that are one node's text and occur once on either side are anchors, as many as stand in
+    the same order; between two anchors each line takes the first nodes that spell it.
+    """
     flat = [_SQUEEZE.sub("", n.text) for n in nodes]
+    want = [_SQUEEZE.sub("", line) for line in lines]
+    node_of, line_of = Counter(flat), Counter(want)
+    at_node = {t: k for k, t in enumerate(flat) if node_of[t] == 1}
+    pairs = [(i, at_node[t]) for i, t in enumerate(want) if t in at_node and line_of[t] == 1]
+    # the longest run of anchors in increasing order of nodes
+    tails: list[int] = []
+    places: list[int] = []
+    before: list[int | None] = []
+    for p, (_, k) in enumerate(pairs):
+        j = bisect_left(tails, k)
+        before.append(places[j - 1] if j else None)
+        tails[j : j + 1], places[j : j + 1] = [k], [p]
+    anchors = []
+    p = places[-1] if places else None
+    while p is not None:
+        anchors.append(pairs[p])
+        p = before[p]
     out: list[list[int]] = [[] for _ in lines]
-    at = 0
-    for i, line in enumerate(lines):
-        want = _SQUEEZE.sub("", line)
-        if not want:
-            continue
-        for start in range(at, min(at + 40, len(flat))):
-            taken, k = "", start
-            while k < len(flat) and len(taken) < len(want):
-                taken += flat[k]
-                k += 1
-            if taken == want:
-                out[i] = list(range(start, k))
-                at = k
-                break
+    first: dict[str, list[int]] = {}  # nodes by the first letter of their text
+    for k, t in enumerate(flat):
+        first.setdefault(t[:1], []).append(k)
+    line, node = 0, 0
+    for i, k in [*reversed(anchors), (len(lines), len(flat))]:
+        for x in range(line, i):
+            starts = first.get(want[x][:1], []) if want[x] else []
+            for start in starts[bisect_left(starts, node) :]:
+                if start >= k:
+                    break
+                taken, end = "", start
+                while end < k and len(taken) < len(want[x]):
+                    taken += flat[end]
+                    end += 1
+                if taken == want[x]:
+                    out[x] = list(range(start, end))
+                    node = end
+                    break
+        if i < len(lines):
+            out[i] = [k]
+        line, node = i + 1, k + 1
     return out
 
 

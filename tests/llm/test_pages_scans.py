@@ -107,3 +107,16 @@ def test_long_lines_of_one_beginning_have_different_keys(spark):
     rows = spark.createDataFrame([(same + "coda prima",), (same + "altra fine",), (same + "coda prima",)], "line string")
     a, b, c = (r.key for r in rows.select(S.key_of(rows.line).alias("key")).collect())
     assert a == c != b
+
+
+def test_lines_behind_a_long_menu_are_aligned():
+    nodes = [M.Node((), f"voce {i}") for i in range(200)] + [M.Node((), "Home"), M.Node((), "Testo con"), M.Node((), "un link"), M.Node((), "Home")]
+    lines = ["voce 0", "manca", "Home", "Testo con un link", "", "Home"]
+    assert M.align(lines, nodes) == [[0], [], [200], [201, 202], [], [203]]
+    assert M.align([], nodes) == [] and M.align(["x"], []) == [[]]
+
+
+def test_ratios_alone_find_the_paragraphs():
+    kinds = M.classify(M.parse(page(7)), set(), set(), rules=False)
+    texts = [n.text for n, (kind, _) in zip(M.parse(page(7)), kinds) if kind == M.CONTENT]
+    assert f"{SENTENCE} Pagina 7." in texts and "Home" not in texts
