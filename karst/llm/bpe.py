@@ -112,6 +112,8 @@ class Vocabulary:
                     left = split[1]
                 else:
                     right = split[0]
+        if len(self._joint) > 2_000_000:  # a cache: emptied, it changes no result
+            self._joint.clear()
         self._joint[key] = ok
         return ok
 
@@ -129,20 +131,21 @@ class PrefixTable:
         v, last = self.v, self.last
         ranks, lengths, of, joint = v.ranks, v.lengths, v.bytes_of, v.joint
         self.data += data
-        text = bytes(self.data)
-        for end in range(len(last) + 1, len(text) + 1):
-            for n in lengths[text[end - 1]]:
+        base = max(0, len(last) - v.longest)  # no token reaches further back
+        text = bytes(self.data[base:])
+        for end in range(len(last) + 1, len(self.data) + 1):
+            for n in lengths[text[end - 1 - base]]:
                 start = end - n
                 if start < 0:
                     continue
-                token = ranks.get(text[start:end])
+                token = ranks.get(text[start - base : end - base])
                 if token is None or (v.parts(token) is None and n > 1):
                     continue
                 if start == 0 or joint(last[start - 1], token):
                     last.append(token)
                     break
             else:
-                raise ValueError(f"byte {of and text[end - 1]} is not in the vocabulary")
+                raise ValueError(f"byte {of and text[end - 1 - base]} is not in the vocabulary")
         return self
 
     def edit(self, start: int, end: int, new: bytes) -> PrefixTable:
