@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from karst.core.session import cut
+from karst.core.session import staged
 from karst.functions import text as T
 
 
@@ -24,32 +24,40 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", blo
     """
     kind = rows.schema[key].dataType.simpleString()
     q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("v")).where(F.col("v").isNotNull())
-    blocks = max(1, -(-q.count() // block))
-    q = q.withColumn("__block", F.ntile(blocks).over(Window.orderBy("query_id"))) if blocks > 1 else q.withColumn("__block", F.lit(1))
     out = None
-    for b in range(1, blocks + 1):
-        part = q.where(F.col("__block") == b).orderBy("query_id").toPandas()
+    for part in _blocks(q, "query_id", block):
         local = _scores(rows.select(F.col(key), F.col(vector)), part["query_id"].tolist(), part["v"].tolist(), k, metric, key, vector, kind)
         out = local if out is None else out.unionByName(local)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def near_pairs(rows: DataFrame, least: float, block: int = 2048, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """a, b, score: all pairs a < b of rows whose cosine is over `least`.
+def _blocks(rows: DataFrame, key: str, block: int) -> Iterator[pd.DataFrame]:
+    """`rows` in blocks of about `block` rows by the hash of `key`, each in the order of keys.
 
-    Every vector meets every other. Rows go out in blocks of at most `block` vectors, in the order
-    of keys, to the rows with a greater key; only pairs over `least` leave a worker. Vectors of
-    different lengths and null vectors make no pair.
+    Several blocks are written once, a directory each, so a block is read without the others.
+    """
+    n = max(1, -(-rows.count() // block))
+    if n == 1:
+        yield rows.orderBy(key).toPandas()
+        return
+    kept = staged(rows.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), "__block")
+    for i in range(n):
+        yield kept.where(F.col("__block") == i).drop("__block").orderBy(key).toPandas()
+
+
+def near_pairs(rows: DataFrame, least: float, block: int = 2048, key: str = "vec_id", vector: str = "embedding", queries: DataFrame | None = None) -> DataFrame:
+    """a, b, score: all pairs a < b of rows whose cosine is over `least`; with `queries`, those with a in it.
+
+    Every vector meets every other. Blocks of about `block` vectors go out to all rows; only
+    pairs over `least` with the smaller key in the block leave a worker, so nothing is ranked and
+    no other pair moves. Vectors of different lengths and null vectors make no pair.
     """
     kind = rows.schema[key].dataType.simpleString()
-    x = rows.select(F.col(key).alias("b"), F.col(vector).alias("v")).where(F.col("b").isNotNull() & F.col("v").isNotNull())
-    blocks = max(1, -(-x.count() // block))
-    numbered = cut(x.withColumn("__block", F.ntile(blocks).over(Window.orderBy("b")))) if blocks > 1 else x.withColumn("__block", F.lit(1))
+    some = lambda df: df.select(F.col(key).alias("b"), F.col(vector).alias("v")).where(F.col("b").isNotNull() & F.col("v").isNotNull())
     out = None
-    for n in range(1, blocks + 1):
-        part = numbered.where(F.col("__block") == n).orderBy("b").toPandas()
-        near = _over(numbered.where(F.col("__block") >= n).select("b", "v"), part["b"].tolist(), part["v"].tolist(), least, kind)
+    for part in _blocks(some(rows if queries is None else queries), "b", block):
+        near = _over(some(rows), part["b"].tolist(), part["v"].tolist(), least, kind)
         out = near if out is None else out.unionByName(near)
     return out
 
@@ -84,8 +92,19 @@ def _scores(rows: DataFrame, ids: list, vectors: list, k: int, metric: str, key:
     if name not in ("cosine", "dot", "ip", "l2", "euclid"):
         raise ValueError(f"metric {metric!r}")
 
+    names = np.array(ids)
+
+    def best(owns: np.ndarray, js: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per query the k best, ties by key."""
+        order = np.lexsort((owns, -scores, js))
+        owns, js, scores = owns[order], js[order], scores[order]
+        starts = np.flatnonzero(np.r_[True, js[1:] != js[:-1]]) if len(js) else np.empty(0, int)
+        place = np.arange(len(js)) - np.repeat(starts, np.diff(np.r_[starts, len(js)]))
+        kept = place < k
+        return owns[kept], js[kept], scores[kept]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keep: list[pd.DataFrame] = []
+        held = None
         for pdf in batches:
             pdf = pdf[pdf[vector].map(lambda v: v is not None and len(v) == q.shape[1])]
             if not len(pdf) or not len(q):
@@ -99,13 +118,12 @@ def _scores(rows: DataFrame, ids: list, vectors: list, k: int, metric: str, key:
             else:
                 s = -np.sqrt(np.maximum((x**2).sum(1)[:, None] + (q**2).sum(1)[None, :] - 2 * x @ q.T, 0))
             s = np.round(s, 9) + 0.0
-            own = pdf[key].to_numpy()
-            for j, qid in enumerate(ids):
-                top = np.lexsort((own, -s[:, j]))[:k]
-                keep.append(pd.DataFrame({"query_id": qid, key: own[top], "score": s[top, j]}))
-        if keep:
-            all_ = pd.concat(keep).sort_values(["query_id", "score", key], ascending=[True, False, True])
-            yield all_.groupby("query_id", sort=False).head(k)
+            least = np.partition(s, len(s) - k, axis=0)[len(s) - k] if len(s) > k else np.full(len(q), -np.inf)
+            i, j = np.nonzero(s >= least[None, :])  # the k best of each query in the batch, with ties
+            found = best(pdf[key].to_numpy()[i], j, s[i, j])
+            held = found if held is None else best(*(np.concatenate(p) for p in zip(held, found)))
+        if held is not None:
+            yield pd.DataFrame({"query_id": names[held[1]], key: held[0], "score": held[2]})
 
     return rows.mapInPandas(run, f"query_id {kind}, {key} {kind}, score double")
 
@@ -150,10 +168,19 @@ def sparse_terms(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg((1 + F.ln(F.count("*"))).alias("weight"))
 
 
-def sparse_score(terms: DataFrame, query: DataFrame, key: str) -> DataFrame:
-    """`key`, sparse: dot product with the query's terms (term, weight), a bounded set."""
-    q = query.select("term", F.col("weight").alias("__q"))
-    return terms.join(q, "term").groupBy(key).agg(F.sum(F.col("weight") * F.col("__q")).alias("sparse"))
+def sparse_score(docs: DataFrame, key: str, text: str, query: dict[str, float]) -> DataFrame:
+    """`key`, sparse: dot product of a text's terms, weighted as in `sparse_terms`, with the query's.
+
+    Words that the query doesn't have are left out before anything is exploded, so only
+    (text, query term) pairs are aggregated, never the terms of all texts.
+    """
+    if not query:
+        return docs.select(key, F.lit(0.0).alias("sparse")).limit(0)
+    asked = F.array(*(F.lit(t) for t in query))
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.array_contains(asked, w) & (F.length(w) > 1))
+    n = docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    weight = F.element_at(F.create_map(*(F.lit(x) for t, w in query.items() for x in (t, float(w)))), F.col("term"))
+    return n.groupBy(key).agg(F.sum((1 + F.ln("n")) * weight).alias("sparse"))
 
 
 def max_pool(parts: DataFrame, key: str) -> DataFrame:
@@ -163,19 +190,29 @@ def max_pool(parts: DataFrame, key: str) -> DataFrame:
     return pairs.select(key, F.transform("p", lambda x: x.term).alias("indices"), F.transform("p", lambda x: x.w).alias("values"))
 
 
-def word_windows(text: Column, size: int, overlap: int = 0) -> Column:
-    """Windows of `size` words, each `overlap` words into the one before."""
-    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+
+
+def word_windows(docs: DataFrame, key: str, text: str, size: int, overlap: int = 0) -> DataFrame:
+    """`key`, part, window, words: windows of `size` words, each `overlap` words into the one before.
+
+    A text is split once; its windows are slices of the words. Texts without words have no row.
+    """
+    split = docs.select(key, words_of(F.col(text)).alias("__words")).where(F.size("__words") > 0)
     step = max(1, size - overlap)
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - overlap - 1, F.lit(0)), F.lit(step))
-    return F.when(F.size(words) > 0, F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("__words") - overlap - 1, F.lit(0)), F.lit(step))
+    cut_ = split.select(key, "__words", F.posexplode(starts).alias("part", "__at"))
+    window = F.slice("__words", F.col("__at") + 1, F.lit(size))
+    return cut_.select(key, "part", window.alias("__w")).select(key, "part", F.array_join("__w", " ").alias("window"), F.size("__w").alias("words"))
 
 
 def maxp_windows(docs: DataFrame, key: str, text: str, limit: int = 200, overlap_tokens: int = 40) -> DataFrame:
     """`key`, part, window: a text over `limit` estimated tokens in overlapping word windows, others whole."""
     size, overlap = int(limit / 1.8), int(overlap_tokens / 1.8)
-    parts = F.when(T.token_estimate(F.col(text)) > limit, word_windows(F.col(text), size, overlap)).otherwise(F.array(F.col(text)))
-    return docs.select(key, F.posexplode(parts).alias("part", "window"))
+    long = T.token_estimate(F.col(text)) > limit
+    whole = docs.where(~long).select(key, F.lit(0).alias("part"), F.col(text).alias("window"))
+    return word_windows(docs.where(long), key, text, size, overlap).select(key, "part", "window").unionByName(whole)
 
 
 def rerank(rows: DataFrame, score: Column, k: int, key: str, by: list[str] | None = None) -> DataFrame:

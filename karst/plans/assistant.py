@@ -37,7 +37,7 @@ def intent_scores(spark, d):
 def context_fusion(spark, d):
     """Forty pieces of evidence from vectors, keywords and the graph on one scale."""
     near = dense(spark, d, 20).groupBy("vec_id").agg(F.max("score").alias("score")).select(F.col("vec_id").alias("key"), "score")
-    words = R.sparse_terms(table(spark, d, "documents"), "doc_id", "text").where("term in ('polizza', 'insurance', 'seguro')").groupBy(F.col("doc_id").alias("key")).agg(F.sum("weight").alias("score"))
+    words = R.sparse_score(table(spark, d, "documents"), "doc_id", "text", {"polizza": 1.0, "insurance": 1.0, "seguro": 1.0}).select(F.col("doc_id").alias("key"), F.col("sparse").alias("score"))
     hubs = table(spark, d, "graph_relationships").dropDuplicates(["relationship_id"]).groupBy(F.col("source_id").alias("key")).agg(F.count("*").cast("double").alias("score"))
     return A.fused_context({"vectors": near, "keywords": words, "graph": hubs}, "score", "key", 40).withColumn("score", F.round("score", 6))
 

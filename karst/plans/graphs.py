@@ -259,8 +259,8 @@ FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id % 50 = 0
 def near_dup_pairs(spark, d):
     """Vectors nearer than 0.35 to a stated query set (every id divisible by 50) with a greater id, as the SQL states it; all pairs are in `near_dup_all_pairs`."""
     e = table(spark, d, "embeddings")
-    near = R.knn(e, e.where("vec_id % 50 = 0"), 1_000_000_000, block=256)
-    return near.where("score > 0.35 and query_id < vec_id").select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), F.round("score", 5).alias("similarity"))
+    near = R.near_pairs(e, 0.35, queries=e.where("vec_id % 50 = 0"))
+    return near.select("a", "b", F.round("score", 5).alias("similarity"))
 
 
 @query("near_dup_all_pairs", """SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity
@@ -344,8 +344,7 @@ def hybrid_graph_search(spark, d):
     """Flagship: keyword ranking of chunks and PageRank from the entities that the question names,
     fused by reciprocal ranks, within a date range or undated, the best twenty."""
     c = cut(chunks(spark, d).where("text is not null").select("id", "text", "namespace", "date_text"))
-    q = spark.createDataFrame([("credito", 1.0), ("mutuo", 1.0), ("banca", 1.0), ("loan", 1.0), ("polizza", 0.5)], "term string, weight double")
-    words = R.sparse_score(R.sparse_terms(c, "id", "text"), F.broadcast(q), "id")
+    words = R.sparse_score(c, "id", "text", {"credito": 1.0, "mutuo": 1.0, "banca": 1.0, "loan": 1.0, "polizza": 0.5})
     first = words.orderBy(F.desc(F.round("sparse", 9)), "id").limit(100)
     first = first.select("id", F.row_number().over(Window.orderBy(F.desc(F.round("sparse", 9)), "id")).alias("rank"))
     n, e = light(spark, d)

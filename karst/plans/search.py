@@ -14,9 +14,14 @@ from karst.registry import query
 STEP = 50  # searches: every row whose id is divisible by 50 is a query
 
 
-def chunks(spark, d) -> DataFrame:
-    """Stored chunks, each id once: a later ingestion replaces an earlier one."""
-    return R.first_of(table(spark, d, "chunks"), "id", [F.desc("ingested_at")])
+def chunks(spark, d, where=None) -> DataFrame:
+    """Stored chunks, each id once: a later ingestion replaces an earlier one.
+
+    A repeated id differs in `ingested_at` alone, so a condition `where` on other columns comes
+    first: it reaches the scan, and only what it leaves is deduplicated.
+    """
+    rows = table(spark, d, "chunks")
+    return R.first_of(rows if where is None else rows.where(where), "id", [F.desc("ingested_at")])
 
 
 CHUNKS = "c AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST) = 1)"
@@ -137,8 +142,7 @@ s AS (SELECT doc_id, sum(t.weight * q.weight) AS sparse FROM t JOIN q USING (ter
 SELECT doc_id, round(sparse, 5) AS sparse, row_number() OVER (ORDER BY round(sparse, 9) DESC, doc_id) AS rank FROM s QUALIFY rank <= 50""")
 def sparse_search(spark, d):
     """Top 50 by sparse score: a top-k report."""
-    q = spark.createDataFrame([("contratto", 1.0), ("vector", 2.0), ("seguro", 1.5), ("fattura", 0.5)], "term string, weight double")
-    s = R.sparse_score(R.sparse_terms(table(spark, d, "documents"), "doc_id", "text"), F.broadcast(q), "doc_id")
+    s = R.sparse_score(table(spark, d, "documents"), "doc_id", "text", {"contratto": 1.0, "vector": 2.0, "seguro": 1.5, "fattura": 0.5})
     top = s.orderBy(F.desc(F.round("sparse", 9)), "doc_id").limit(50)
     return top.select("doc_id", F.round("sparse", 5).alias("sparse"), F.row_number().over(Window.orderBy(F.desc(F.round("sparse", 9)), "doc_id")).cast("long").alias("rank"))
 
@@ -163,8 +167,7 @@ z AS (SELECT vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], (SELE
 SELECT doc_id, round(0.6 * coalesce(dense, 0) + 0.4 * coalesce(sparse, 0), 5) AS score FROM z FULL JOIN s USING (doc_id)""")
 def hybrid_convex(spark, d):
     """Dense and sparse score of each item, alpha 0.6; vec_id stands for the document's id."""
-    q = spark.createDataFrame([("contratto", 1.0), ("polizza", 1.0)], "term string, weight double")
-    sparse = R.sparse_score(R.sparse_terms(table(spark, d, "documents"), "doc_id", "text"), F.broadcast(q), "doc_id")
+    sparse = R.sparse_score(table(spark, d, "documents"), "doc_id", "text", {"contratto": 1.0, "polizza": 1.0})
     e = table(spark, d, "embeddings")
     probe = e.where("vec_id = 0").select("embedding")  # the one question's vector
     z = e.withColumn("__q", probe.scalar()).select(F.col("vec_id").alias("doc_id"), vectors.cosine(F.col("embedding"), F.col("__q")).alias("dense"))
@@ -198,9 +201,9 @@ SELECT doc_id, (CASE WHEN len(ws) = 0 THEN 0 ELSE ceil(len(ws) / 300.0) END)::BI
 def word_windows(spark, d):
     """Windows of 300 words a sparse encoder is fed with."""
     docs = table(spark, d, "documents").where("text is not null")
-    parts = docs.select("doc_id", R.word_windows(F.col("text"), 300).alias("w"))
-    words = F.aggregate("w", F.lit(0), lambda n, x: n + F.size(F.split(x, " ")))
-    return parts.select("doc_id", F.size("w").cast("long").alias("windows"), words.cast("long").alias("words"))
+    n = R.word_windows(docs, "doc_id", "text", 300).groupBy("doc_id").agg(F.count("*").alias("windows"), F.sum("words").alias("words"))
+    zero = F.lit(0).cast("long")
+    return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("windows", zero).alias("windows"), F.coalesce("words", zero).alias("words"))
 
 
 @query("rerank_topk", f"""
@@ -265,33 +268,33 @@ def namespace_description(spark, d):
 
 @query("chunk_listing", LATEST + " SELECT id, metadata_id, metadata_source, lower(metadata_type) AS metadata_type, date_text, text FROM c WHERE namespace = 'gare-nord'")
 def chunk_listing(spark, d):
-    return chunks(spark, d).where("namespace = 'gare-nord'").select("id", "metadata_id", "metadata_source", F.lower("metadata_type").alias("metadata_type"), "date_text", "text")
+    return chunks(spark, d, "namespace = 'gare-nord'").select("id", "metadata_id", "metadata_source", F.lower("metadata_type").alias("metadata_type"), "date_text", "text")
 
 
 @query("chunks_by_source", LATEST + " SELECT id FROM c WHERE metadata_source = 'https://guida.serviziolumen.example/faq/export'")
 def chunks_by_source(spark, d):
-    return chunks(spark, d).where("metadata_source = 'https://guida.serviziolumen.example/faq/export'").select("id")
+    return chunks(spark, d, "metadata_source = 'https://guida.serviziolumen.example/faq/export'").select("id")
 
 
 @query("chunks_by_document", LATEST + " SELECT id, page FROM c WHERE metadata_id = 'md-54' ORDER BY page, id")
 def chunks_by_document(spark, d):
-    return chunks(spark, d).where("metadata_id = 'md-54'").select("id", "page").orderBy(F.asc_nulls_last("page"), "id")
+    return chunks(spark, d, "metadata_id = 'md-54'").select("id", "page").orderBy(F.asc_nulls_last("page"), "id")
 
 
 @query("tag_filter_and_or_not", LATEST + """
 SELECT id FROM c WHERE (list_contains(coalesce(tags, []), 'OCR') OR list_contains(coalesce(tags, []), 'faq')) AND NOT list_contains(coalesce(tags, []), 'it')""")
 def tag_filter_and_or_not(spark, d):
-    return chunks(spark, d).where(filters.tag_filter("tags: (OCR | faq) & !it")).select("id")
+    return chunks(spark, d, filters.tag_filter("tags: (OCR | faq) & !it")).select("id")
 
 
 @query("tag_negation", LATEST + " SELECT id FROM c WHERE NOT list_contains(coalesce(tags, []), 'interno')")
 def tag_negation(spark, d):
-    return chunks(spark, d).where(filters.tag_filter("!interno")).select("id")
+    return chunks(spark, d, filters.tag_filter("!interno")).select("id")
 
 
 @query("tag_list", LATEST + " SELECT id FROM c WHERE list_contains(coalesce(tags, []), 'en') AND list_contains(coalesce(tags, []), 'interno')")
 def tag_list(spark, d):
-    return chunks(spark, d).where(filters.tag_filter(["en", "interno"])).select("id")
+    return chunks(spark, d, filters.tag_filter(["en", "interno"])).select("id")
 
 
 @query("metadata_range_filter", LATEST + """
@@ -309,7 +312,7 @@ def metadata_not_equal(spark, d):
 
 @query("metadata_map_filter", LATEST + " SELECT id FROM c WHERE metadata['lang'] = 'es'")
 def metadata_map_filter(spark, d):
-    return chunks(spark, d).where(filters.metadata_filter({"lang": "es"}, lambda f: F.try_element_at("metadata", F.lit(f)))).select("id")
+    return chunks(spark, d, filters.metadata_filter({"lang": "es"}, lambda f: F.try_element_at("metadata", F.lit(f)))).select("id")
 
 
 @query("store_defaults", LATEST + " SELECT id, coalesce(namespace, 'default') AS namespace, coalesce(tags, []) AS tags, coalesce(page, 1)::INT AS page FROM c")
