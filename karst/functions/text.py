@@ -134,23 +134,37 @@ def amount(text: Column) -> Column:
     return F.regexp_replace(plain, r"\.$", "").try_cast("decimal(18,2)")
 
 
-#: Entity patterns of Italian administrative text.
+#: Entity patterns of Italian administrative text, with the group that holds the value.
 ENTITY_PATTERNS = {
-    "CIG": r"\bCIG[\s:]*([A-Z0-9]{10})\b",
-    "CUP": r"\bCUP[\s:]*([A-Z][0-9]{2}[A-Z][0-9]{11})\b",
-    "CF": r"\b([A-Z]{6}[0-9]{2}[A-Z][0-9]{2}[A-Z][0-9]{3}[A-Z])\b",
-    "DATE": r"\b(\d{1,2}/\d{1,2}/\d{4}|\d{4}-\d{2}-\d{2})\b",
-    "MONEY": r"(\d{1,3}(?:\.\d{3})*,\d{2}) ?€",
+    "CIG": (r"(?i)\bCIG\s*[:\.]?\s*([A-Z0-9]{10})\b", 1),
+    "CUP": (r"(?i)\bCUP\s*[:\.]?\s*([A-Z0-9]{15})\b", 1),
+    "CF": (r"(?i)\b[A-Z]{6}[0-9]{2}[A-Z][0-9]{2}[A-Z][0-9]{3}[A-Z]\b", 0),
+    "DATE_IT": (r"\b(\d{1,2}[/\-\.]\d{2}[/\-\.]\d{4})\b", 1),
+    "MONEY": (r"(?i)€\s*\d{1,3}(?:\.\d{3})*(?:,\d{2})?|\d{1,3}(?:\.\d{3})*,\d{2}\s*(?:euro|€)", 0),
+    "QUANTITY": (r"(?i)\b(?:n\.?°?|nr\.?|pz\.?)\s*(\d+)\b", 1),
 }
 
 
 def entities(text: Column) -> Column:
     """Distinct (type, name) structs of the pattern entities, names in lower case, by type and position."""
 
-    def of(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("type"), F.lower(x).alias("name")))
+    def of(kind: str, pattern: str, group: int) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.struct(F.lit(kind).alias("type"), F.lower(F.trim(x)).alias("name")))
 
-    return F.array_distinct(F.concat(*(of(k, p) for k, p in ENTITY_PATTERNS.items())))
+    return F.array_distinct(F.concat(*(of(k, p, g) for k, (p, g) in ENTITY_PATTERNS.items())))
+
+
+def dates_of_months(text: Column) -> Column:
+    """Every day, as dd/MM/yyyy, of each Italian month with a year that the text names, in order."""
+    months = F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS_IT, 1) for x in (m, i)))
+    named = F.regexp_extract_all(F.lower(text), F.lit(r"\b((?:" + "|".join(MONTHS_IT) + r")\s+\d{4})\b"), F.lit(1))
+
+    def days(x: Column) -> Column:
+        parts = F.split(x, r"\s+")
+        first = F.make_date(parts[1].cast("int"), F.element_at(months, parts[0]), F.lit(1))
+        return F.transform(F.sequence(first, F.last_day(first)), lambda day: F.date_format(day, "dd/MM/yyyy"))
+
+    return F.flatten(F.transform(named, days))
 
 
 def citation_ids(text: Column) -> Column:
@@ -184,13 +198,49 @@ def heading_level(line: Column) -> Column:
     )
 
 
-#: Words that make a question temporal, exploratory, technical or relational.
-TEMPORAL = [r"\b\d{1,2}/\d{1,2}/\d{4}\b", r"\b(19|20)\d{2}-\d{2}-\d{2}\b", r"\b(oggi|ieri|domani|today|yesterday|hoy|ayer)\b", r"\b(settimana|mese|week|month|semana|mes)\b"]
+#: Patterns that make a question temporal, in the order in which they are tried.
+TEMPORAL = [
+    r"\boggi\b", r"\bieri\b", r"\bdomani\b",
+    r"\bstamattina\b", r"\bstasera\b",
+    r"\bquesta\s+(?:settimana|giornata|mattina|sera)\b",
+    r"\bquesto\s+(?:mese|anno|trimestre|semestre)\b",
+    r"\bl[']?\s*(?:anno|mese|settimana)\s+scorso\b",
+    r"\bnell[ae]?\s+giornata\b", r"\bnel\s+corso\b",
+    r"\bnel\s+periodo\b", r"\bnel\s+mese\b",
+    r"\bultim[ioe]\s+\d+\s+(?:giorni|settimane|mesi)\b",
+    r"\bdal\b.{0,40}\b(?:al|fino|a)\b",
+    r"\bdal\s+\d", r"\bdal\s+\w+\s+\d{4}\b",
+    r"\bdal\s+(?:primo|1°?)\b",
+    r"\bfino\s+a\b", r"\bentro\s+il\b",
+    r"\b(?:gennaio|febbraio|marzo|aprile|maggio|giugno|luglio|agosto|settembre|ottobre|novembre|dicembre)\b",
+    r"\btoday\b", r"\byesterday\b", r"\bthis\s+(?:week|month|year)\b",
+    r"\blast\s+(?:week|month|year)\b", r"\bsince\b.{0,20}\d{4}",
+    r"\briassunto\b", r"\briepilogo\b", r"\bsommario\b", r"\bsintesi\b",
+    r"\bcosa\s+hanno\s+(?:fatto|deliberato|deciso|acquistato|assunto)\b",
+    r"\bcosa\s+[èe]\s+stato\b", r"\bcosa\s+[èe]\s+successo\b",
+    r"\btipo\s+di\s+attivit[àa]", r"\bche\s+attivit[àa]",
+    r"\bquante?\s+(?:determine|delibere|atti|acquisti|assunzioni)\b",
+    r"\bn[°º]?\s*(?:determine|delibere)\b",
+    r"\bquanti\s+(?:medici|infermieri|dipendenti)\b",
+    r"\bsummary\b", r"\bsummarize\b", r"\bwhat\s+(?:happened|did\s+they\s+do)\b",
+    r"\bhow\s+many\b",
+]
+#: Phrases of each kind of question, tried in this order.
 QUERY_KINDS = {
-    "exploratory": ["panoramica", "riassun", "overview", "summar", "resumen", "principali"],
-    "technical": ["come ", "how ", "cómo", "procedura", "procedure", "configur", "manuale", "manual"],
-    "relational": ["collegat", "relazion", "related", "between", "tra ", "entre ", "garantisce", "depends"],
-}
+    "exploratory": [
+        "tell me about", "what is", "what are", "explain", "describe", "overview", "introduction", "summarize", "give me", "show me",
+        "parlami di", "cos'è", "spiega", "descrivi",
+    ],
+    "technical": [
+        "error", "code", "bug", "issue", "fix", "problem", "how to", "tutorial", "step by step", "configure", "install", "setup", "syntax",
+        "command", "function", "errore", "codice", "problema", "come fare", "configurare",
+    ],
+    "relational": [
+        "relation", "relationship", "connect", "connection", "influence", "impact", "affect", "correlate", "between", "vs", "versus",
+        "compare", "comparison", "difference", "similar", "relazione", "connessione", "influenza", "impatto", "confronto",
+        "how does", "why does", "what causes",
+    ],
+}
 
 
 def temporal_route(text: Column) -> Column:

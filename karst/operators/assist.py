@@ -8,29 +8,55 @@ from collections.abc import Callable
 from difflib import SequenceMatcher
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from karst.core.session import cut
 from karst.operators import retrieval as R
 
-#: Shares of vector, keyword and graph search by kind of question.
-SEARCH_WEIGHTS = {"technical": (0.4, 0.4, 0.2), "relational": (0.25, 0.15, 0.6), "exploratory": (0.45, 0.2, 0.35)}
-
-
-def search_weights(kind: Column) -> Column:
-    """Struct (vector, keyword, graph) for a kind of question; an unknown kind counts as exploratory."""
-    pick = lambda i: reduce(lambda c, kv: F.when(kind == kv[0], kv[1][i]).otherwise(c), SEARCH_WEIGHTS.items(), F.lit(SEARCH_WEIGHTS["exploratory"][i]))
-    return F.struct(pick(0).alias("vector"), pick(1).alias("keyword"), pick(2).alias("graph"))
-
-
-def intent_scores(questions: DataFrame, key: str, text: str, intents: dict[str, list[str]]) -> DataFrame:
+#: Multipliers of each kind of search by kind of question.
+SEARCH_WEIGHTS = {
+    "exploratory": {"vector": 1.5, "keyword": 0.5, "graph": 1.0, "community": 1.8},
+    "technical": {"vector": 0.5, "keyword": 1.8, "graph": 0.5, "community": 0.3},
+    "relational": {"vector": 1.0, "keyword": 1.0, "graph": 2.5, "community": 1.5},
+}
+#: Intents and the word starts that show them.
+INTENTS = {
+    "timeline": ["cronologia", "sequenza", "eventi", "storia", "timeline", "when", "quando", "completa", "tutti", "intero", "full", "complete"],
+    "exposure": ["esposizione", "debito", "importo", "quanto", "how much", "exposure", "amount"],
+    "guarantees": ["garanzie", "collateral", "security", "guarantee", "ipoteca", "pegno"],
+    "payments": ["pagamenti", "versamenti", "payments", "transactions", "rata", "rate"],
+    "contacts": ["contatti", "comunicazioni", "lettere", "email", "pec", "contacts"],
+    "legal_actions": ["legale", "precetto", "ingiunzione", "tribunale", "legal", "court"],
+    "debtor_info": ["debitore", "anagrafica", "chi è", "who is", "debtor", "informazioni"],
+    "relationship": ["relazione", "collegamento", "legame", "relationship", "connected", "related", "garanti", "guarantors", "fideiussori", "garante"],
+    "vespro": ["vespri", "vespro", "siciliani", "ferdinando", "aragona", "1282", "rivolta"],
+}
+
+
+def search_weights(kind: Column, base: dict[str, float] | None = None) -> Column:
+    """Struct (vector, keyword, graph, community): `base` weights (1 each by default) times the
+    multipliers of the question's kind; an unknown kind counts as exploratory."""
+    base = base or {k: 1.0 for k in SEARCH_WEIGHTS["exploratory"]}
+
+    def pick(name: str) -> Column:
+        out = F.lit(SEARCH_WEIGHTS["exploratory"].get(name, 1.0))
+        for k, weights in SEARCH_WEIGHTS.items():
+            out = F.when(kind == k, weights.get(name, 1.0)).otherwise(out)
+        return (F.lit(base[name]) * out).alias(name)
+
+    return F.struct(*(pick(n) for n in base))
+
+
+def intent_scores(questions: DataFrame, key: str, text: str, intents: dict[str, list[str]] = INTENTS) -> DataFrame:
     """`key`, intent, confidence: the intent with the most word starts in the question, min(hits / 3, 1);
-    ties to the first name, none without a hit."""
+    ties to the first name; general with 0.5 without a hit. Null questions have no row."""
     low = F.lower(F.col(text))
-    hits = F.array(*(F.struct(sum(low.rlike(r"(?U)\b\Q" + w + r"\E").cast("int") for w in words).alias("hits"), F.lit(-i).alias("order"), F.lit(name).alias("intent")) for i, (name, words) in enumerate(intents.items())))
-    best = questions.select(key, F.array_max(hits).alias("b")).where("b.hits > 0")
-    return best.select(key, "b.intent", F.least(F.col("b.hits") / 3, F.lit(1.0)).alias("confidence"))
+    hits = F.array(*(F.struct(sum(low.rlike(r"\b\Q" + w + r"\E").cast("int") for w in words).alias("hits"), F.lit(-i).alias("order"), F.lit(name).alias("intent")) for i, (name, words) in enumerate(intents.items())))
+    best = questions.where(F.col(text).isNotNull()).select(key, F.array_max(hits).alias("b"))
+    hit = F.col("b.hits") > 0
+    return best.select(key, F.when(hit, F.col("b.intent")).otherwise("general").alias("intent"), F.when(hit, F.least(F.col("b.hits") / 3, F.lit(1.0))).otherwise(0.5).alias("confidence"))
 
 
 def fused_context(sources: dict[str, DataFrame], score: str, key: str, k: int) -> DataFrame:
@@ -46,19 +72,32 @@ def evidence_sources(quotes: DataFrame, chunks: DataFrame, lengths: tuple[int, .
     from `fuzzy` on; the first chunk. quotes: quote_id, doc_id, quote; chunks: doc_id,
     chunk_id, text. A quote meets the chunks of its own document only.
     """
-    alike = F.udf(lambda a, b: SequenceMatcher(None, a.lower(), b.lower(), autojunk=False).ratio() if a and b else 0.0, "double")
     both = quotes.join(chunks, "doc_id")
     steps = [F.when(F.contains("text", F.substring("quote", 1, n)) & (F.length("quote") > 0), i) for i, n in enumerate(lengths)]
-    step = F.coalesce(*steps)
-    # only quotes that no chunk holds are compared letter by letter
-    found = both.withColumn("step", step)
+    found = both.withColumn("step", F.coalesce(*steps))
     exact = found.where("step is not null").groupBy("quote_id").agg(F.min_by(F.struct("chunk_id", F.lit("text").alias("how")), F.struct("step", "chunk_id")).alias("x"))
-    rest = found.join(exact.select("quote_id"), "quote_id", "left_anti").withColumn("r", alike("quote", F.substring("text", 1, 2000)))
-    near = rest.groupBy("quote_id").agg(F.max_by(F.struct("chunk_id", "r"), F.struct("r", "chunk_id")).alias("b"), F.min("chunk_id").alias("first"))
+    # only quotes that no chunk holds are compared letter by letter, in Arrow batches
+    rest = found.join(exact.select("quote_id"), "quote_id", "left_anti")
+    kinds = {f.name: f.dataType.simpleString() for f in rest.schema.fields}
+
+    def run(frames):
+        for pdf in frames:
+            yield pd.DataFrame({"quote_id": pdf["quote_id"], "chunk_id": pdf["chunk_id"], "r": [_alike(a, b) for a, b in zip(pdf["quote"], pdf["text"])]})
+
+    near = rest.select("quote_id", "chunk_id", "quote", "text").mapInPandas(run, f"quote_id {kinds['quote_id']}, chunk_id {kinds['chunk_id']}, r double")
+    near = near.groupBy("quote_id").agg(F.max_by(F.struct("chunk_id", "r"), F.struct("r", "chunk_id")).alias("b"), F.min("chunk_id").alias("first"))
     near = near.select("quote_id", F.when(F.col("b.r") >= fuzzy, F.struct(F.col("b.chunk_id").alias("chunk_id"), F.lit("alike").alias("how"))).otherwise(F.struct(F.col("first").alias("chunk_id"), F.lit("first").alias("how"))).alias("x"))
     return exact.unionByName(near).select("quote_id", "x.chunk_id", "x.how")
 
 
+def _alike(a: str | None, b: str | None) -> float:
+    """Share of matching letters of two whole texts, 0 to 1."""
+    if not a or not b:
+        return 0.0
+    m = SequenceMatcher(None, a.lower(), b.lower(), autojunk=False)
+    return m.ratio() if m.real_quick_ratio() >= 0.05 else 0.0
+
+
 def references_to_tables(texts: DataFrame, tables: DataFrame) -> DataFrame:
     """element_id, table_id of texts that name a table of their document ("Tabella 3"). tables: doc_id, table_id, number."""
     numbers = F.transform(F.regexp_extract_all("text", F.lit(r"(?i)\b(?:tabella|table|tabla|tab\.)\s*(\d+)"), F.lit(1)), lambda x: x.cast("int"))

@@ -13,24 +13,32 @@ from karst.registry import query
 from .search import LATEST, chunks, dense
 
 
-@query("query_weights", """SELECT kind, CASE kind WHEN 'technical' THEN 0.4 WHEN 'relational' THEN 0.25 ELSE 0.45 END AS vector, CASE kind WHEN 'technical' THEN 0.2 WHEN 'relational' THEN 0.6 ELSE 0.35 END AS graph, count(*) AS n FROM (
-SELECT CASE WHEN regexp_matches(lower(text), 'panoramica|riassun|overview|summar|resumen|principali') THEN 'exploratory' WHEN regexp_matches(lower(text), 'come |how |cómo|procedura|procedure|configur|manuale|manual') THEN 'technical'
- WHEN regexp_matches(lower(text), 'collegat|relazion|related|between|tra |entre |garantisce|depends') THEN 'relational' ELSE 'exploratory' END AS kind FROM documents) GROUP BY ALL""")
+_KIND = """CASE WHEN regexp_matches(lower(text), 'tell me about|what is|what are|explain|describe|overview|introduction|summarize|give me|show me|parlami di|cos''è|spiega|descrivi') THEN 'exploratory'
+ WHEN regexp_matches(lower(text), 'error|code|bug|issue|fix|problem|how to|tutorial|step by step|configure|install|setup|syntax|command|function|errore|codice|problema|come fare|configurare') THEN 'technical'
+ WHEN regexp_matches(lower(text), 'relation|relationship|connect|connection|influence|impact|affect|correlate|between|vs|versus|compare|comparison|difference|similar|relazione|connessione|influenza|impatto|confronto|how does|why does|what causes') THEN 'relational' ELSE 'exploratory' END"""
+
+
+@query("query_weights", f"""SELECT kind, CASE kind WHEN 'technical' THEN 0.5 WHEN 'relational' THEN 1.0 ELSE 1.5 END AS vector, CASE kind WHEN 'technical' THEN 1.8 WHEN 'relational' THEN 1.0 ELSE 0.5 END AS keyword,
+CASE kind WHEN 'technical' THEN 0.5 WHEN 'relational' THEN 2.5 ELSE 1.0 END AS graph, CASE kind WHEN 'technical' THEN 0.3 WHEN 'relational' THEN 1.5 ELSE 1.8 END AS community, count(*) AS n FROM (SELECT {_KIND} AS kind FROM documents) GROUP BY ALL""")
 def query_weights(spark, d):
     """Search weights by kind of question, over all documents as questions."""
     q = table(spark, d, "documents").select(T.query_kind(F.col("text")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
-    return q.withColumn("w", A.search_weights(F.col("kind"))).select("kind", "w.vector", "w.graph", "n")
+    return q.withColumn("w", A.search_weights(F.col("kind"))).select("kind", "w.vector", "w.keyword", "w.graph", "w.community", "n")
 
 
-_INTENTS = {"payments": ["pag", "bonific", "fattur", "invoice"], "guarantees": ["garanz", "cauzion", "polizz", "insurance"], "tenders": ["gara", "lotto", "tender", "bidder"]}
+_STARTS = [
+    ("timeline", "cronologia|sequenza|eventi|storia|timeline|when|quando|completa|tutti|intero|full|complete"), ("exposure", "esposizione|debito|importo|quanto|how much|exposure|amount"),
+    ("guarantees", "garanzie|collateral|security|guarantee|ipoteca|pegno"), ("payments", "pagamenti|versamenti|payments|transactions|rata|rate"), ("contacts", "contatti|comunicazioni|lettere|email|pec|contacts"),
+    ("legal_actions", "legale|precetto|ingiunzione|tribunale|legal|court"), ("debtor_info", "debitore|anagrafica|chi è|who is|debtor|informazioni"),
+    ("relationship", "relazione|collegamento|legame|relationship|connected|related|garanti|guarantors|fideiussori|garante"), ("vespro", "vespri|vespro|siciliani|ferdinando|aragona|1282|rivolta"),
+]
+_HITS = ", ".join("{'hits': " + " + ".join(f"regexp_matches(lower(text), '\\b{w}')::INT" for w in words.split("|")) + f", 'first': {-i}, 'intent': '{name}'}}" for i, (name, words) in enumerate(_STARTS))
 
 
-@query("intent_scores", r"""WITH h AS (SELECT doc_id, (regexp_matches(lower(text), '\bpag')::INT + regexp_matches(lower(text), '\bbonific')::INT + regexp_matches(lower(text), '\bfattur')::INT + regexp_matches(lower(text), '\binvoice')::INT) AS p,
- (regexp_matches(lower(text), '\bgaranz')::INT + regexp_matches(lower(text), '\bcauzion')::INT + regexp_matches(lower(text), '\bpolizz')::INT + regexp_matches(lower(text), '\binsurance')::INT) AS g,
- (regexp_matches(lower(text), '\bgara')::INT + regexp_matches(lower(text), '\blotto')::INT + regexp_matches(lower(text), '\btender')::INT + regexp_matches(lower(text), '\bbidder')::INT) AS t FROM documents)
-SELECT doc_id, CASE WHEN p >= g AND p >= t THEN 'payments' WHEN g >= t THEN 'guarantees' ELSE 'tenders' END AS intent, round(least(greatest(p, g, t) / 3, 1.0), 6) AS confidence FROM h WHERE greatest(p, g, t) > 0""")
+@query("intent_scores", f"""WITH h AS (SELECT doc_id, list_max([{_HITS}]) AS b FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN b.hits > 0 THEN b.intent ELSE 'general' END AS intent, round(CASE WHEN b.hits > 0 THEN least(b.hits / 3, 1.0) ELSE 0.5 END, 6) AS confidence FROM h""")
 def intent_scores(spark, d):
-    return A.intent_scores(table(spark, d, "documents"), "doc_id", "text", _INTENTS).withColumn("confidence", F.round("confidence", 6))
+    return A.intent_scores(table(spark, d, "documents"), "doc_id", "text").withColumn("confidence", F.round("confidence", 6))
 
 
 @query("context_fusion")
@@ -43,14 +51,16 @@ def context_fusion(spark, d):
 
 
 @query("evidence_attribution", LATEST + """, q AS (SELECT metadata_id, min(id) AS quote_id FROM c WHERE length(text) > 200 AND metadata_id IS NOT NULL GROUP BY metadata_id),
-k AS (SELECT q.quote_id, c.metadata_id, substr(c.text, 50, 60) AS quote FROM q JOIN c ON c.id = q.quote_id)
-SELECT k.quote_id, min(c.id) AS chunk_id FROM k JOIN c ON c.metadata_id = k.metadata_id AND contains(c.text, substr(k.quote, 1, 200)) GROUP BY k.quote_id""")
+k AS (SELECT q.quote_id, c.metadata_id, CASE WHEN ascii(right(q.quote_id, 1)) % 2 = 0 THEN substr(c.text, 50, 60) ELSE '§§§§§§§§§§' END AS quote FROM q JOIN c ON c.id = q.quote_id),
+h AS (SELECT k.quote_id, min(CASE WHEN contains(c.text, k.quote) THEN c.id END) AS held, min(c.id) AS first FROM k JOIN c ON c.metadata_id = k.metadata_id GROUP BY k.quote_id)
+SELECT quote_id, coalesce(held, first) AS chunk_id, CASE WHEN held IS NULL THEN 'first' ELSE 'text' END AS how FROM h""")
 def evidence_attribution(spark, d):
-    """A passage of one chunk of each document, found again among the document's chunks."""
+    """For each document a passage of one of its chunks, found again, or a passage that none holds, which falls to the first chunk."""
     c = chunks(spark, d)
     pick = c.where("length(text) > 200 and metadata_id is not null").groupBy("metadata_id").agg(F.min("id").alias("quote_id"))
-    quotes = pick.join(c.select(F.col("id").alias("quote_id"), "text"), "quote_id").select("quote_id", F.col("metadata_id").alias("doc_id"), F.substring("text", 50, 60).alias("quote"))
-    return A.evidence_sources(quotes, c.select(F.col("metadata_id").alias("doc_id"), F.col("id").alias("chunk_id"), "text")).where("how = 'text'").select("quote_id", "chunk_id")
+    held = F.ascii(F.right("quote_id", F.lit(1))) % 2 == 0
+    quotes = pick.join(c.select(F.col("id").alias("quote_id"), "text"), "quote_id").select("quote_id", F.col("metadata_id").alias("doc_id"), F.when(held, F.substring("text", 50, 60)).otherwise("§" * 10).alias("quote"))
+    return A.evidence_sources(quotes, c.select(F.col("metadata_id").alias("doc_id"), F.col("id").alias("chunk_id"), "text"))
 
 
 @query("summary_tree")

@@ -95,15 +95,36 @@ def money_amounts(spark, d):
     return m.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum(T.amount(F.col("raw"))).cast("double"), 2).alias("total"))
 
 
-@query("pattern_entities", rf"""
-WITH x AS (SELECT doc_id, 'CIG' AS type, unnest(regexp_extract_all(text, '\bCIG[\s:]*([A-Z0-9]{{10}})\b', 1)) AS raw FROM documents
-UNION ALL SELECT doc_id, 'DATE', unnest(regexp_extract_all(text, '\b(\d{{1,2}}/\d{{1,2}}/\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}})\b', 1)) FROM documents
-UNION ALL SELECT doc_id, 'MONEY', unnest(regexp_extract_all(text, '{_MONEY}', 1)) FROM documents)
-SELECT type, lower(raw) AS name, count(DISTINCT doc_id) AS documents FROM x GROUP BY ALL""")
+@query("pattern_entities", r"""
+WITH x AS (SELECT doc_id, 'CIG' AS type, unnest(regexp_extract_all(text, '(?i)\bCIG\s*[:\.]?\s*([A-Z0-9]{10})\b', 1)) AS raw FROM documents
+UNION ALL SELECT doc_id, 'CUP', unnest(regexp_extract_all(text, '(?i)\bCUP\s*[:\.]?\s*([A-Z0-9]{15})\b', 1)) FROM documents
+UNION ALL SELECT doc_id, 'CF', unnest(regexp_extract_all(text, '(?i)\b[A-Z]{6}[0-9]{2}[A-Z][0-9]{2}[A-Z][0-9]{3}[A-Z]\b')) FROM documents
+UNION ALL SELECT doc_id, 'DATE_IT', unnest(regexp_extract_all(text, '\b(\d{1,2}[/\-\.]\d{2}[/\-\.]\d{4})\b', 1)) FROM documents
+UNION ALL SELECT doc_id, 'MONEY', unnest(regexp_extract_all(text, '(?i)€\s*\d{1,3}(?:\.\d{3})*(?:,\d{2})?|\d{1,3}(?:\.\d{3})*,\d{2}\s*(?:euro|€)')) FROM documents
+UNION ALL SELECT doc_id, 'QUANTITY', unnest(regexp_extract_all(text, '(?i)\b(?:n\.?°?|nr\.?|pz\.?)\s*(\d+)\b', 1)) FROM documents)
+SELECT type, lower(trim(raw)) AS name, count(DISTINCT doc_id) AS documents FROM x GROUP BY ALL""")
 def pattern_entities(spark, d):
-    """Documents of each tender code, date and amount."""
+    """Documents of each tender code, project code, tax code, date, amount and quantity."""
     e = docs(spark, d).select("doc_id", F.inline(T.entities(F.col("text"))))
-    return e.where("type in ('CIG', 'DATE', 'MONEY')").groupBy("type", "name").agg(F.count_distinct("doc_id").alias("documents"))
+    return e.groupBy("type", "name").agg(F.count_distinct("doc_id").alias("documents"))
+
+
+_TENDER = "CIG: AB12CD34EF cup J31B21000340006 cf RSSMRA80A01H501U il 03-02-2025 e 04.05.2025 per € 10.500,00 e 99,90 euro, n. 50 pz.7 nr 3"
+
+
+@query("pattern_entities_literal", """SELECT * FROM (VALUES ('CIG', 'ab12cd34ef'), ('CUP', 'j31b21000340006'), ('CF', 'rssmra80a01h501u'), ('DATE_IT', '03-02-2025'), ('DATE_IT', '04.05.2025'),
+('MONEY', '€ 10.500,00'), ('MONEY', '99,90 euro'), ('QUANTITY', '50'), ('QUANTITY', '7'), ('QUANTITY', '3')) t(type, name)""")
+def pattern_entities_literal(spark, d):
+    """Each kind in forms that the tables don't hold: lower case, dashes and points, a leading sign, the word euro."""
+    return spark.createDataFrame([(_TENDER,)], "text string").select(F.inline(T.entities(F.col("text"))))
+
+
+@query("month_expansion", """WITH m AS (SELECT * FROM (VALUES (1, DATE '2024-02-01'), (1, DATE '2025-12-01'), (2, DATE '2026-04-01')) t(id, first))
+SELECT id, strftime(unnest(range(first::TIMESTAMP, (first + INTERVAL 1 MONTH)::TIMESTAMP, INTERVAL 1 DAY)), '%d/%m/%Y') AS day FROM m""")
+def month_expansion(spark, d):
+    """Questions that name months: every day of them."""
+    q = spark.createDataFrame([(1, "Cosa è successo tra Febbraio 2024 e dicembre  2025?"), (2, "aprile 2026"), (3, "maggio"), (4, None)], "id int, text string")
+    return q.select("id", F.explode(T.dates_of_months(F.col("text"))).alias("day"))
 
 
 @query("query_keywords", r"""
@@ -120,25 +141,41 @@ def cross_references(spark, d):
     return x.select("doc_id", "reference", F.lit(True).alias("found"))
 
 
-@query("query_router", r"""
-SELECT doc_id, CASE WHEN p >= 0 THEN 'temporal' ELSE 'semantic' END AS route, p AS pattern FROM (SELECT doc_id, CASE WHEN text IS NULL THEN -1
- WHEN regexp_matches(lower(text), '\b\d{1,2}/\d{1,2}/\d{4}\b') THEN 0 WHEN regexp_matches(lower(text), '\b(19|20)\d{2}-\d{2}-\d{2}\b') THEN 1
- WHEN regexp_matches(lower(text), '\b(oggi|ieri|domani|today|yesterday|hoy|ayer)\b') THEN 2 WHEN regexp_matches(lower(text), '\b(settimana|mese|week|month|semana|mes)\b') THEN 3 ELSE -1 END AS p FROM documents)""")
+_TIME = [
+    r"\boggi\b", r"\bieri\b", r"\bdomani\b", r"\bstamattina\b", r"\bstasera\b", r"\bquesta\s+(?:settimana|giornata|mattina|sera)\b", r"\bquesto\s+(?:mese|anno|trimestre|semestre)\b",
+    r"\bl['']?\s*(?:anno|mese|settimana)\s+scorso\b", r"\bnell[ae]?\s+giornata\b", r"\bnel\s+corso\b", r"\bnel\s+periodo\b", r"\bnel\s+mese\b", r"\bultim[ioe]\s+\d+\s+(?:giorni|settimane|mesi)\b",
+    r"\bdal\b.{0,40}\b(?:al|fino|a)\b", r"\bdal\s+\d", r"\bdal\s+\w+\s+\d{4}\b", r"\bdal\s+(?:primo|1°?)\b", r"\bfino\s+a\b", r"\bentro\s+il\b",
+    r"\b(?:gennaio|febbraio|marzo|aprile|maggio|giugno|luglio|agosto|settembre|ottobre|novembre|dicembre)\b", r"\btoday\b", r"\byesterday\b", r"\bthis\s+(?:week|month|year)\b",
+    r"\blast\s+(?:week|month|year)\b", r"\bsince\b.{0,20}\d{4}", r"\briassunto\b", r"\briepilogo\b", r"\bsommario\b", r"\bsintesi\b", r"\bcosa\s+hanno\s+(?:fatto|deliberato|deciso|acquistato|assunto)\b",
+    r"\bcosa\s+[èe]\s+stato\b", r"\bcosa\s+[èe]\s+successo\b", r"\btipo\s+di\s+attivit[àa]", r"\bche\s+attivit[àa]", r"\bquante?\s+(?:determine|delibere|atti|acquisti|assunzioni)\b",
+    r"\bn[°º]?\s*(?:determine|delibere)\b", r"\bquanti\s+(?:medici|infermieri|dipendenti)\b", r"\bsummary\b", r"\bsummarize\b", r"\bwhat\s+(?:happened|did\s+they\s+do)\b", r"\bhow\s+many\b",
+]
+
+
+@query("query_router", "SELECT doc_id, CASE WHEN p >= 0 THEN 'temporal' ELSE 'semantic' END AS route, p AS pattern FROM (SELECT doc_id, CASE "
+       + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN {i}" for i, p in enumerate(_TIME)) + " ELSE -1 END AS p FROM documents)")
 def query_router(spark, d):
     return docs(spark, d).select("doc_id", T.temporal_route(F.col("text")).alias("r")).select("doc_id", "r.route", "r.pattern")
 
 
 @query("query_kind", """
-SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'panoramica|riassun|overview|summar|resumen|principali') THEN 'exploratory' WHEN regexp_matches(lower(text), 'come |how |cómo|procedura|procedure|configur|manuale|manual') THEN 'technical'
- WHEN regexp_matches(lower(text), 'collegat|relazion|related|between|tra |entre |garantisce|depends') THEN 'relational' ELSE 'exploratory' END AS kind FROM documents""")
+SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'tell me about|what is|what are|explain|describe|overview|introduction|summarize|give me|show me|parlami di|cos''è|spiega|descrivi') THEN 'exploratory'
+ WHEN regexp_matches(lower(text), 'error|code|bug|issue|fix|problem|how to|tutorial|step by step|configure|install|setup|syntax|command|function|errore|codice|problema|come fare|configurare') THEN 'technical'
+ WHEN regexp_matches(lower(text), 'relation|relationship|connect|connection|influence|impact|affect|correlate|between|vs|versus|compare|comparison|difference|similar|relazione|connessione|influenza|impatto|confronto|how does|why does|what causes') THEN 'relational'
+ ELSE 'exploratory' END AS kind FROM documents""")
 def query_kind(spark, d):
     return docs(spark, d).select("doc_id", T.query_kind(F.col("text")).alias("kind"))
 
 
-@query("citation_markers", r"SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '\[(\d+)\]', 1), lambda x: x::INT))) AS ids, trim(regexp_replace(text, '\s*\[\d+\]', '', 'g')) AS bare FROM documents WHERE regexp_matches(text, '\[\d+\]')")
+_ANSWERS = "SELECT doc_id, text || ' [' || (doc_id % 7) || '] e poi [12][' || (doc_id % 7) || '].' AS text FROM documents WHERE text IS NOT NULL"
+
+
+@query("citation_markers", rf"""WITH a AS ({_ANSWERS}) SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '\[(\d+)\]', 1), lambda x: x::INT))) AS ids, trim(regexp_replace(text, '\s*\[\d+\]', '', 'g')) AS bare FROM a""")
 def citation_markers(spark, d):
-    t = F.col("text")
-    return docs(spark, d).where(t.rlike(r"\[\d+\]")).select("doc_id", T.citation_ids(t).alias("ids"), T.without_citations(t).alias("bare"))
+    """Answers that cite: every text with markers set behind it."""
+    n = (F.col("doc_id") % 7).cast("string")
+    t = F.concat("text", F.lit(" ["), n, F.lit("] e poi [12]["), n, F.lit("]."))
+    return docs(spark, d).where("text is not null").withColumn("text", t).select("doc_id", T.citation_ids(F.col("text")).alias("ids"), T.without_citations(F.col("text")).alias("bare"))
 
 
 @query("text_hashes", "SELECT doc_id, sha256(text) AS sha, md5(text) AS md5 FROM documents WHERE text IS NOT NULL")
@@ -353,8 +390,11 @@ def embedding_misses(spark, d):
     return t.groupBy("k").agg(F.min("doc_id").alias("doc_id")).join(t.where("doc_type = 'faq'").select("k"), "k", "left_anti").select("doc_id")
 
 
-@query("undated_or_in_range", LATEST + r""" SELECT count(*) AS n FROM c""")
+@query("undated_or_in_range", LATEST + r""", p AS (SELECT id, coalesce(try_strptime(regexp_extract(date_text, '^(\d{4}-\d{2}-\d{2})', 1), '%Y-%m-%d'), try_strptime(date_text, '%d/%m/%Y'))::DATE AS day FROM c),
+k AS (SELECT count(*) FILTER (WHERE day BETWEEN DATE '1990-01-01' AND DATE '1990-12-31') AS hits FROM p)
+SELECT id FROM p, k WHERE day IS NOT NULL AND (hits = 0 OR day BETWEEN DATE '1990-01-01' AND DATE '1990-12-31')""")
 def undated_or_in_range(spark, d):
-    """A range that matches nothing gives all rows back."""
-    c = chunks(spark, d).select("id", F.array(F.lit("2020-01-01").cast("date")).alias("days"))
-    return filters.date_or_undated(c, F.col("days"), "1990-01-01", "1990-12-31").agg(F.count("*").alias("n"))
+    """A range that matches nothing, over dated chunks: all rows come back."""
+    c = chunks(spark, d).select("id", F.coalesce(T.calendar_date(F.regexp_extract("date_text", r"^(\d{4}-\d{2}-\d{2})", 1)), T.calendar_date(F.regexp_extract("date_text", r"^(\d{2}/\d{2}/\d{4})$", 1))).alias("day")).where("day is not null")
+    days = F.array("day")
+    return filters.date_or_undated(c.withColumn("days", days), F.col("days"), "1990-01-01", "1990-12-31").select("id")
