@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -72,10 +74,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; `clear_scratch`, at the latest the driver's end, deletes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(clear_scratch)
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def clear_scratch() -> None:
+    """Delete all written intermediate results; frames that read them are of no use afterwards."""
+    while _SCRATCH:
+        spark, path = _SCRATCH.pop()
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended: what lies on this machine can still go
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
 def staged(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Like `cut`, as parquet: column pruning and statistics survive."""
+    """Like `cut`, as parquet: column pruning and statistics survive. The files go with `clear_scratch`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = scratch(spark, "stage")
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -40,3 +40,18 @@ def bbox_centre_distance(a: Column, b: Column) -> Column:
     """Distance between the centres of two boxes [x0, y0, x1, y1]."""
     centre = lambda box, i: (F.get(box, i) + F.get(box, i + 2)) / 2
     return F.sqrt(F.pow(centre(a, 0) - centre(b, 0), 2) + F.pow(centre(a, 1) - centre(b, 1), 2))
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_vector(text: Column) -> Column:
+    """A deterministic embedding inside the JVM: how often each Latin letter occurs; null for a null text or one without letters."""
+    low = F.lower(text)
+    counts = F.array(*((F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))).cast("double") for x in LETTERS))
+    return F.when(low.rlike("[a-z]"), counts)
+
+
+def letters_of(text: str) -> list[float]:
+    """The same of a question, on the driver."""
+    return [float(text.lower().count(x)) for x in LETTERS]

@@ -129,6 +129,27 @@ class GraphStore:
             t.drop(F.col("namespace") == namespace, ["id"])
 
 
+class TreeStore:
+    """Trees of summaries by namespace: nodes with parent, level and text."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.table = _Table(spark, path, "node_id string, parent_id string, level int, text string, namespace string", ["namespace"])
+
+    def put(self, rows: DataFrame) -> None:
+        """The namespaces of `rows` get these trees and no others."""
+        self.table.replace(rows.select("node_id", "parent_id", "level", "text", "namespace").dropDuplicates(["namespace", "node_id"]))
+
+    def get(self, namespace: str, level: int | None = None) -> DataFrame:
+        rows = self.table.read().where(F.col("namespace") == namespace)
+        return rows if level is None else rows.where(F.col("level") == level)
+
+    def list(self) -> DataFrame:
+        return self.table.read().groupBy("namespace").agg(F.count("*").alias("nodes"), F.max("level").alias("depth"))
+
+    def delete(self, namespace: str) -> None:
+        self.table.drop(F.col("namespace") == namespace, ["node_id"])
+
+
 class AnswerCache:
     """Answers by namespace and question key, each until its time is over."""
 

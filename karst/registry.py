@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules whose queries register themselves."""
-    from karst.plans import analytics, assistant, documents, graphs, search, streams  # noqa: F401
+    from karst.plans import analytics, answers, assistant, documents, graphs, search, streams  # noqa: F401
 
 
 load()
