@@ -266,6 +266,23 @@ def is_noise_line(line: Column) -> Column:
     return (t == "") | t.rlike(r"^```|^#{1,6}\s|^[-=*_]{3,}$|^[-*•]$")
 
 
+#: What marks a line of generated records that holds no data.
+SKIP_STARTS = ["```", "***", "---", "===", "###", "## ", "# ", "**", "* ", "- ", "_ ", "> ", "|", "//", "/*", "<!--", "-->"]
+SKIP_WORDS = [
+    "output:", "example:", "note:", "important:", "warning:", "format:", "entity_types:", "text:", "goal:", "steps:", "here is", "following",
+    "please note", "remember that", "make sure", "ensure that", "do not", "don't", "real data:", "examples:", "example 1:", "example 2:", "completed",
+]
+
+
+def skipped_line(line: Column) -> Column:
+    """Lines of generated records without data: markup, bare rules, numbered points, disclaimers, prose without quotes."""
+    low, bare = F.lower(line), F.trim(line)
+    starts = reduce(lambda a, b: a | b, (line.startswith(s) for s in SKIP_STARTS))
+    words = reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in SKIP_WORDS))
+    prose = ~F.contains(line, F.lit('"')) & ~F.contains(line, F.lit("'")) & (F.size(F.split(bare, r"\s+")) > 2)
+    return starts | bare.isin("**", "*", "-", "_", "---", "***", "____", "----------", "==========") | line.rlike(r"^\d+\.\s") | words | prose
+
+
 def text_format(text: Column) -> Column:
     """markdown, tabular or plain by the first ten lines."""
     head = F.slice(F.split(text, "\n"), 1, 10)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karst.core.session import cut
-from karst.functions import filters
+from karst.functions import filters, vectors
 from karst.functions import text as T
 
 
@@ -170,6 +170,24 @@ class AnswerCache:
     def live(self) -> DataFrame:
         return self.table.read().where(F.col("expires_at") > F.current_timestamp())
 
+    def lookup(self, questions: DataFrame, least: float = 0.92) -> DataFrame:
+        """namespace, question, answer, how: exact (the question's key), near (the nearest stored question of
+        the namespace with a cosine of `least` or more) or none. questions: namespace, question, embedding.
+
+        Only questions without an exact entry are compared, with the entries of their own namespace.
+        """
+        live = self.live()
+        asked = questions.withColumn("cache_key", T.cache_key(F.col("question")))
+        first = asked.join(live.select("namespace", "cache_key", "answer"), ["namespace", "cache_key"], "left")
+        exact = first.where("answer is not null").select("namespace", "question", "answer", F.lit("exact").alias("how"))
+        rest = first.where("answer is null").drop("answer")
+        entries = live.where("embedding is not null").select("namespace", F.col("embedding").alias("__e"), F.col("answer").alias("__a"), F.col("cache_key").alias("__k"))
+        scored = rest.join(entries, "namespace", "left").withColumn("s", F.when(F.col("__e").isNotNull(), F.round(vectors.cosine(F.col("embedding"), F.col("__e")), 9)))
+        best = scored.groupBy("namespace", "question").agg(F.min_by(F.struct("s", F.col("__a").alias("answer")), F.struct(-F.coalesce("s", F.lit(-2.0)), F.col("__k"))).alias("b"))
+        hit = F.coalesce(F.col("b.s") >= least, F.lit(False))
+        near = best.select("namespace", "question", F.when(hit, F.col("b.answer")).alias("answer"), F.when(hit, "near").otherwise("none").alias("how"))
+        return exact.unionByName(near)
+
     def invalidate(self, namespace: str) -> None:
         self.table.drop(F.col("namespace") == namespace, ["cache_key"])
 

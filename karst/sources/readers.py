@@ -71,9 +71,8 @@ def sheet_blocks(name: str, rows: list[list]) -> list[dict]:
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-@reader("xlsx")
-def read_xlsx(data: bytes) -> list[dict]:
-    """Sheets of a workbook from its XML, so no spreadsheet library is needed."""
+def xlsx_sheets(data: bytes) -> list[tuple[str, list[list]]]:
+    """(name, rows) of a workbook's sheets from its XML, so no spreadsheet library is needed."""
     z = zipfile.ZipFile(io.BytesIO(data))
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
@@ -94,10 +93,15 @@ def read_xlsx(data: bytes) -> list[dict]:
                 v, kind = c.find(_S + "v"), c.get("t")
                 line[col - 1] = "".join(t.text or "" for t in c.iter(_S + "t")) if kind == "inlineStr" else None if v is None else shared[int(v.text)] if kind == "s" else v.text
             rows.append(line)
-        out += sheet_blocks(name, rows)
+        out.append((name, rows))
     return out
 
 
+@reader("xlsx")
+def read_xlsx(data: bytes) -> list[dict]:
+    return [b for name, rows in xlsx_sheets(data) for b in sheet_blocks(name, rows)]
+
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -126,9 +130,33 @@ def read_docx(data: bytes) -> list[dict]:
 
 
 def docx_images(data: bytes) -> list[dict]:
-    """{name, data, size} of the embedded images, each once."""
+    """{name, data, size, alt} of the embedded images, each once; alt is what the document says of the image."""
     z = zipfile.ZipFile(io.BytesIO(data))
-    return [{"name": n.rsplit("/", 1)[-1], "data": z.read(n), "size": z.getinfo(n).file_size} for n in sorted(set(z.namelist())) if n.startswith("word/media/")]
+    names = set(z.namelist())
+    target = {}
+    if "word/_rels/document.xml.rels" in names:
+        target = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("word/_rels/document.xml.rels"))}
+    alt: dict[str, str] = {}
+    for drawing in ET.fromstring(z.read("word/document.xml")).iter(_W + "drawing"):
+        said = next((e.get("descr") or e.get("title") or "" for e in drawing.iter() if e.tag.endswith("}docPr")), "")
+        for e in drawing.iter():
+            for k, v in e.attrib.items():
+                if k.endswith("}embed") and v in target:
+                    alt.setdefault("word/" + target[v].lstrip("/").removeprefix("word/"), said)
+    return [{"name": n.rsplit("/", 1)[-1], "data": z.read(n), "size": z.getinfo(n).file_size, "alt": alt.get(n, "")} for n in sorted(names) if n.startswith("word/media/")]
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """path, name, alt, size, data of the images of all DOCX files under `path`; files are read on the executors."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [{"path": p, "name": i["name"], "alt": i["alt"], "size": i["size"], "data": i["data"]} for p, data in zip(pdf["path"], pdf["content"]) for i in docx_images(bytes(data))]
+            if rows:
+                yield pd.DataFrame(rows)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, name string, alt string, size long, data binary")
 
 
 class _Page(HTMLParser):
@@ -265,12 +293,176 @@ def save_snapshot(df: DataFrame, path: str, stamp: str, *partition_by: str) -> N
 
 def load_snapshot(spark: SparkSession, path: str, stamp: str | None = None) -> DataFrame:
     """A snapshot, the latest by default; only its directory is read."""
-    df = spark.read.parquet(path)
-    stamp = stamp or df.agg(F.max(F.col("snapshot_ts").cast("string"))).first()[0]
-    return df.where(F.col("snapshot_ts").cast("string") == stamp).drop("snapshot_ts")
+    stamp = stamp or next(iter(list_snapshots(spark, path)))
+    return spark.read.parquet(f"{path}/snapshot_ts={stamp}")
 
 
 def row_buckets(rows: DataFrame, order: str, each: int, by: list[str]) -> DataFrame:
     """`rows` with bucket: runs of `each` rows in order within `by`."""
     w = Window.partitionBy(*by).orderBy(order)
     return rows.withColumn("bucket", F.floor((F.row_number().over(w) - 1) / each))
+
+
+# ---- tables, conversions, artefacts ----
+
+
+def csv_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A CSV file or folder as rows: split and read by all executors, with a header line."""
+    r = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    return (r.schema(schema) if schema else r).csv(path)
+
+
+def cell_text(v: object) -> str:
+    s = "" if v is None else str(v)
+    return '"' + s.replace('"', '""') + '"' if re.search(r'[",\n\r]', s) else s
+
+
+def xlsx_to_csv(data: bytes) -> dict[str, str]:
+    """Each sheet of a workbook as CSV text, all its rows, by name."""
+    return {name: "".join(",".join(cell_text(c) for c in row) + "\n" for row in rows) for name, rows in xlsx_sheets(data)}
+
+
+def xlsx_of(sheets: dict[str, list[list[object]]]) -> bytes:
+    """A workbook with inline strings and numbers: results rendered at the edge."""
+    from xml.sax.saxutils import escape
+
+    def column(i: int) -> str:
+        out = ""
+        i += 1
+        while i:
+            i, r = divmod(i - 1, 26)
+            out = chr(65 + r) + out
+        return out
+
+    def cell(r: int, i: int, v: object) -> str:
+        if v is None:
+            return ""
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
+            return f'<c r="{column(i)}{r}"><v>{v}</v></c>'
+        return f'<c r="{column(i)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+    main, out = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", io.BytesIO()
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>' + kinds + "</Types>")
+        z.writestr("_rels/.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
+        for i, rows in enumerate(sheets.values(), 1):
+            lines = "".join(f'<row r="{r}">' + "".join(cell(r, c, v) for c, v in enumerate(row)) + "</row>" for r, row in enumerate(rows, 1))
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{lines}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+_PDF_TEXT = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|T[*dD]|'|\"|ET|T[jJ]")
+_PDF_ESCAPE = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def pdf_pages(data: bytes) -> list[str]:
+    """Text of the pages of a PDF with plain or deflated content streams and Latin encodings.
+
+    Pages whose fonts have encodings of their own, and scanned ones, come out empty or short: they
+    are for recognition, which is a hook.
+    """
+    import zlib
+
+    objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", data, re.S)}
+
+    def stream(body: bytes) -> bytes:
+        m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
+        if not m:
+            return b""
+        try:
+            return zlib.decompress(m[1]) if b"FlateDecode" in body else m[1]
+        except zlib.error:
+            return b""
+
+    def literal(token: bytes) -> str:
+        if token[:1] == b"<":
+            raw = bytes.fromhex(re.sub(rb"\s", b"", token[1:-1]).decode() + "0" * (len(re.sub(rb"\s", b"", token[1:-1])) % 2))
+        else:
+            raw = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _PDF_ESCAPE.get(m[1], m[1]), token[1:-1], flags=re.S)
+        return raw.decode("utf-16-be", "replace")[1:] if raw[:2] == b"\xfe\xff" else raw.decode("cp1252", "replace")
+
+    out = []
+    for number in sorted(objects):
+        body = objects[number]
+        if not re.search(rb"/Type\s*/Page\b(?!s)", body):
+            continue
+        content = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
+        text = ""
+        for ref in re.findall(rb"(\d+)\s+\d+\s+R", content[1]) if content else []:
+            for token in _PDF_TEXT.findall(stream(objects.get(int(ref), b""))):
+                if token[:1] in b"(<":
+                    text += literal(token)
+                elif token in (b"T*", b"Td", b"TD", b"'", b'"', b"ET") and text and not text.endswith("\n"):
+                    text += "\n"
+        out.append("\n".join(" ".join(line.split()) for line in text.split("\n")).strip())
+    return out
+
+
+@reader("pdf")
+def read_pdf(data: bytes) -> list[dict]:
+    """A block for each page that has text."""
+    return [_block(t, page=i) for i, t in enumerate(pdf_pages(data), 1) if t]
+
+
+def put_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file in the shared folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+class Artefacts:
+    """Files by namespace, index, kind and time under one path: base/namespace=/index=/kind=/ts=/name."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def put(self, namespace: str, index: str, kind: str, ts: str, name: str, data: bytes) -> None:
+        put_file(self.spark, f"{self.path}/namespace={namespace}/index={index}/kind={kind}/ts={ts}/{name}", data)
+
+    def list(self, namespace: str | None = None, index: str | None = None, kind: str | None = None) -> DataFrame:
+        """namespace, index, kind, ts, name, size, path; directories that the filters exclude aren't listed."""
+        part = lambda k, v: f"{k}={v or '*'}"
+        glob = "/".join([self.path, part("namespace", namespace), part("index", index), part("kind", kind), "*"])
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(glob).select("path", "length")
+        field = lambda k: F.regexp_extract("path", rf"/{k}=([^/]*)/", 1).alias(k)
+        return files.select(*map(field, ("namespace", "index", "kind", "ts")), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), "path")
+
+    def latest(self, namespace: str, index: str, kind: str) -> str | None:
+        return self.list(namespace, index, kind).agg(F.max("ts")).first()[0]
+
+    def get(self, namespace: str, index: str, kind: str, ts: str | None = None) -> DataFrame:
+        """name, content of the files of one time, the latest by default."""
+        ts = ts or self.latest(namespace, index, kind)
+        files = self.spark.read.format("binaryFile").load(f"{self.path}/namespace={namespace}/index={index}/kind={kind}/ts={ts}")
+        return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+
+    def delete(self, namespace: str, index: str | None = None, kind: str | None = None) -> None:
+        parts = [self.path, f"namespace={namespace}", *([f"index={index}"] if index else []), *([f"kind={kind}"] if index and kind else [])]
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join(parts))
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def list_snapshots(spark: SparkSession, path: str) -> list[str]:
+    """Times of the snapshots of a path, the latest first; directories are listed, no file is read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted((n.partition("=")[2] for n in names if n.startswith("snapshot_ts=")), reverse=True)
+
+
+def save_graph(entities: DataFrame, relationships: DataFrame, reports: DataFrame, path: str, namespace: str, index: str, stamp: str) -> None:
+    """One snapshot of a graph: a folder each for entities, relationships and reports, by namespace and index."""
+    for name, df in (("entities", entities), ("relationships", relationships), ("reports", reports)):
+        save_snapshot(df, f"{path}/{namespace}/{index}/{name}", stamp)
+
+
+def load_graph(spark: SparkSession, path: str, namespace: str, index: str, stamp: str | None = None) -> dict[str, DataFrame]:
+    return {name: load_snapshot(spark, f"{path}/{namespace}/{index}/{name}", stamp) for name in ("entities", "relationships", "reports")}
