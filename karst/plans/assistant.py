@@ -63,7 +63,8 @@ def evidence_attribution(spark, d):
     return A.evidence_sources(quotes, c.select(F.col("metadata_id").alias("doc_id"), F.col("id").alias("chunk_id"), "text"))
 
 
-@query("summary_tree")
+@query("summary_tree", LATEST + """, k AS (SELECT metadata_id, count(*) AS n FROM c WHERE metadata_id IS NOT NULL AND text IS NOT NULL GROUP BY metadata_id), t AS (SELECT max(CASE WHEN n <= 1 THEN 0 ELSE ceil(ln(n) / ln(5) - 1e-9) END)::INT AS top FROM k)
+SELECT level::INT AS level, sum(greatest(ceil(n / pow(5, level)), 1))::BIGINT AS nodes, CASE WHEN level = any_value(top) THEN sum(greatest(ceil(n / pow(5, level)), 1)) ELSE 0 END::BIGINT AS roots FROM k, t, range(0, 30) r(level) WHERE level <= top GROUP BY level""")
 def summary_tree(spark, d):
     """A tree over the chunks of each document; a summary is the heads of its parts."""
     from pyspark.sql import Window

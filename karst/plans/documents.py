@@ -225,7 +225,9 @@ def heading_paths(spark, d):
     return C.heading_paths(lines, "body_id", "line_no", "level", "title").where("level > 0").select("body_id", "line_no", "path")
 
 
-@query("text_formats")
+@query("text_formats", r"""WITH h AS (SELECT doc_id, string_split(text, chr(10))[1:10] AS h FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN (len(list_filter(h, lambda x: regexp_matches(x, '^\s*\|?\s*:?-{3,}'))) > 0 AND len(list_filter(h, lambda x: len(string_split(x, '|')) >= 3)) >= 2) OR len(list_filter(h, lambda x: regexp_matches(x, '^\s*(#{1,6}\s|[-*]\s|\d+\.\s|```)'))) > 0 THEN 'markdown'
+ WHEN len(list_filter(h, lambda x: len(string_split(x, '|')) >= 3)) >= 2 THEN 'tabular' ELSE 'plain' END AS format FROM h""")
 def text_formats(spark, d):
     return docs(spark, d).where("text is not null").select("doc_id", T.text_format(F.col("text")).alias("format"))
 
@@ -277,7 +279,11 @@ def table_chunks(spark, d):
     return C.exploded(bodies(spark, d), "body_id", "body", tables)
 
 
-@query("semantic_segments")
+@query("semantic_segments", r"""WITH p AS (SELECT doc_id, regexp_split_to_array(text, '\n\s*\n') AS parts FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, n - 1 AS n, list_distinct(regexp_split_to_array(lower(part), '[^\p{L}]+')) AS w FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS n FROM p)),
+b AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY n) AS b FROM w), d AS (SELECT *, CASE WHEN b IS NOT NULL THEN 1 - len(list_intersect(w, b)) / greatest(len(list_distinct(list_concat(w, b))), 1) END AS distance FROM b),
+c AS (SELECT doc_id, quantile_cont(distance, 0.95) AS cut FROM d GROUP BY doc_id), s AS (SELECT d.doc_id, d.n, sum(CASE WHEN distance > cut THEN 1 ELSE 0 END) OVER (PARTITION BY d.doc_id ORDER BY d.n) AS segment FROM d JOIN c USING (doc_id))
+SELECT doc_id, segment::BIGINT AS segment, count(*) AS parts, min(n)::INT AS first FROM s GROUP BY ALL""")
 def semantic_segments(spark, d):
     """Paragraphs of a document cut where neighbours share the fewest words (95th percentile of distance)."""
     parts = docs(spark, d).where("text is not null").select("doc_id", F.posexplode(F.split("text", r"\n\s*\n")).alias("n", "part"))
@@ -331,7 +337,8 @@ def page_segments(spark, d):
     return s.select("doc_id", "from_page", F.least(F.col("from_page") + 1, "last").alias("to_page"))
 
 
-@query("element_sections")
+@query("element_sections", """WITH e AS (SELECT element_id, any_value(doc_id) AS doc_id, any_value(page) AS page, any_value(seq) AS seq, any_value(lower(element_type)) AS kind, any_value(text) AS text FROM text_elements GROUP BY element_id)
+SELECT element_id, last_value(CASE WHEN kind = 'section_header' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page NULLS FIRST, seq NULLS FIRST, element_id ROWS UNBOUNDED PRECEDING) AS section FROM e""")
 def element_sections(spark, d):
     """The heading each element stands under, across the pages of its document, in reading order."""
     e = table(spark, d, "text_elements").dropDuplicates(["element_id"])

@@ -81,7 +81,9 @@ def expand_hops(spark, d):
     return G.expand(edges(spark, d), seeds(spark, d), 3)
 
 
-@query("expand_adaptive")
+@query("expand_adaptive", f"""{WITH}, {SEEDS}, h1 AS (SELECT u.dst AS id, max(u.weight) AS w FROM u JOIN s ON u.src = s.id WHERE u.dst NOT IN (SELECT id FROM s) GROUP BY u.dst ORDER BY w DESC, 1 LIMIT 30),
+h2 AS (SELECT u.dst AS id, max(u.weight) AS w FROM u JOIN h1 ON u.src = h1.id WHERE u.dst NOT IN (SELECT id FROM s) AND u.dst NOT IN (SELECT id FROM h1) AND (SELECT count(*) FROM h1) >= 3 AND (SELECT count(*) FROM s) + (SELECT count(*) FROM h1) < 200 GROUP BY u.dst ORDER BY w DESC, 1 LIMIT 30)
+SELECT DISTINCT id, 0 AS hop FROM s UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2""")
 def expand_adaptive(spark, d):
     """Two hops of at most 30 nodes each, heaviest edges first; a hop under 3 new nodes ends it."""
     return G.expand(edges(spark, d), seeds(spark, d), 2, per_hop=30, least_new=3, most=200)
@@ -317,6 +319,29 @@ def community_sizes(spark, d):
     return parts.groupBy("community").agg(F.count("*").alias("size"))
 
 
+def inner(spark, d):
+    n = nodes(spark, d).select("id")
+    return n, edges(spark, d).join(n.withColumnRenamed("id", "src"), "src", "left_semi").join(n.withColumnRenamed("id", "dst"), "dst", "left_semi")
+
+
+@query("louvain_quality", f"{WITH} SELECT count(*) AS nodes, true AS better, true AS joined FROM n")
+def louvain_quality(spark, d):
+    """Communities by modularity: every node is in one, quality is at least that of label propagation,
+    and no community reaches over two components."""
+    n, e = inner(spark, d)
+    parts = cut(G.louvain(n, e))
+    q = [G.modularity(e, p).first()[0] for p in (parts, G.communities(n, e))]
+    split = parts.join(G.components(n, e), "id").groupBy("community").agg(F.count_distinct("root").alias("r")).where("r > 1")
+    return parts.agg(F.count("*").alias("nodes"), F.lit(q[0] >= q[1] - 1e-9).alias("better"), F.lit(split.isEmpty()).alias("joined"))
+
+
+@query("community_levels", f"{WITH} SELECT level, (SELECT count(*) FROM n) AS nodes FROM range(3) r(level)")
+def community_levels(spark, d):
+    """Three partitions, from coarse to fine; each holds every node."""
+    n, e = inner(spark, d)
+    return G.community_levels(n, e).groupBy(F.col("level").cast("long").alias("level")).agg(F.count_distinct("id").alias("nodes"))
+
+
 @query("community_boost")
 def community_boost(spark, d):
     """PageRank of chunks, raised for chunks that share communities with the twenty best entities."""

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from karst.core.session import shared_dir
+from karst.core.session import scratch
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -94,11 +94,22 @@ def to_parquet(path: str) -> Callable[[DataFrame, int], None]:
     return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
 
+def timed_cache(uses: DataFrame, kind: str, key: str, at: str, now, idle: str, most: int) -> DataFrame:
+    """kind, key, used: entries of an inactivity cache at `now`: used within `idle`, of each kind the `most` last used.
+
+    Works on a table of uses and, as a batch of a stream's state, on what `latest` uses it keeps.
+    """
+    from pyspark.sql import Window
+
+    last = uses.groupBy(F.col(kind).alias("kind"), F.col(key).alias("key")).agg(F.max(at).alias("used"))
+    live = last.where(F.col("used") > F.lit(now) - F.expr(f"interval {idle}"))
+    w = Window.partitionBy("kind").orderBy(F.desc("used"), "key")
+    return live.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
+
+
 def collected(spark: SparkSession, df: DataFrame, tag: str, mode: str = "append") -> DataFrame:
     """Result of a stream over all that is there now, written in parquet to the shared folder and read back."""
-    import uuid
-
-    where = f"{shared_dir(spark).rstrip('/')}/stream-{tag}-{uuid.uuid4().hex}"
+    where = scratch(spark, f"stream-{tag}")
     if mode == "append":
         q = df.writeStream.outputMode("append").option("checkpointLocation", where + "/log").trigger(availableNow=True).format("parquet").option("path", where + "/out").start()
         q.awaitTermination()
