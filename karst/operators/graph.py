@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from karst.core.session import cut
+from karst.core.session import cut, staged
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -165,26 +165,27 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 6, least_size:
     return state.select("id", "community")
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 10, rounds: int = 20, least_size: int = 1) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 4, rounds: int = 8, least_size: int = 1) -> DataFrame:
     """id, community: modularity by local moves and aggregation, level by level.
 
     In a round a node joins the neighbouring community with the greatest gain k_in - resolution *
     k * total / 2m, if it beats its own; a hash parts the nodes into halves that move in turn, so
-    neighbours don't swap. When moves no longer raise modularity, communities become nodes and the
-    next level begins; without a gain it ends. Ids are those of the least member. Communities
-    under `least_size` are left out.
+    neighbours don't swap. When none moves, or after `rounds`, communities become nodes and the
+    next level begins; a level that doesn't raise modularity is not taken, and ends it. Ids are
+    those of the least member. Communities under `least_size` are left out. Rounds are written as
+    parquet: a checkpoint hands on what is known of its columns, which grows with every round.
     """
     ways = undirected(edges).join(nodes.select(F.col("id").alias("src")).distinct(), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")
-    ways = cut(ways.select("src", "dst", "weight"))
+    ways = staged(ways.select("src", "dst", "weight"))
     m2 = ways.agg(F.sum("weight")).first()[0]
-    member = cut(nodes.select("id", F.col("id").alias("community")).distinct())
+    member = staged(nodes.select("id", F.col("id").alias("community")).distinct())
     if not m2:
         return member if least_size <= 1 else member.limit(0)
     best = None
     for _ in range(levels):
         degree = ways.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
-        state = cut(degree.withColumn("community", F.col("id")))
-        q = _quality(ways, state, m2, resolution)
+        state = staged(degree.withColumn("community", F.col("id")))
+        still = 0
         for i in range(rounds):
             total = state.groupBy("community").agg(F.sum("k").alias("total"))
             seen = ways.where("src <> dst").join(state.select(F.col("id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("weight").alias("inside"))
@@ -193,24 +194,24 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels:
             options = options.join(state.select("id", "k", F.col("community").alias("now")), "id")
             rest = F.col("total") - F.when(F.col("community") == F.col("now"), F.col("k")).otherwise(0.0)
             gain = F.round(F.col("inside") - resolution * F.col("k") * rest / m2, 9)
-            wish = options.groupBy("id").agg(F.max_by("community", F.struct(gain, F.col("community") == F.col("now"), "community")).alias("wish"))
+            best_of = options.groupBy("id").agg(F.max_by(F.struct("community", "k", "now"), F.struct(gain, F.col("community") == F.col("now"), "community")).alias("b"))
             moves = F.pmod(F.xxhash64("id"), F.lit(2)) == i % 2
-            moved = cut(state.join(wish, "id").select("id", "k", F.when(moves, F.col("wish")).otherwise(F.col("community")).alias("community")))
-            new = _quality(ways, moved, m2, resolution)
-            if new > q + 1e-9:
-                state, q = moved, new
-            elif i % 2:
+            step = staged(best_of.select("id", "b.k", "b.now", F.when(moves, F.col("b.community")).otherwise(F.col("b.now")).alias("community")))
+            still = still + 1 if step.where("now <> community").isEmpty() else 0
+            state = step.select("id", "k", "community")
+            if still == 2:
                 break
+        q = _quality(ways, state, m2, resolution)
         if best is not None and q <= best + 1e-9:
             break
         best = q
         least = state.groupBy("community").agg(F.min("id").alias("root"))
         state = state.join(least, "community").select("id", F.col("root").alias("community"))
         told = state.select(F.col("id").alias("community"), F.col("community").alias("next"))
-        member = cut(member.join(told, "community", "left").select("id", F.coalesce("next", "community").alias("community")))
+        member = staged(member.join(told, "community", "left").select("id", F.coalesce("next", "community").alias("community")))
         a = state.select(F.col("id").alias("src"), F.col("community").alias("a"))
         b = state.select(F.col("id").alias("dst"), F.col("community").alias("b"))
-        ways = cut(ways.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")))
+        ways = staged(ways.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")))
     if least_size > 1:
         member = member.join(member.groupBy("community").agg(F.count("*").alias("n")).where(F.col("n") >= least_size).select("community"), "community", "left_semi")
     return member.select("id", "community")
@@ -224,11 +225,11 @@ def _quality(ways: DataFrame, state: DataFrame, m2: float, resolution: float) ->
     return inside / m2 - resolution * spread
 
 
-def community_levels(nodes: DataFrame, edges: DataFrame, resolutions: tuple[float, ...] = (0.05, 0.15, 0.35)) -> DataFrame:
+def community_levels(nodes: DataFrame, edges: DataFrame, resolutions: tuple[float, ...] = (0.05, 0.15, 0.35), rounds: int = 8) -> DataFrame:
     """id, community, level: a partition for each resolution, the coarsest first."""
     out = None
     for level, r in enumerate(resolutions):
-        part = louvain(nodes, edges, r).withColumn("level", F.lit(level))
+        part = louvain(nodes, edges, r, levels=2, rounds=rounds).withColumn("level", F.lit(level))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -339,7 +339,7 @@ def louvain_quality(spark, d):
 def community_levels(spark, d):
     """Three partitions, from coarse to fine; each holds every node."""
     n, e = inner(spark, d)
-    return G.community_levels(n, e).groupBy(F.col("level").cast("long").alias("level")).agg(F.count_distinct("id").alias("nodes"))
+    return G.community_levels(n, e, rounds=4).groupBy(F.col("level").cast("long").alias("level")).agg(F.count_distinct("id").alias("nodes"))
 
 
 @query("community_boost")

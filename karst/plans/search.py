@@ -223,19 +223,19 @@ def rerank_passthrough(spark, d):
 
 
 _TOP = _TWO.rstrip().rstrip(",").split(",\na AS")[0] + """,
-x AS (SELECT query_id, vec_id, round(raw, 9) AS score, rank FROM (SELECT query_id, vec_id, c AS raw, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS rank FROM s) WHERE rank <= 20),
+x AS (SELECT query_id, vec_id, round(raw, 5) AS score, rank FROM (SELECT query_id, vec_id, c AS raw, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS rank FROM s) WHERE rank <= 20),
 y AS (SELECT a.query_id, a.vec_id AS i, b.vec_id AS j, a.rank AS ri, b.rank AS rj, list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim FROM x a JOIN x b ON a.query_id = b.query_id AND a.vec_id <> b.vec_id JOIN embeddings p ON p.vec_id = a.vec_id JOIN embeddings q ON q.vec_id = b.vec_id)"""
 
 
-@query("redundancy_filter", _TOP.replace("WITH s AS", "WITH RECURSIVE s AS", 1) + """, k(query_id, at, kept) AS (SELECT DISTINCT query_id, 0::BIGINT, []::BIGINT[] FROM x UNION ALL
-SELECT k.query_id, x.rank, CASE WHEN EXISTS (SELECT 1 FROM y WHERE y.query_id = k.query_id AND y.i = x.vec_id AND list_contains(k.kept, y.j) AND y.sim >= 0.9) THEN k.kept ELSE list_append(k.kept, x.vec_id) END FROM k JOIN x ON x.query_id = k.query_id AND x.rank = k.at + 1)
-SELECT x.query_id, x.vec_id, x.rank::INT AS rank FROM (SELECT query_id, max_by(kept, at) AS kept FROM k GROUP BY query_id) f JOIN x ON x.query_id = f.query_id AND list_contains(f.kept, x.vec_id)""")
+@query("redundancy_filter", _TOP.replace("WITH s AS", "WITH RECURSIVE s AS", 1) + """, k(query_id, pos, kept) AS (SELECT DISTINCT query_id, 0::BIGINT, []::BIGINT[] FROM x UNION ALL
+SELECT k.query_id, x.rank, CASE WHEN EXISTS (SELECT 1 FROM y WHERE y.query_id = k.query_id AND y.i = x.vec_id AND list_contains(k.kept, y.j) AND y.sim >= 0.9) THEN k.kept ELSE list_append(k.kept, x.vec_id) END FROM k JOIN x ON x.query_id = k.query_id AND x.rank = k.pos + 1)
+SELECT x.query_id, x.vec_id, x.rank::INT AS rank FROM (SELECT query_id, max_by(kept, pos) AS kept FROM k GROUP BY query_id) f JOIN x ON x.query_id = f.query_id AND list_contains(f.kept, x.vec_id)""")
 def redundancy_filter(spark, d):
     rows = dense(spark, d, 20).join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id")
     return R.without_redundant(rows, 0.9, "query_id", "vec_id", "rank", "embedding")
 
 
-@query("mmr_search", _TOP + """, g1 AS (SELECT query_id, vec_id, 1 AS pick FROM x WHERE rank = 1), p2 AS (SELECT query_id, vec_id FROM (SELECT x.query_id, x.vec_id, row_number() OVER (PARTITION BY x.query_id ORDER BY round(0.5 * x.score - 0.5 * (SELECT max(y.sim) FROM y JOIN g1 g ON g.query_id = y.query_id AND g.vec_id = y.j WHERE y.query_id = x.query_id AND y.i = x.vec_id), 9) DESC, x.rank) AS o FROM x WHERE NOT EXISTS (SELECT 1 FROM g1 g WHERE g.query_id = x.query_id AND g.vec_id = x.vec_id)) WHERE o = 1), g2 AS (SELECT * FROM g1 UNION ALL SELECT *, 2 FROM p2), p3 AS (SELECT query_id, vec_id FROM (SELECT x.query_id, x.vec_id, row_number() OVER (PARTITION BY x.query_id ORDER BY round(0.5 * x.score - 0.5 * (SELECT max(y.sim) FROM y JOIN g2 g ON g.query_id = y.query_id AND g.vec_id = y.j WHERE y.query_id = x.query_id AND y.i = x.vec_id), 9) DESC, x.rank) AS o FROM x WHERE NOT EXISTS (SELECT 1 FROM g2 g WHERE g.query_id = x.query_id AND g.vec_id = x.vec_id)) WHERE o = 1), g3 AS (SELECT * FROM g2 UNION ALL SELECT *, 3 FROM p3), p4 AS (SELECT query_id, vec_id FROM (SELECT x.query_id, x.vec_id, row_number() OVER (PARTITION BY x.query_id ORDER BY round(0.5 * x.score - 0.5 * (SELECT max(y.sim) FROM y JOIN g3 g ON g.query_id = y.query_id AND g.vec_id = y.j WHERE y.query_id = x.query_id AND y.i = x.vec_id), 9) DESC, x.rank) AS o FROM x WHERE NOT EXISTS (SELECT 1 FROM g3 g WHERE g.query_id = x.query_id AND g.vec_id = x.vec_id)) WHERE o = 1), g4 AS (SELECT * FROM g3 UNION ALL SELECT *, 4 FROM p4), p5 AS (SELECT query_id, vec_id FROM (SELECT x.query_id, x.vec_id, row_number() OVER (PARTITION BY x.query_id ORDER BY round(0.5 * x.score - 0.5 * (SELECT max(y.sim) FROM y JOIN g4 g ON g.query_id = y.query_id AND g.vec_id = y.j WHERE y.query_id = x.query_id AND y.i = x.vec_id), 9) DESC, x.rank) AS o FROM x WHERE NOT EXISTS (SELECT 1 FROM g4 g WHERE g.query_id = x.query_id AND g.vec_id = x.vec_id)) WHERE o = 1), g5 AS (SELECT * FROM g4 UNION ALL SELECT *, 5 FROM p5) SELECT query_id, vec_id, pick::INT AS pick FROM g5""")
+@query("mmr_search", _TOP + """, g1 AS (SELECT query_id, vec_id, 1 AS pick FROM x WHERE rank = 1), p2 AS (SELECT query_id, vec_id FROM (SELECT x.query_id, x.vec_id, row_number() OVER (PARTITION BY x.query_id ORDER BY round(0.5 * x.score - 0.5 * (SELECT max(y.sim) FROM y JOIN g1 g ON g.query_id = y.query_id AND g.vec_id = y.j WHERE y.query_id = x.query_id AND y.i = x.vec_id), 9) DESC, x.score DESC, x.vec_id) AS o FROM x WHERE NOT EXISTS (SELECT 1 FROM g1 g WHERE g.query_id = x.query_id AND g.vec_id = x.vec_id)) WHERE o = 1), g2 AS (SELECT * FROM g1 UNION ALL SELECT *, 2 FROM p2), p3 AS (SELECT query_id, vec_id FROM (SELECT x.query_id, x.vec_id, row_number() OVER (PARTITION BY x.query_id ORDER BY round(0.5 * x.score - 0.5 * (SELECT max(y.sim) FROM y JOIN g2 g ON g.query_id = y.query_id AND g.vec_id = y.j WHERE y.query_id = x.query_id AND y.i = x.vec_id), 9) DESC, x.score DESC, x.vec_id) AS o FROM x WHERE NOT EXISTS (SELECT 1 FROM g2 g WHERE g.query_id = x.query_id AND g.vec_id = x.vec_id)) WHERE o = 1), g3 AS (SELECT * FROM g2 UNION ALL SELECT *, 3 FROM p3), p4 AS (SELECT query_id, vec_id FROM (SELECT x.query_id, x.vec_id, row_number() OVER (PARTITION BY x.query_id ORDER BY round(0.5 * x.score - 0.5 * (SELECT max(y.sim) FROM y JOIN g3 g ON g.query_id = y.query_id AND g.vec_id = y.j WHERE y.query_id = x.query_id AND y.i = x.vec_id), 9) DESC, x.score DESC, x.vec_id) AS o FROM x WHERE NOT EXISTS (SELECT 1 FROM g3 g WHERE g.query_id = x.query_id AND g.vec_id = x.vec_id)) WHERE o = 1), g4 AS (SELECT * FROM g3 UNION ALL SELECT *, 4 FROM p4), p5 AS (SELECT query_id, vec_id FROM (SELECT x.query_id, x.vec_id, row_number() OVER (PARTITION BY x.query_id ORDER BY round(0.5 * x.score - 0.5 * (SELECT max(y.sim) FROM y JOIN g4 g ON g.query_id = y.query_id AND g.vec_id = y.j WHERE y.query_id = x.query_id AND y.i = x.vec_id), 9) DESC, x.score DESC, x.vec_id) AS o FROM x WHERE NOT EXISTS (SELECT 1 FROM g4 g WHERE g.query_id = x.query_id AND g.vec_id = x.vec_id)) WHERE o = 1), g5 AS (SELECT * FROM g4 UNION ALL SELECT *, 5 FROM p5) SELECT query_id, vec_id, pick::INT AS pick FROM g5""")
 def mmr_search(spark, d):
     rows = dense(spark, d, 20).join(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id")
     return R.diverse(rows, 5, 0.5, "query_id", "vec_id", "score", "embedding")

@@ -20,7 +20,13 @@ def test_core_never_imports_llm():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
-@pytest.mark.parametrize("name", ["dense_topk", "namespace_facet", "one_hop", "term_freq", "digest_weekly", "usage_cube", "calendar_dates"])
+@pytest.mark.parametrize("name", [
+    "dense_topk", "namespace_facet", "one_hop", "term_freq", "digest_weekly", "usage_cube", "calendar_dates", "hybrid_rrf", "hybrid_weighted", "filter_expression", "fulltext_nodes", "node_page",
+    "seed_union", "community_reports", "global_answer", "graph_answer", "question_parameters", "relative_dates", "tree_traversal", "tree_errors", "snapshot_bridge", "extraction_windows", "incremental_graph",
+    "csv_scan", "excel_scan", "docx_scan", "docx_images", "pdf_scan", "artefacts", "answer_cache", "sheet_cells", "product_headers", "judgement_summary", "skipped_lines", "section_tree", "section_graph",
+    "context_chunks", "split_invariants", "markdown_invariants", "mmr_search", "redundancy_filter", "budget_batches", "pattern_entities", "pattern_entities_literal", "month_expansion", "query_router", "intent_scores",
+    "timed_cache", "single_writer", "entity_merge_full", "near_dup_pairs", "maxp_aggregate", "sparse_search",
+])
 def test_queries_match_their_sql(spark, name):
     import duckdb
 
