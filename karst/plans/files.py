@@ -27,7 +27,7 @@ def _values(rows, names):
         if isinstance(v, bool):
             return str(v).lower()
         if isinstance(v, (int, float)):
-            return str(v)
+            return str(v) + "::DOUBLE" * isinstance(v, float)
         if isinstance(v, list):
             return "[" + ", ".join(map(one, v)) + "]"
         return "'" + v.replace("'", "''") + "'"
@@ -287,7 +287,7 @@ def product_headers(spark, d):
 
 
 @query("judgement_summary", """WITH t AS (SELECT l_returnflag AS lot, count(*) AS total, count(*) FILTER (WHERE l_linestatus = 'O') AS compliant, 0::BIGINT AS non_compliant, 0::BIGINT AS partial, count(*) FILTER (WHERE l_linestatus <> 'O') AS not_verifiable,
-round(CASE WHEN count(*) FILTER (WHERE l_linestatus = 'O') > 0 THEN 1.0 ELSE 0.0 END, 4) AS rate, count(*) AS criteria, count(*) FILTER (WHERE l_tax >= 0.02 AND l_discount > 0) AS scored, round(sum(CASE WHEN l_tax >= 0.02 AND l_discount > 0 THEN l_discount ELSE 0 END), 2) AS points,
+round(CASE WHEN count(*) FILTER (WHERE l_linestatus = 'O') > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 4) AS rate, count(*) AS criteria, count(*) FILTER (WHERE l_tax >= 0.02 AND l_discount > 0) AS scored, round(sum(CASE WHEN l_tax >= 0.02 AND l_discount > 0 THEN l_discount ELSE 0 END), 2) AS points,
 round(sum(CASE WHEN l_tax >= 0.02 AND l_discount > 0 THEN l_quantity ELSE 0 END), 2) AS most, count(*) FILTER (WHERE l_tax < 0.02) AS to_review, round(sum(CASE WHEN l_tax < 0.02 THEN l_quantity ELSE 0 END), 2) AS review_points, count(*) FILTER (WHERE l_linenumber = 1) AS unattributed FROM lineitem GROUP BY 1) SELECT * FROM t""")
 def judgement_summary(spark, d):
     """Lines as criteria: judged by status, scored unless a person must look, attributed or not."""

@@ -25,8 +25,15 @@ def elements(spark, d):
     return L.reading_order(e.select("doc_id", "element_id", "page", "seq", "element_type", "text"))
 
 
-HEAD = F.lower("element_type") == "section_header"
-LEVEL = F.size(F.split(F.regexp_extract("text", r"^\s*(\d+(?:\.\d+)*)", 1), r"\."))
+def head():
+    return F.lower("element_type") == "section_header"
+
+
+def level():
+    """Depth of the number a title begins with."""
+    return F.size(F.split(F.regexp_extract("text", r"^\s*(\d+(?:\.\d+)*)", 1), r"\."))
+
+
 _EL = "x AS (SELECT element_id, any_value(doc_id) AS doc_id, any_value(page) AS page, any_value(seq) AS seq, any_value(lower(element_type)) AS kind, any_value(text) AS text FROM text_elements GROUP BY element_id HAVING any_value(text) IS NOT NULL), el AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page NULLS FIRST, seq NULLS FIRST, element_id) AS place FROM x)"
 _SEC = rf"""{_EL}, hd AS (SELECT doc_id, element_id AS section_id, text AS title, least(greatest(len(string_split(regexp_extract(text, '^\s*(\d+(?:\.\d+)*)', 1), '.')), 1), 6)::INT AS level, place FROM el WHERE kind = 'section_header'),
 sec AS (SELECT h.*, p.section_id AS parent_id FROM hd h LEFT JOIN LATERAL (SELECT section_id FROM hd q WHERE q.doc_id = h.doc_id AND q.place < h.place AND q.level < h.level ORDER BY q.place DESC LIMIT 1) p ON true),
@@ -41,17 +48,17 @@ def reading_order(spark, d):
 @query("section_tree", f"WITH {_SEC} SELECT section_id, level, parent_id FROM sec")
 def section_tree(spark, d):
     """Each section with the last one before it of a lower level as its parent."""
-    return L.section_tree(elements(spark, d), HEAD, LEVEL).select("section_id", "level", "parent_id")
+    return L.section_tree(elements(spark, d), head(), level()).select("section_id", "level", "parent_id")
 
 
 @query("section_outline", f"WITH RECURSIVE {_SEC}, dp(section_id, depth) AS (SELECT section_id, 0 FROM sec WHERE parent_id IS NULL UNION ALL SELECT sec.section_id, depth + 1 FROM sec JOIN dp ON sec.parent_id = dp.section_id) SELECT doc_id, depth::INT AS depth, count(*) AS sections FROM dp JOIN sec USING (section_id) GROUP BY ALL")
 def section_outline(spark, d):
-    return L.section_tree(elements(spark, d), HEAD, LEVEL).groupBy("doc_id", "depth").agg(F.count("*").alias("sections"))
+    return L.section_tree(elements(spark, d), head(), level()).groupBy("doc_id", "depth").agg(F.count("*").alias("sections"))
 
 
 @query("section_elements", f"WITH {_SEC} SELECT element_id, section_id FROM es")
 def section_elements(spark, d):
-    return L.in_section(elements(spark, d), HEAD).select("element_id", "section_id")
+    return L.in_section(elements(spark, d), head()).select("element_id", "section_id")
 
 
 @query("section_graph", rf"""WITH {_SEC}, nm AS (SELECT DISTINCT doc_id, element_id AS src, unnest(regexp_extract_all(text || ' vedi sezione ' || (place % 4 + 1), '(?i)\b(?:section|sezione|sección)\s+(\d+(?:\.\d+)*)', 1)) AS number FROM es),
@@ -60,16 +67,16 @@ g AS (SELECT section_id AS src, parent_id AS dst, 'PART_OF' AS type FROM sec WHE
 UNION SELECT src, dst, 'REFERS_TO' FROM nm JOIN tt USING (doc_id, number) WHERE number <> '') SELECT * FROM g""")
 def section_graph(spark, d):
     """Structure as edges; a reference to a section of the document is set behind every text."""
-    e = L.in_section(elements(spark, d), HEAD)
+    e = L.in_section(elements(spark, d), head())
     named = e.withColumn("text", F.concat("text", F.lit(" vedi sezione "), (F.col("place") % 4 + 1).cast("string")))
-    return L.section_graph(named, L.section_tree(e, HEAD, LEVEL))
+    return L.section_graph(named, L.section_tree(e, head(), level()))
 
 
 @query("section_members", f"WITH {_SEC}, m AS (SELECT section_id, list_sort(list(element_id)) AS elements FROM es WHERE section_id IS NOT NULL AND element_id <> section_id GROUP BY section_id) SELECT sec.section_id, p.title AS parent, m.elements FROM sec LEFT JOIN sec p ON p.section_id = sec.parent_id LEFT JOIN m ON m.section_id = sec.section_id")
 def section_members(spark, d):
     """Sections with their parent's title and the elements in them."""
-    e = L.in_section(elements(spark, d), HEAD)
-    s = L.section_tree(e, HEAD, LEVEL)
+    e = L.in_section(elements(spark, d), head())
+    s = L.section_tree(e, head(), level())
     m = e.where("section_id is not null and element_id <> section_id").groupBy("section_id").agg(F.array_sort(F.collect_list("element_id")).alias("elements"))  # the elements of one section
     p = s.select(F.col("section_id").alias("parent_id"), F.col("title").alias("parent"))
     return s.join(p, "parent_id", "left").join(m, "section_id", "left").select("section_id", "parent", "elements")
@@ -78,7 +85,7 @@ def section_members(spark, d):
 @query("context_chunks", f"""WITH {_SEC}, t AS (SELECT doc_id, coalesce(section_id, '') AS section_id, sum(length(trim(text))) AS chars, count(*) AS n FROM es WHERE length(trim(text)) > 0 GROUP BY ALL) SELECT section_id, doc_id, chars::BIGINT AS chars, n AS elements, true AS within FROM t""")
 def context_chunks(spark, d):
     """Chunks of at most 512 estimated tokens within a section: together they hold its texts, each once."""
-    c = L.context_chunks(L.in_section(elements(spark, d), HEAD))
+    c = L.context_chunks(L.in_section(elements(spark, d), head()))
     chars = F.length("text") - 2 * (F.size("elements") - 1)
     within = (F.size("elements") == 1) | (F.length("text") / 4 <= 512 + F.size("elements"))
     return c.groupBy("section_id", "doc_id").agg(F.sum(chars).alias("chars"), F.sum(F.size("elements")).alias("elements"), F.bool_and(within).alias("within"))

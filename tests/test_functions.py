@@ -34,8 +34,8 @@ def test_types_magic_before_extension(spark):
 
 
 def test_entities_and_citations(spark):
-    got = values(spark, ["CIG 0F06D5EB89 del 2024-01-02 per 1.000,00 €"], T.entities)[0]
-    assert [(e.type, e.name) for e in got] == [("CIG", "0f06d5eb89"), ("DATE", "2024-01-02"), ("MONEY", "1.000,00")]
+    got = values(spark, ["CIG 0F06D5EB89 del 02/01/2024 (2024-01-02) per 1.000,00 € n. 5"], T.entities)[0]
+    assert [(e.type, e.name) for e in got] == [("CIG", "0f06d5eb89"), ("DATE_IT", "02/01/2024"), ("MONEY", "1.000,00 €"), ("QUANTITY", "5")]
     assert values(spark, ["a [2] b [1][2]"], T.citation_ids) == [[1, 2]]
 
 
