@@ -108,34 +108,43 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         state = step.select("id", F.col("new").alias("root"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-8) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-8, block: int = 8) -> DataFrame:
     """id, score: personalised PageRank over undirected weighted edges.
 
     Restarts and the mass of dangling nodes go to the seeds, evenly; without a seed among
-    the nodes, to all nodes. Stops when the scores move by less than `tolerance` in total
-    (what is left is then under 6 tolerances at a damping of 0.85), or after `rounds`. No nodes,
-    no rows.
+    the nodes, to all nodes. `block` rounds are one plan, written once: a round is a join and an
+    aggregation, every node having an edge of no weight to itself that carries its restart.
+    Stops when the scores move by less than `tolerance` in total over a block, or after `rounds`.
+    No nodes, no rows.
     """
     ways = undirected(edges)
-    out = ways.groupBy("src").agg(F.sum("weight").alias("total")).where("total > 0")
-    ways = cut(ways.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     ids = nodes.select("id").distinct()
+    # edges to ids that are no nodes take their share of a node's score with them
+    out = ways.groupBy("src").agg(F.sum("weight").alias("total")).where("total > 0")
     start = ids.withColumn("seed", F.lit(0.0)) if seeds is None else ids.join(seeds.select("id", F.lit(1.0).alias("seed")).distinct(), "id", "left").na.fill(0.0, ["seed"])
-    dangling = start.join(out.select(F.col("src").alias("id")), "id", "left_anti").select("id", F.lit(True).alias("loose"))
-    start = cut(start.join(dangling, "id", "left"))
-    n, hits = start.agg(F.count("*"), F.sum("seed")).first()
+    start = staged(start.join(out.select(F.col("src").alias("id"), F.lit(False).alias("loose")), "id", "left").withColumn("loose", F.coalesce("loose", F.lit(True))))
+    n, hits, bare, bare_seeds = start.agg(F.count("*"), F.sum("seed"), F.count_if("loose"), F.sum(F.when(F.col("loose"), F.col("seed")).otherwise(0.0))).first()
     if not n:
         return start.select("id", F.lit(0.0).alias("score"))
     personal = F.col("seed") / hits if hits else F.lit(1.0 / n)
-    state = start.select("id", personal.alias("p"), F.coalesce("loose", F.lit(False)).alias("loose")).withColumn("score", F.lit(1.0) / n if not hits else F.col("p"))
-    unbound = F.sum(F.when(F.col("loose"), F.col("score")).otherwise(0.0))
-    loose = state.agg(unbound).first()[0]
-    for i in range(rounds):
-        told = ways.join(state.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("told"))
-        moved = (1 - damping + damping * F.lit(loose)) * F.col("p") + damping * F.coalesce("told", F.lit(0.0))
-        step = cut(state.join(told, "id", "left").select("id", "p", "loose", F.col("score").alias("old"), moved.alias("score")))
-        change, loose = step.agg(F.sum(F.abs(F.col("score") - F.col("old"))), unbound).first()
-        state = step.drop("old")
+    share = ways.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")).join(start.select(F.col("id").alias("dst")), "dst", "left_semi")
+    own = start.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("share"), personal.alias("p"))
+    ways = staged(share.select("src", "dst", "share", F.lit(None).cast("double").alias("p")).unionByName(own))
+    state = start.select("id", personal.alias("score"))
+    # nothing reaches a dangling node but restarts, so their mass follows from the round before
+    restart_of_bare = bare_seeds / hits if hits else bare / n
+    loose, done = restart_of_bare, 0
+    while done < rounds:
+        step = state
+        for _ in range(min(block, rounds - done)):
+            told = ways.join(step.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id"))
+            base = 1 - damping + damping * loose
+            step = told.agg((damping * F.sum(F.col("score") * F.col("share")) + base * F.max("p")).alias("score"))
+            loose = base * restart_of_bare
+            done += 1
+        step = staged(step)
+        change = step.join(state.select("id", F.col("score").alias("old")), "id").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+        state = step
         if change < tolerance:
             break
     return state.select("id", "score")

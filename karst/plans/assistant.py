@@ -41,7 +41,11 @@ def intent_scores(spark, d):
     return A.intent_scores(table(spark, d, "documents"), "doc_id", "text").withColumn("confidence", F.round("confidence", 6))
 
 
-@query("context_fusion")
+@query("context_fusion", """WITH s AS (SELECT q.vec_id AS query_id, r.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS c FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0), t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) <= 20),
+w AS (SELECT doc_id, term, 1 + ln(count(*)) AS weight FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM documents) WHERE term IN ('polizza', 'insurance', 'seguro') GROUP BY ALL), e AS (SELECT any_value(source_id) AS src FROM graph_relationships GROUP BY relationship_id),
+u(kind, key, raw) AS (SELECT 'vectors', CAST(vec_id AS VARCHAR), max(round(c, 5)) FROM t GROUP BY vec_id UNION ALL SELECT 'keywords', CAST(doc_id AS VARCHAR), sum(weight) FROM w GROUP BY doc_id UNION ALL SELECT 'graph', src, count(*) FROM e GROUP BY src),
+f AS (SELECT kind, key, CASE WHEN max(raw) OVER (PARTITION BY kind) = min(raw) OVER (PARTITION BY kind) THEN 1.0 ELSE (raw - min(raw) OVER (PARTITION BY kind)) / (max(raw) OVER (PARTITION BY kind) - min(raw) OVER (PARTITION BY kind)) END AS score FROM u)
+SELECT kind, key, round(score, 6) AS score FROM f ORDER BY f.score DESC, kind, key LIMIT 40""")
 def context_fusion(spark, d):
     """Forty pieces of evidence from vectors, keywords and the graph on one scale."""
     near = dense(spark, d, 20).groupBy("vec_id").agg(F.max("score").alias("score")).select(F.col("vec_id").alias("key"), "score")

@@ -217,7 +217,13 @@ def bodies(spark, d):
     return table(spark, d, "page_bodies").dropDuplicates(["body_id"])
 
 
-@query("heading_paths")
+_LEVELS = r"""l AS (SELECT body_id, t, n FROM (SELECT body_id, string_split(any_value(body), chr(10)) AS ls FROM page_bodies GROUP BY body_id), LATERAL (SELECT unnest(ls) AS t, generate_subscripts(ls, 1) AS n)),
+h AS (SELECT body_id, n - 1 AS line_no, trim(t) AS t FROM l), v AS (SELECT body_id, line_no, t, (CASE WHEN regexp_matches(t, '^#{1,6} ') THEN length(regexp_extract(t, '^(#{1,6}) ', 1)) WHEN regexp_matches(t, '^\d+(\.\d+)+\.? \p{Lu}') THEN len(string_split(regexp_extract(t, '^([\d.]*\d)', 1), '.'))
+ WHEN regexp_matches(t, '^\d{1,2}\. \p{Lu}[^.]{0,80}$') THEN 1 WHEN regexp_matches(t, '^[IVX]{1,5}\. \p{Lu}') THEN 1 WHEN regexp_matches(t, '^[A-Z]\. \p{Lu}') THEN 2 ELSE 0 END)::INT AS level FROM h), g AS (SELECT * FROM v WHERE level > 0),
+up AS (SELECT g.*, p.line_no AS parent FROM g LEFT JOIN LATERAL (SELECT line_no FROM g q WHERE q.body_id = g.body_id AND q.line_no < g.line_no AND q.level < g.level ORDER BY q.line_no DESC LIMIT 1) p ON true)"""
+
+
+@query("heading_paths", f"WITH RECURSIVE {_LEVELS}, r(body_id, line_no, parent, path) AS (SELECT body_id, line_no, parent, [t] FROM up UNION ALL SELECT r.body_id, r.line_no, up.parent, list_prepend(up.t, r.path) FROM r JOIN up ON up.body_id = r.body_id AND up.line_no = r.parent) SELECT body_id, line_no::INT AS line_no, path FROM r WHERE parent IS NULL")
 def heading_paths(spark, d):
     """The headings above each heading of a page, by window functions."""
     lines = bodies(spark, d).select("body_id", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))

@@ -273,6 +273,23 @@ def near_dup_all_pairs(spark, d):
     return near.select("a", "b", F.round("score", 5).alias("similarity"))
 
 
+def _ranks(start: str, nodes_: str, ways: str) -> str:
+    """SQL of PageRank in a hundred rounds: w (shares of edges), v (nodes with restart), pr (i, id, score)."""
+    return f"""w AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM {ways} WHERE weight IS NOT NULL), v0 AS (SELECT DISTINCT id FROM {nodes_}),
+v AS (SELECT id, {start} AS p, id NOT IN (SELECT src FROM w) AS loose FROM v0), pr(i, id, score) AS (SELECT 0, id, p::DOUBLE FROM v UNION ALL
+SELECT any_value(x.i) + 1, x.id, any_value(v.p) * (0.15 + 0.85 * any_value(x.hang)) + 0.85 * sum(x.told) FROM (SELECT pr.i, pr.id, 0.0::DOUBLE AS told, sum(CASE WHEN v.loose THEN pr.score ELSE 0 END) OVER () AS hang FROM pr JOIN v USING (id) WHERE pr.i < 100
+UNION ALL SELECT pr.i, w.dst, pr.score * w.share, NULL FROM pr JOIN w ON w.src = pr.id WHERE pr.i < 100) x JOIN v ON v.id = x.id GROUP BY x.id)"""
+
+
+_LIGHT = f"""{MENTIONS}, tm AS (SELECT DISTINCT chunk_id, name FROM m), tn AS (SELECT count(DISTINCT chunk_id) AS n FROM tm), ts AS (SELECT name, count(*) AS c FROM tm GROUP BY name),
+tp AS (SELECT a.name AS src, b.name AS dst, count(*) AS count FROM tm a JOIN tm b ON a.chunk_id = b.chunk_id AND a.name < b.name GROUP BY ALL),
+co AS (SELECT src, dst, ln((count / tn.n) / ((x.c / tn.n) * (y.c / tn.n))) / -ln(count / tn.n + 1e-12) AS npmi FROM tp JOIN ts x ON x.name = src JOIN ts y ON y.name = dst, tn),
+he AS (SELECT 'c:' || chunk_id AS src, 'e:' || name AS dst, count(*) / sum(count(*)) OVER (PARTITION BY chunk_id) AS weight FROM m GROUP BY chunk_id, name),
+lu AS (SELECT src, dst, max(weight) AS weight FROM (SELECT * FROM he UNION ALL SELECT dst, src, weight FROM he UNION ALL SELECT 'e:' || src, 'e:' || dst, npmi FROM co WHERE npmi >= 0.1 UNION ALL SELECT 'e:' || dst, 'e:' || src, npmi FROM co WHERE npmi >= 0.1) WHERE src <> dst GROUP BY src, dst),
+ln_ AS (SELECT src AS id FROM he UNION SELECT dst FROM he), sd AS (SELECT DISTINCT 'e:' || name AS id FROM m WHERE regexp_matches(name, 'banca|credito')),
+{_ranks("CASE WHEN id IN (SELECT id FROM sd) THEN 1.0::DOUBLE / (SELECT count(*) FROM sd) ELSE 0 END", "ln_", "lu")}"""
+
+
 def light(spark, d):
     nodes_, edges_ = G.light_graph(mentions(spark, d), least=1)
     return cut(nodes_), cut(edges_)
@@ -290,7 +307,7 @@ def light_graph(spark, d):
     return kinds.unionByName(e.where("type = 'HAS_ENTITY'").groupBy(F.col("type").alias("what")).agg(F.count("*").alias("n")))
 
 
-@query("ppr_topk")
+@query("ppr_topk", f"WITH RECURSIVE {_LIGHT} SELECT substr(id, 3) AS chunk_id, round(score, 7) AS score FROM pr WHERE i = 100 AND id LIKE 'c:%' ORDER BY round(pr.score, 9) DESC, id LIMIT 50")
 def ppr_topk(spark, d):
     """The fifty chunks nearest to the seed entities by personalised PageRank."""
     n, e = light(spark, d)
@@ -299,7 +316,7 @@ def ppr_topk(spark, d):
     return top.select(F.substring("id", 3, 64).alias("chunk_id"), F.round("score", 7).alias("score"))
 
 
-@query("graph_pagerank")
+@query("graph_pagerank", f"{WITH}, {_ranks('1.0::DOUBLE / (SELECT count(*) FROM n)', 'n', 'u')} SELECT id, round(score, 7) AS score FROM pr WHERE i = 100")
 def graph_pagerank(spark, d):
     return G.pagerank(nodes(spark, d), edges(spark, d)).withColumn("score", F.round("score", 7))
 
@@ -364,7 +381,12 @@ def community_chunks(spark, d):
     return own.withColumn("n", F.row_number().over(w)).where("n <= 30").select("community", "chunk_id", "mentions")
 
 
-@query("hybrid_graph_search")
+@query("hybrid_graph_search", rf"""WITH RECURSIVE {_LIGHT}, c AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST) = 1), k AS (SELECT * FROM c WHERE text IS NOT NULL),
+q(term, weight) AS (VALUES ('credito', 1.0), ('mutuo', 1.0), ('banca', 1.0), ('loan', 1.0), ('polizza', 0.5)), t AS (SELECT id, term, 1 + ln(count(*)) AS tw FROM (SELECT id, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')) AS term FROM k) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+s AS (SELECT id, sum(t.tw * q.weight) AS sparse FROM t JOIN q USING (term) GROUP BY id), a AS (SELECT id, row_number() OVER (ORDER BY round(sparse, 9) DESC, id) AS rank FROM s QUALIFY rank <= 100),
+b AS (SELECT substr(pr.id, 3) AS id, row_number() OVER (ORDER BY round(pr.score, 9) DESC, substr(pr.id, 3)) AS rank FROM pr JOIN k ON k.id = substr(pr.id, 3) WHERE pr.i = 100 AND pr.id LIKE 'c:%' QUALIFY rank <= 100),
+f AS (SELECT id, sum(1.0 / (60 + rank)) AS rrf FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id), z AS (SELECT f.id, k.namespace, f.rrf, {_ANY_DAY} AS day FROM f JOIN k USING (id))
+SELECT id, namespace, day, round(rrf, 7) AS rrf FROM z WHERE day IS NULL OR day >= DATE '2024-01-01' ORDER BY round(z.rrf, 9) DESC, id LIMIT 20""")
 def hybrid_graph_search(spark, d):
     """Flagship: keyword ranking of chunks and PageRank from the entities that the question names,
     fused by reciprocal ranks, within a date range or undated, the best twenty."""
