@@ -8,9 +8,9 @@ Multiplicative weights raise the price of classes that are still short; the best
 configuration for given prices is an unbounded knapsack, solved by dynamic programming over
 a grid of the capacity. Fractions are rounded down and laid with exact sizes: the commonest
 of each class, and for the last place of a container the largest that fits. What is left is
-solved again; when a pass lays little, best fit ends it. On the 0.1 tables best fit lays 1.3,
-4.6 and 16 % of the tokens for capacities of 1024, 2048 and 8192, on ten times as much 0.1,
-0.4 and 2.2 %.
+solved again; when a pass lays little, or a fiftieth is left, best fit ends it. On the 0.1
+tables best fit lays 1.4, 3.1 and 13 % of the tokens for capacities of 1024, 2048 and 8192, on ten
+times as many items of the same sizes 1.2, 0.9 and 1.8 %.
 
 Items get their containers without any of them meeting in one task: an item's rank
 among those of its size (counted per salt, with the offsets of the salts before)
@@ -103,7 +103,7 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     return [(c, x / scale) for c, x in found.values()]
 
 
-def plan(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 300, classes: int = 96, passes: int = 8, grid: int = 1024) -> list[tuple[np.ndarray, np.ndarray, int]]:
+def plan(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 200, classes: int = 96, passes: int = 8, grid: int = 512) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """(sizes, counts, copies): each row stands for `copies` like containers; demand is met exactly.
 
     `classes` and `grid` bound the work of the linear program, not what is packed: exact
@@ -115,10 +115,11 @@ def plan(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 300
         out.append((sizes[-1:], np.ones(1, np.int64), int(left[-1])))
         left[-1] = 0
     grain = max(1, capacity // grid)
+    first = int(left @ sizes)
     for _ in range(passes):
         live = np.flatnonzero(left)
         total = int(left @ sizes)
-        if total <= 2 * capacity:
+        if total <= max(2 * capacity, 0.02 * first):
             break
         own, rest = sizes[live], left[live]
         group = classes_of(own, rest, classes)
@@ -127,7 +128,7 @@ def plan(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 300
         solution = configurations(np.maximum(1, np.rint(mean / grain)).astype(np.int64), need, capacity // grain, rounds)
         laid = sum(_lay(c, int(x), group, own, rest, capacity, out) for c, x in sorted(solution, key=lambda p: -p[1]))
         left[live] = rest
-        if laid * 50 < total:
+        if laid * 20 < total:
             break
     _best_fit(sizes, left, capacity, out)
     return out
