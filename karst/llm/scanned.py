@@ -33,6 +33,7 @@ _WIDE = {"m": "iii", "n": "ii", "u": "ii", "h": "ii", "d": "oi", "w": "vv"}
 _LIGATURES = {"ﬁ": "fi", "ﬂ": "fl"}
 _HYPHENS = "-‐¬­"
 _STRIP = r"""^[\s.,;:!?"'“”‘’«»()\[\]{}*•_…]+|[\s.,;:!?"'“”‘’«»()\[\]{}*•_…]+$"""
+_MARKS = " \t\n\x0b\x0c\r.,;:!?\"'“”‘’«»()[]{}*•_…"  # the same signs, for trimming
 _NUMBER = (
     r"(?i)^[\s\-–—\[\](){}|.·*]*(?:(?:p|pp|pg|pag|page|pagina|página|pág)\b[.:]?\s*)?"
     r"([0-9oOlI]{1,4})\s*(?:(?:/|di|of|de)\s*[0-9oOlI]{1,4})?[\s\-–—\[\](){}|*]*$"
@@ -80,7 +81,8 @@ _BLANK = r"^[\s\u00a0]*$"
 
 def key_of(line: Column) -> Column:
     """Skeleton of a line without its numbers; of a long one the beginning and the hash of the whole."""
-    plain = F.regexp_replace(line, r"(?<![\p{L}])[0-9oOlI|]*[0-9][0-9oOlI|./\-]*(?![\p{L}])", " ")
+    numbers = F.regexp_replace(line, r"(?<![\p{L}])[0-9oOlI|]*[0-9][0-9oOlI|./\-]*(?![\p{L}])", " ")
+    plain = F.when(line.rlike("[0-9]"), numbers).otherwise(line)  # few lines have a digit
     key = F.regexp_replace(skeleton(F.regexp_replace(plain, r"[^\p{L}0-9@(|!$]+", " ")), r"[ (|]+", " ")
     key = F.trim(key)
     return F.when(F.length(key) > 200, F.concat(F.substring(key, 1, 200), F.xxhash64(key).cast("string"))).otherwise(key)
@@ -139,7 +141,7 @@ def raw_words(line: Column) -> Column:
 def words_of(line: Column) -> Column:
     """(pos, word): lower-cased words of a line without surrounding punctuation and their place
     among what blanks part; bars of table rows and bare punctuation are none."""
-    every = F.transform(raw_words(line), lambda w, i: F.struct(i.alias("pos"), F.lower(F.regexp_replace(w, _STRIP, "")).alias("word")))
+    every = F.transform(raw_words(line), lambda w, i: F.struct(i.alias("pos"), F.lower(F.btrim(w, F.lit(_MARKS))).alias("word")))
     return F.filter(every, lambda x: (x.word != "") & (x.word != "|"))
 
 
