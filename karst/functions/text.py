@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +41,24 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(accents_off(text)), r"[^a-z0-9]+", " "))
 
 
+def decomposed(text: Column) -> Column:
+    """Compatibility decomposition without marks, lower case, punctuation and white space as single blanks: any script."""
+
+    @F.pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        out = texts.str.normalize("NFKD").str.lower()
+        return out.map(lambda t: None if t is None else re.sub(r"[\W_]+", " ", "".join(c for c in t if not unicodedata.combining(c))).strip())
+
+    return plain(text)
+
+
+def as_list(text: Column) -> Column:
+    """A list from a cell: a JSON array, or parts between commas; trimmed, without empties, each once in its order; [] for null."""
+    parsed = F.when(F.trim(text).startswith("["), F.from_json(text, "array<string>"))
+    parts = F.transform(F.coalesce(parsed, F.split(text, ",")), lambda x: F.trim(x))
+    return F.coalesce(F.array_distinct(F.filter(parts, lambda x: F.length(x) > 0)), F.array().cast("array<string>"))
+
+
 def cache_key(text: Column) -> Column:
     return F.sha2(normalised(text), 256)
 
@@ -176,7 +197,7 @@ def without_citations(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s*\[\d+\]", ""))
 
 
-REFERENCE = r"(?i)\b(figure|figura|table|tabella|tabla|section|sezione|sección|equation|equazione|appendix|appendice|articolo|article|artículo)\s+([0-9]+(?:\.[0-9]+)*|[A-Z]\b)"
+REFERENCE = r"(?i)(?:\b(?:figure|figura|table|tabella|tabla|section|sezione|sección|equation|equazione|appendix|appendice|articolo|article|artículo)\s+|\b(?:fig|tab|sez|sec|eq|app|art)\.\s*|§\s*)(?:[0-9]+(?:\.[0-9]+)*|[A-Z]\b)"
 
 
 def cross_references(text: Column) -> Column:

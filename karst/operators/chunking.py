@@ -80,12 +80,38 @@ def delimited(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(text))
 
 
-def semantic_breaks(parts: DataFrame, key: str, order: str, distance: str, percentile: float = 0.95) -> DataFrame:
-    """`parts` with segment (from 0): a new one where the distance to the part before passes the document's percentile."""
+def delimited_pairs(text: Column, pattern: str) -> Column:
+    """Structs (id, content) of a DOTALL pattern with two groups; the whole text without id where none matches."""
+    of = lambda g: F.regexp_extract_all(text, F.lit("(?s)" + pattern), F.lit(g))
+    found = F.filter(F.transform(F.arrays_zip(of(1).alias("a"), of(2).alias("b")), lambda x: F.struct(F.trim(x.a).alias("id"), F.trim(x.b).alias("content"))), lambda x: x.content != "")
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("id"), text.alias("content"))))
+
+
+def semantic_breaks(parts: DataFrame, key: str, order: str, distance: str, percentile: float = 0.95, strategy: str = "percentile", amount: float | None = None) -> DataFrame:
+    """`parts` with segment (from 0): a new one where the distance to the part before passes the document's limit.
+
+    The limit is the percentile; the mean and `amount` (3) standard deviations; the mean and
+    `amount` (1.5) interquartile ranges; or, for gradient, the percentile of the distances' slopes, which are
+    then compared in their place.
+    """
     doc = Window.partitionBy(key)
-    cut = F.percentile(F.col(distance), F.lit(percentile)).over(doc)
-    new = F.coalesce((F.col(distance) > F.col("__cut")).cast("int"), F.lit(0))
-    return parts.withColumn("__cut", cut).withColumn("segment", F.sum(new).over(doc.orderBy(order))).drop("__cut")
+    at = lambda q, c: F.percentile(c, F.lit(q)).over(doc)
+    value = F.col(distance)
+    if strategy == "gradient":
+        w = doc.orderBy(order)
+        before, after = F.lag(distance).over(w), F.lead(distance).over(w)
+        slope = F.when(before.isNotNull() & after.isNotNull(), (after - before) / 2).when(after.isNotNull(), after - value).otherwise(value - before)
+        parts = parts.withColumn("__slope", F.when(value.isNotNull(), slope))
+        value = F.col("__slope")
+    limits = {
+        "percentile": lambda: at(percentile, value), "gradient": lambda: at(percentile, value),
+        "standard_deviation": lambda: F.avg(value).over(doc) + (3.0 if amount is None else amount) * F.stddev_pop(value).over(doc),
+        "interquartile": lambda: F.avg(value).over(doc) + (1.5 if amount is None else amount) * (at(0.75, value) - at(0.25, value)),
+    }
+    if strategy not in limits:
+        raise ValueError(f"strategy {strategy!r} is none of {sorted(limits)}")
+    new = F.coalesce((value > F.col("__cut")).cast("int"), F.lit(0))
+    return parts.withColumn("__cut", limits[strategy]()).withColumn("segment", F.sum(new).over(doc.orderBy(order))).drop("__cut", "__slope")
 
 
 # ---- pipe tables ----

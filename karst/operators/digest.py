@@ -52,6 +52,8 @@ def rollup(children: DataFrame, granularity: str, by: list[str] | None = None) -
     return out.withColumnsRenamed({"p_start": "window_start", "p_end": "window_end"})
 
 
-def missing(wanted: DataFrame, present: DataFrame) -> DataFrame:
-    """Windows without a digest yet."""
+def missing(wanted: DataFrame, present: DataFrame, forced: bool = False) -> DataFrame:
+    """Windows without a digest yet; all of them if `forced`."""
+    if forced:
+        return wanted
     return wanted.join(present.select("window_start", "window_end"), ["window_start", "window_end"], "left_anti")

@@ -134,7 +134,7 @@ def query_keywords(spark, d):
 
 
 @query("cross_references", r"""
-WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\b(figure|figura|table|tabella|tabla|section|sezione|sección|equation|equazione|appendix|appendice|articolo|article|artículo)\s+([0-9]+(?:\.[0-9]+)*|[A-Z]\b)', 0)) AS r FROM documents)
+WITH x AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:\b(?:figure|figura|table|tabella|tabla|section|sezione|sección|equation|equazione|appendix|appendice|articolo|article|artículo)\s+|\b(?:fig|tab|sez|sec|eq|app|art)\.\s*|§\s*)(?:[0-9]+(?:\.[0-9]+)*|[A-Z]\b)', 0)) AS r FROM documents)
 SELECT doc_id, lower(regexp_replace(r, '\s+', ' ', 'g')) AS reference, count(*) > 0 AS found FROM x GROUP BY ALL""")
 def cross_references(spark, d):
     x = docs(spark, d).select("doc_id", F.explode(T.cross_references(F.col("text"))).alias("reference"))

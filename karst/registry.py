@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules whose queries register themselves."""
-    from karst.plans import analytics, answers, assistant, documents, files, graphs, layout, search, streams  # noqa: F401
+    from karst.plans import analytics, answers, assistant, details, documents, files, graphs, layout, search, streams  # noqa: F401
 
 
 def __getattr__(name: str) -> dict:

@@ -160,9 +160,10 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 class _Page(HTMLParser):
-    def __init__(self, drop_tags: set[str], drop_classes: set[str], keep_tags: set[str]):
+    def __init__(self, drop_tags: set[str], drop_classes: set[str], keep_tags: set[str], drop_selectors: tuple[str, ...] = ()):
         super().__init__(convert_charrefs=True)
         self.drop_tags, self.drop_classes, self.keep_tags = drop_tags, drop_classes, keep_tags
+        self.rules = [_selector(s) for s in drop_selectors]
         self.open: list[tuple[str, bool, bool]] = []
         self.blocks: list[str] = []
         self.tables: list[list[list[str]]] = []
@@ -179,7 +180,10 @@ class _Page(HTMLParser):
             self.flush()
         if tag in ("br", "hr", "img", "input", "meta", "link"):
             return
-        dropped = (self.open and self.open[-1][1]) or tag in self.drop_tags or bool(set((dict(attrs).get("class") or "").split()) & self.drop_classes)
+        own = dict(attrs)
+        classes = set((own.get("class") or "").split())
+        named = any((not t or t == tag) and (not i or i == own.get("id")) and c <= classes for t, i, c in self.rules)
+        dropped = (self.open and self.open[-1][1]) or tag in self.drop_tags or bool(classes & self.drop_classes) or named
         kept = (bool(self.open) and self.open[-1][2]) or not self.keep_tags or tag in self.keep_tags
         self.open.append((tag, bool(dropped), kept))
         if tag == "table":
@@ -207,16 +211,26 @@ class _Page(HTMLParser):
                 self.tables[-1][-1][-1] = " ".join((self.tables[-1][-1][-1] + " " + data).split())
 
 
-def page(html: str, drop_tags=(), drop_classes=(), keep_tags=()) -> _Page:
-    p = _Page(set(drop_tags), set(drop_classes), set(keep_tags))
+def _selector(text: str) -> tuple[str, str, set[str]]:
+    """(tag, id, classes) of a simple selector such as div#menu.wide; each may be missing."""
+    m = re.fullmatch(r"\s*([a-zA-Z][\w-]*|\*)?((?:[#.][\w-]+)*)\s*", text)
+    if not m or not (m[1] or m[2]):
+        raise ValueError(f"selector {text!r}")
+    marks = re.findall(r"([#.])([\w-]+)", m[2])
+    return ("" if m[1] in (None, "*") else m[1].lower()), next((v for k, v in marks if k == "#"), ""), {v for k, v in marks if k == "."}
+
+
+def page(html: str, drop_tags=(), drop_classes=(), keep_tags=(), drop_selectors=()) -> _Page:
+    p = _Page(set(drop_tags), set(drop_classes), set(keep_tags), tuple(drop_selectors))
     p.feed(html)
     p.flush()
     return p
 
 
-def html_transform(html: str | None, drop_tags=(), drop_classes=(), keep_tags=()) -> str:
-    """Text of a page, a line a block, without the named tags and classes, repeated neighbours once."""
-    return "\n".join(page(html, drop_tags, drop_classes, keep_tags).blocks) if html else ""
+def html_transform(html: str | None, drop_tags=(), drop_classes=(), keep_tags=(), drop_selectors=()) -> str:
+    """Text of a page, a line a block, without comments and the named tags, classes and selectors, repeated
+    neighbours once; with `keep_tags`, of these only."""
+    return "\n".join(page(html, drop_tags, drop_classes, keep_tags, drop_selectors).blocks) if html else ""
 
 
 def html_tables(html: str | None) -> list[dict]:
