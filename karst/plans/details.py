@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,8 +16,10 @@ from karst.registry import query
 from karst.sources import readers
 from karst.streaming import streams as S
 
+from .answers import _letters
 from .documents import docs
 from .files import _values
+from .graphs import WITH
 from .search import CHUNKS, chunks, dense
 
 
@@ -173,3 +176,75 @@ def stream_resumed(spark, d):
     for _ in range(2):
         S.into(_source(spark, d), S.to_parquet(path + "/out"), path + "/log")
     return spark.read.option("basePath", path + "/out").parquet(path + "/out").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("events"))
+
+
+# ---- communities of chunks ----
+
+
+def _chunk_communities(spark, d):
+    from .answers import members
+    from .graphs import nodes
+
+    n = nodes(spark, d).select("id", F.explode("source_ids").alias("chunk_id"))
+    return n.join(members(spark, d), "id").select("chunk_id", "community", "level", "id")
+
+
+_MEM = "m AS (SELECT id, namespace AS community, 0 AS level FROM n WHERE namespace IS NOT NULL UNION ALL SELECT id, namespace || '/' || label, 1 FROM n WHERE namespace IS NOT NULL AND label IS NOT NULL), cc AS (SELECT s.chunk_id, m.community, m.level, m.id FROM (SELECT id, unnest(source_ids) AS chunk_id FROM n) s JOIN m USING (id) WHERE s.chunk_id IS NOT NULL)"
+
+
+@query("chunk_communities", f"{WITH}, {_MEM} SELECT chunk_id, list_sort(list(DISTINCT community)) AS communities FROM cc GROUP BY chunk_id")
+def chunk_communities(spark, d):
+    """The communities of the nodes that each chunk mentions."""
+    own = _chunk_communities(spark, d).where("chunk_id is not null").select("chunk_id", "community").distinct()
+    return own.groupBy("chunk_id").agg(F.array_sort(F.collect_list("community")).alias("communities"))
+
+
+@query("shared_communities", f"{WITH}, {_MEM}, t AS (SELECT DISTINCT community FROM cc WHERE community LIKE 'gare%'), k AS (SELECT chunk_id, count(DISTINCT community) AS n FROM cc JOIN t USING (community) GROUP BY chunk_id) SELECT chunk_id, n, round(least(0.15 * n, 0.5), 6) AS boost FROM k")
+def shared_communities(spark, d):
+    """How many of the wanted communities a chunk shares, and the boost that gives."""
+    own = _chunk_communities(spark, d).where("chunk_id is not null").select(F.col("chunk_id").alias("id"), "community").distinct()
+    ones = own.select("id").distinct().withColumn("score", F.lit(1.0))
+    out = G.boosted(ones, own, own.where("community like 'gare%'"))
+    n = own.where("community like 'gare%'").groupBy("id").agg(F.count("*").alias("n"))
+    return out.join(n, "id").select(F.col("id").alias("chunk_id"), "n", F.round(F.col("score") - 1, 6).alias("boost"))
+
+
+@query("summary_sources", f"{WITH}, {_MEM}, k AS (SELECT community, level, chunk_id, count(*) AS mentions FROM cc WHERE community NOT LIKE 'gare%' GROUP BY ALL) SELECT community, level, chunk_id, mentions FROM k QUALIFY row_number() OVER (PARTITION BY community, level ORDER BY mentions DESC, chunk_id) <= 30")
+def summary_sources(spark, d):
+    """Up to thirty chunks for the summary of each community that has none yet; those of tenders have one."""
+    done = _chunk_communities(spark, d).where("community like 'gare%'").select("community", "level").distinct()
+    k = _chunk_communities(spark, d).where("chunk_id is not null").join(done, ["community", "level"], "left_anti").groupBy("community", "level", "chunk_id").agg(F.count("*").alias("mentions"))
+    w = Window.partitionBy("community", "level").orderBy(F.desc("mentions"), "chunk_id")
+    return k.withColumn("n", F.row_number().over(w)).where("n <= 30").select("community", "level", "chunk_id", "mentions")
+
+
+# ---- providers ----
+
+
+@query("embedding_factory", f"SELECT doc_id, round(sqrt(list_dot_product({_letters('text')}, {_letters('text')})), 4) AS norm FROM documents WHERE regexp_matches(lower(text), '[a-z]')")
+def embedding_factory(spark, d):
+    """An embedding by its provider's name."""
+    from karst.functions import vectors as V
+    from karst.plans import plugins
+
+    v = plugins.embedding("letters")(F.col("text"))
+    return docs(spark, d).select("doc_id", v.alias("v")).where("v is not null").select("doc_id", F.round(V.norm(F.col("v")), 4).alias("norm"))
+
+
+@query("injected_scorer", "SELECT doc_id, round(length(text) / 10.0, 3)::DOUBLE AS score FROM documents WHERE text IS NOT NULL")
+def injected_scorer(spark, d):
+    """A scorer handed in from outside, over whole batches of (question, text)."""
+    rows = docs(spark, d).where("text is not null").withColumn("q", F.lit("0123456789"))
+    return R.scored_by(rows, _length_ratio, "q", "text").select("doc_id", F.round("score", 3).alias("score"))
+
+
+def _length_ratio(q: pd.Series, t: pd.Series) -> pd.Series:
+    return t.str.len() / q.str.len()
+
+
+@query("registries", _values([("clustering", "by_label"), ("clustering", "sequential"), ("embedding", "hash"), ("embedding", "letters"), *(("reader", k) for k in ("csv", "docx", "html", "md", "pdf", "txt", "url", "xlsx"))], "kind, name"))
+def registries(spark, d):
+    from karst.plans import plugins
+
+    rows = [("clustering", n) for n in plugins.CLUSTERINGS] + [("embedding", n) for n in plugins.EMBEDDINGS] + [("reader", n) for n in readers.READERS]
+    return spark.createDataFrame(rows, "kind string, name string")

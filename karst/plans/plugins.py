@@ -7,9 +7,12 @@ import uuid
 from collections.abc import Callable, Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from karst.functions import vectors
+from karst.operators.retrieval import hash_embedding
+
 TOOLS: dict[str, Callable[..., Any]] = {}
 
 
@@ -62,6 +65,18 @@ clustering("by_label", lambda rows, key, by: rows.select(key, F.col(by).cast("st
 clustering("sequential", lambda rows, key, by: rows.select(key, F.concat_ws("/", F.col(by).cast("string"), F.floor((F.row_number().over(Window.partitionBy(by).orderBy(key)) - 1) / 10).cast("string")).alias("cluster")))
 
 
+EMBEDDINGS: dict[str, Callable[[Column], Column]] = {"letters": vectors.letter_vector, "hash": hash_embedding}
+
+
+def embedding(name: str, f: Callable[[Column], Column] | None = None) -> Callable[[Column], Column]:
+    """The embedding provider of a name, text -> vector; with `f`, registers it first."""
+    if f is not None:
+        EMBEDDINGS[name] = f
+    if name not in EMBEDDINGS:
+        raise ValueError(f"embedding {name!r} is none of {sorted(EMBEDDINGS)}")
+    return EMBEDDINGS[name]
+
+
 def prompt(profiles: Mapping[str, Mapping[str, str]], profile: str, name: str, **fields: str) -> str:
     """A profile's prompt, else the default's, with its fields filled in."""
     text = profiles.get(profile, {}).get(name) or profiles["default"][name]
