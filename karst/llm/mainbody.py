@@ -24,7 +24,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from html.parser import HTMLParser
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from karst.core.session import staged
 
 CONTENT, INSIDE, OUTSIDE, OPEN = 0, 1, 2, 3
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_SILENT = {"script", "style", "template", "noscript"}
+_HIDDEN = {"script", "style", "template", "noscript", "title"}
 _NEVER = {"nav", "footer", "header", "form", "button", "select", "menu"}
 _OWN = {"h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "blockquote", "pre", "dt", "dd", "figcaption"}
 _PUNCTUATION = re.compile(r"[.,;:!?…]")
@@ -51,37 +51,55 @@ class Node:
     text: str
 
 
-class _Reader(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[int, str, str]] = []
-        self.nodes: list[Node] = []
-        self.count = 0
+#: A comment, a declaration, or a tag with its attributes; quoted values may hold a closing bracket.
+_TAG = re.compile(r"""<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*>)""", re.S)
+_CLASS = re.compile(r"""(?:^|\s)class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style")}
 
-    def handle_starttag(self, tag, attrs):
-        if tag not in _VOID:
-            self.count += 1
-            self.stack.append((self.count, tag, dict(attrs).get("class") or ""))
 
-    def handle_endtag(self, tag):
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][1] == tag:
-                del self.stack[k:]
-                break
-
-    def handle_data(self, data):
-        if data.strip() and not any(t in _SILENT for _, t, _ in self.stack):
-            self.nodes.append(Node(tuple(self.stack), data.strip()))
+def parse(source: str) -> list[Node]:
+    """The text nodes of a page in order, without scripts, styles and the head's title.
 
-
-def parse(html: str) -> list[Node]:
-    reader = _Reader()
-    try:
-        reader.feed(html)
-        reader.close()
-    except Exception:  # markup beyond repair: what was read so far counts
-        pass
-    return [n for n in reader.nodes if not any(t == "title" for _, t, _ in n.path)]
+    End tags close the nearest open element of their name and all within; those of none are
+    passed over, so any markup gives nodes.
+    """
+    nodes: list[Node] = []
+    stack: list[tuple[int, str, str]] = []
+    count = hidden = at = 0  # elements so far, open elements without visible text, where text begins
+
+    def text(end: int) -> None:
+        if at < end and not hidden:
+            t = source[at:end]
+            t = (unescape(t) if "&" in t else t).strip()
+            if t:
+                nodes.append(Node(tuple(stack), t))
+
+    pos = 0
+    while m := _TAG.search(source, pos):
+        text(m.start())
+        pos = at = m.end()
+        if m[2] is None:
+            continue
+        tag = m[2].lower()
+        if m[1]:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][1] == tag:
+                    hidden -= sum(t in _HIDDEN for _, t, _ in stack[k:])
+                    del stack[k:]
+                    break
+        elif tag not in _VOID:
+            count += 1
+            rest = m[3][:-1]
+            if rest.endswith("/"):
+                continue
+            c = _CLASS.search(rest) if "class" in rest.lower() else None
+            stack.append((count, tag, unescape(next(g for g in c.groups() if g is not None)) if c else ""))
+            hidden += tag in _HIDDEN
+            if tag in _RAW_END:  # what looks like markup in a script is none
+                end = _RAW_END[tag].search(source, pos)
+                pos = at = end.start() if end else len(source)
+    text(len(source))
+    return nodes
 
 
 def scores(nodes: list[Node]) -> np.ndarray:

@@ -120,3 +120,14 @@ def test_ratios_alone_find_the_paragraphs():
     kinds = M.classify(M.parse(page(7)), set(), set(), rules=False)
     texts = [n.text for n, (kind, _) in zip(M.parse(page(7)), kinds) if kind == M.CONTENT]
     assert f"{SENTENCE} Pagina 7." in texts and "Home" not in texts
+
+
+def test_markup_of_any_kind_is_read():
+    html = (
+        '<!doctype html><!-- <p>no</p> --><html><head><title>T</title><script>if (a<b) "<p>no</p>"</script></head><body class=\'x y\'><p title="a > b">uno &amp; due</p>'
+        "<br/><div class=z><span/>tre</i></div></section><P>quattro <b>cinque</div> sei <a href='x"
+    )
+    got = [("/".join(f"{t}.{c}" if c else t for _, t, c in n.path), n.text) for n in M.parse(html)]
+    assert got[:3] == [("html/body.x y/p", "uno & due"), ("html/body.x y/div.z", "tre"), ("html/body.x y/p", "quattro")]
+    assert ("html/body.x y/p/b", "cinque") in got and M.parse("") == [] and [n.text for n in M.parse("solo <")] == ["solo <"]
+    assert len(M.parse("<p title='" * 3000 + "x")) <= 1
