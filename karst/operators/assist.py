@@ -186,6 +186,49 @@ def tree_errors(tree: DataFrame) -> DataFrame:
     return bad.select("node_id", F.when(F.col("above").isNull(), "no parent").otherwise("wrong level").alias("error"))
 
 
+def mixture_size(vectors: DataFrame, vector: str, most: int = 12, patience: int = 3, seed: int = 42) -> int:
+    """How many Gaussians describe the vectors best, by the Bayesian information criterion; the search ends after
+    `patience` sizes without a better one."""
+    import math
+
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.functions import array_to_vector
+
+    rows = cut(vectors.select(array_to_vector(F.col(vector).cast("array<double>")).alias("__v")))
+    n = rows.count()
+    if n < 3:
+        return max(1, min(n, 1))
+    width = len(vectors.select(vector).first()[0])
+    best, at = math.inf, 1
+    for k in range(1, min(most, n - 1) + 1):
+        model = GaussianMixture(featuresCol="__v", k=max(k, 1), seed=seed, maxIter=40).fit(rows) if k > 1 else None
+        free = k * (width + width * (width + 1) / 2) + k - 1
+        likelihood = model.summary.logLikelihood if model else _one_gaussian(rows, n, width)
+        score = free * math.log(n) - 2 * likelihood
+        if score < best:
+            best, at = score, k
+        elif k - at >= patience:
+            break
+    return at
+
+
+def _one_gaussian(rows: DataFrame, n: int, width: int) -> float:
+    """Log likelihood of a single Gaussian with the sample's mean and covariance."""
+    import math
+
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+
+    x = rows.select(vector_to_array("__v").alias("x"))
+    pairs = x.select(F.posexplode("x").alias("i", "a"), "x").select("i", "a", F.posexplode("x").alias("j", "b"))
+    sums = pairs.groupBy("i", "j").agg(F.avg(F.col("a") * F.col("b")).alias("ab"), F.avg("a").alias("a"), F.avg("b").alias("b")).collect()  # width squared rows
+    cov = np.zeros((width, width))
+    for r in sums:
+        cov[r.i, r.j] = r.ab - r.a * r.b
+    _, logdet = np.linalg.slogdet(cov + 1e-9 * np.eye(width))
+    return -0.5 * n * (width * math.log(2 * math.pi) + logdet + width)
+
+
 def soft_clusters(vectors: DataFrame, key: str, vector: str, k: int, least: float = 0.1, seed: int = 42) -> DataFrame:
     """`key`, cluster, probability: Gaussian mixture on a principal-component projection; memberships over `least`."""
     from pyspark.ml.clustering import GaussianMixture

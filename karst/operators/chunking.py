@@ -80,6 +80,16 @@ def delimited(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(text))
 
 
+def situated(text: Column, context: Column, mode: str = "prefix") -> Column:
+    """Struct (text, context) of a chunk with what situates it: before the text, or beside it only. `context` is any
+    expression, a language model's answer too; null and blank ones change nothing."""
+    if mode not in ("prefix", "metadata"):
+        raise ValueError(f"mode {mode!r}")
+    said = F.when(F.length(F.trim(context)) > 0, context)
+    whole = F.concat_ws("\n\n", said, text) if mode == "prefix" else text
+    return F.struct(whole.alias("text"), said.alias("context"))
+
+
 def delimited_pairs(text: Column, pattern: str) -> Column:
     """Structs (id, content) of a DOTALL pattern with two groups; the whole text without id where none matches."""
     of = lambda g: F.regexp_extract_all(text, F.lit("(?s)" + pattern), F.lit(g))

@@ -248,3 +248,40 @@ def registries(spark, d):
 
     rows = [("clustering", n) for n in plugins.CLUSTERINGS] + [("embedding", n) for n in plugins.EMBEDDINGS] + [("reader", n) for n in readers.READERS]
     return spark.createDataFrame(rows, "kind string, name string")
+
+
+# ---- pages and documents in their common form ----
+
+
+@query("html_main", _values([(0, 599, True), (1, 213, False), (2, None, None)], "id, chars, same"))
+def html_main(spark, d):
+    """A long page by its paragraphs, a short one by all its text, a bare one not at all."""
+    long = "<body><nav>menu menu</nav><p>" + "a" * 299 + "</p><p>" + "b" * 299 + "</p><footer>fine</footer></body>"
+    short = "<body><div>" + "c" * 200 + "</div><p>" + "d" * 12 + "</p></body>"
+    pages = [(0, long), (1, short), (2, "<p>poco</p>")]
+    rows = [(i, t and len(t), None if t is None else "menu" not in t and i == 0) for i, h in pages for t in [readers.page_text(h)]]
+    return spark.createDataFrame(rows, "id int, chars int, same boolean")
+
+
+@query("common_documents", _values([("csv", "listino", 1), ("html", "Bando", 2), ("md", "note", 1), ("txt", "a", 1)], "type, title, blocks"))
+def common_documents(spark, d):
+    files = [("csv", "x/listino.csv", b"a,b\n1,2\n"), ("html", "y.html", b"<title>Bando</title><p>uno</p>"), ("md", "note.md", b"# x"), ("txt", "a.txt", b"ciao")]
+    docs_ = [readers.extracted(*f) for f in files]
+    return spark.createDataFrame([(x["type"], x["title"], len(x["blocks"])) for x in docs_], "type string, title string, blocks int")
+
+
+@query("tags_and_metadata", f"WITH {CHUNKS} SELECT id FROM c WHERE list_contains(coalesce(tags, []), 'OCR') AND page >= 2 AND namespace IN ('gare-nord', 'gare-sud', 'polizze-nord')")
+def tags_and_metadata(spark, d):
+    """A tag expression and field conditions at once, as a store takes them."""
+    from karst.functions import filters
+
+    where = filters.tag_filter("OCR") & filters.metadata_filter({"page": {"$gte": 2}, "namespace": {"$in": ["gare-nord", "gare-sud", "polizze-nord"]}})
+    return chunks(spark, d, where).select("id")
+
+
+@query("situated_modes", f"WITH {CHUNKS}, k AS (SELECT id, text, CASE WHEN page IS NOT NULL AND metadata_id IS NOT NULL THEN 'p. ' || page || ' di ' || metadata_id END AS context FROM c WHERE text IS NOT NULL) SELECT id, length(CASE WHEN context IS NULL THEN text ELSE context || chr(10) || chr(10) || text END)::INT AS prefixed, length(text)::INT AS beside, context FROM k")
+def situated_modes(spark, d):
+    """Context before the text, or in the metadata only."""
+    context = F.concat(F.lit("p. "), F.col("page").cast("string"), F.lit(" di "), F.col("metadata_id"))
+    c = chunks(spark, d, "text is not null").select("id", C.situated(F.col("text"), context).alias("a"), C.situated(F.col("text"), context, "metadata").alias("b"))
+    return c.select("id", F.length("a.text").alias("prefixed"), F.length("b.text").alias("beside"), "b.context")

@@ -247,6 +247,28 @@ def html_tables(html: str | None) -> list[dict]:
     return out
 
 
+_FRAME = ("nav", "footer", "header", "aside", "form", "menu", "button", "select")
+_BODY = ("p", "h1", "h2", "h3", "h4", "li", "td", "th", "blockquote", "pre")
+
+
+def page_text(html: str | None, enough: int = 500, least: int = 100) -> str | None:
+    """A page's text: paragraphs, headings, items and cells outside its frame; where that is under `enough`
+    characters, the longer of it and of all text outside scripts; nothing under `least`."""
+    if not html:
+        return None
+    precise = html_transform(html, drop_tags=_FRAME, keep_tags=_BODY)
+    if len(precise) < enough:
+        precise = max(precise, html_transform(html), key=len)
+    return precise if len(precise) >= least else None
+
+
+def extracted(kind: str, name: str, data: bytes) -> dict:
+    """One document in its common form: type, title (the first heading, else the file's name), resource, tags, extra and blocks."""
+    blocks = READERS[kind](data)
+    title = next((b["content"] for b in blocks if b["block_type"] == "heading"), name.rsplit("/", 1)[-1].rsplit(".", 1)[0])
+    return {"type": kind, "title": title, "description": "", "resource": name, "tags": [], "extra": {"blocks": str(len(blocks))}, "blocks": blocks}
+
+
 @reader("html", "url")
 def read_html(data: bytes) -> list[dict]:
     p = page(data.decode("utf-8", "replace"))

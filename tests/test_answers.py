@@ -105,3 +105,15 @@ def test_scratch_files_go(spark):
     session.clear_scratch()
     session._SCRATCH.extend(kept)
     assert not os.path.isdir(path.removeprefix("file://"))
+
+
+def test_mixture_size_finds_three_blobs(spark):
+    import numpy as np
+
+    from karst.operators import assist as A
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.3, (80, 2)) for c in ((0, 0), (5, 5), (0, 6))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    assert A.mixture_size(df, "v", most=6, patience=2) == 3
+    assert A.mixture_size(df.limit(1), "v") == 1
