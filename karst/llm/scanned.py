@@ -296,19 +296,26 @@ def paragraphs(found: Repaired, p: Params = Params()) -> DataFrame:
     fix = found.fixes.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("pos", "word"))).alias("fix"))  # one word a place
     begun = found.joins.select(*key, F.col("word").alias("joined"))
     ended = found.joins.select(F.col("nxt.item_id").alias("item_id"), F.col("nxt.line_no").alias("line_no"), F.lit(True).alias("carried"))
-    rows = found.lines.join(fix, key, "left").join(begun, key, "left").join(ended, key, "left").withColumn("carried", F.coalesce("carried", F.lit(False)))
+    marks = fix.join(begun, key, "full").join(ended, key, "full")  # few lines have any
 
+    # what moves with a line is its text and what its neighbours say of it, not its words
+    first, last = F.get("words", 0)["pos"], F.get("words", F.size("words") - 1)["pos"]
+    tail = F.when(F.col("stem").isNotNull(), F.get(raw_words(F.col("nxt.line")), F.get(words_of(F.col("nxt.line")), 0)["pos"]))
+    open_end = ~F.col("line").rlike(_SENTENCE_END) & F.trim("nxt.line").rlike(r"^\p{Ll}")
+    lines = found.lines.select("item_id", "doc", "page", "seq", "line_no", "line", first.alias("first"), last.alias("last"), tail.alias("tail"), F.col("nxt.item_id").alias("next_item"), open_end.alias("open_end"))
+    beyond = F.col("next_item").isNotNull() & (F.col("next_item") != F.col("item_id"))
+    # items whose last line goes on in another item: by its end, or by a broken word
+    ends = lines.where(beyond).join(begun.select(*key, F.lit(True).alias("broken")), key, "left")
+    continued = ends.where(F.col("open_end") | F.col("broken")).select(F.col("next_item").alias("item_id"), F.lit(True).alias("continued"))
+
+    rows = lines.join(marks, key, "left").withColumn("carried", F.coalesce("carried", F.lit(False)))
     raw = raw_words(F.col("line"))
     fixed = F.transform(raw, lambda w, i: F.coalesce(_dressed(F.try_element_at("fix", i), w, w), w))
-    first, last = F.get("words", 0)["pos"], F.get("words", F.size("words") - 1)["pos"]
-    tail_of = F.get(raw_words(F.col("nxt.line")), F.get(words_of(F.col("nxt.line")), 0)["pos"])
-    whole = _dressed(F.col("joined"), F.get(raw, last), tail_of)
-    body = F.transform(F.when(F.col("fix").isNull(), raw).otherwise(fixed), lambda w, i: F.when(F.col("joined").isNotNull() & (i == last), whole).when(F.col("carried") & (i == first), "").otherwise(w))
-    rows = rows.withColumn("flow", F.array_join(F.filter(body, lambda w: w != ""), " "))
-
-    goes_on = F.col("joined").isNotNull() | (~F.col("line").rlike(_SENTENCE_END) & F.trim("nxt.line").rlike(r"^\p{Ll}"))
-    continued = rows.where(F.col("nxt").isNotNull() & (F.col("nxt.item_id") != F.col("item_id")) & goes_on).select(F.col("nxt.item_id").alias("item_id"), F.lit(True).alias("continued"))
-    rows = rows.select("item_id", "doc", "page", "seq", "line_no", "flow").join(continued, "item_id", "left")
+    whole = _dressed(F.col("joined"), F.get(raw, F.col("last")), F.col("tail"))
+    body = F.transform(F.when(F.col("fix").isNull(), raw).otherwise(fixed), lambda w, i: F.when(F.col("joined").isNotNull() & (i == F.col("last")), whole).when(F.col("carried") & (i == F.col("first")), "").otherwise(w))
+    plain = F.col("fix").isNull() & F.col("joined").isNull() & ~F.col("carried")  # most lines are as they were
+    flow = F.when(plain, F.array_join(raw, " ")).otherwise(F.array_join(F.filter(body, lambda w: w != ""), " "))
+    rows = rows.select("item_id", "doc", "page", "seq", "line_no", flow.alias("flow")).join(continued, "item_id", "left")
     w = Window.partitionBy("item_id").orderBy("line_no")
     new = F.coalesce(F.col("line_no") - F.lag("line_no").over(w) > 1, F.col("continued").isNull())
     rows = staged(rows.withColumn("new", new.cast("int")).withColumn("nth", F.sum("new").over(w)))
