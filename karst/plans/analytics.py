@@ -247,10 +247,11 @@ def sequential_clusters(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "label", F.floor((F.row_number().over(w) - 1) / 10).alias("cluster"))
 
 
-@query("tree_validation", "SELECT l.l_orderkey, l.l_linenumber FROM lineitem l LEFT JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE o.o_orderkey IS NULL")
+@query("tree_validation", "WITH l AS (SELECT CASE WHEN l_linenumber = 7 THEN -l_orderkey ELSE l_orderkey END AS l_orderkey, l_linenumber FROM lineitem) SELECT l.l_orderkey, l.l_linenumber FROM l LEFT JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE o.o_orderkey IS NULL")
 def tree_validation(spark, d):
-    """Children whose parent doesn't exist."""
-    return table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
+    """Children whose parent doesn't exist: every seventh line is given one that doesn't."""
+    lines = table(spark, d, "lineitem").withColumn("l_orderkey", F.when(F.col("l_linenumber") == 7, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")))
+    return lines.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
 
 
 @query("chunk_positions", LATEST + " SELECT id, row_number() OVER w - 1 AS chunk_index, count(*) OVER (PARTITION BY metadata_id) AS total_chunks FROM c WINDOW w AS (PARTITION BY metadata_id ORDER BY page NULLS LAST, id)")
@@ -293,6 +294,8 @@ def top_orders_per_customer(spark, d):
     return R.ranked(table(spark, d, "orders"), "o_totalprice", "o_orderkey", ["o_custkey"]).where("rank <= 3").select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query("customers_without_orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("customers_without_orders", "SELECT c_custkey FROM (SELECT c_custkey FROM customer UNION ALL SELECT -n_nationkey - 1 FROM nation) WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
 def customers_without_orders(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    """Customers, with one of each nation added who never ordered."""
+    added = table(spark, d, "nation").select((-F.col("n_nationkey") - 1).cast("long").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey").unionByName(added).join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
